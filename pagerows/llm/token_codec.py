@@ -34,12 +34,14 @@ class _Model:
     ``after1`` and ``after2`` is four times the rank that followed last, plus how sure it is (0 to 3)."""
 
     def __init__(self, lanes: int, steps: int):
+        if 4 * steps + 3 > 32767:
+            raise ValueError("blocks have at most 8,191 ids")
         self.lane = np.arange(lanes)
         self.steps = steps + 1
-        self.after1 = np.full(lanes * self.steps, -1, "int32")
-        self.after2 = np.full(lanes * _SLOTS, -1, "int32")
-        self.count = np.zeros(lanes * self.steps, "int32")
-        self.top, self.top_count = np.full(lanes, -1), np.zeros(lanes, "int32")
+        self.after1 = np.full(lanes * self.steps, -1, "int16")
+        self.after2 = np.full(lanes * _SLOTS, -1, "int16")
+        self.count = np.zeros(lanes * self.steps, "int16")
+        self.top, self.top_count = np.full(lanes, -1), np.zeros(lanes, "int16")
         self.seen = np.zeros(lanes, "int64")
         self.prev, self.prev2 = np.full(lanes, steps), np.full(lanes, steps)
         self.p2, self.p1, self.p0 = np.full(lanes * 5, 0.3), np.full(lanes * 10, 0.2), np.full(lanes * 2, 0.1)
@@ -73,7 +75,7 @@ class _Model:
         self.w2[:n] += error * self.x2
         self.w1[:n] += error * self.x1
         self.w0[:n] += error * self.x0
-        fresh = (rank * 4).astype("int32")
+        fresh = (rank * 4).astype("int16")
         for table, key, old in ((self.after2, self.i2, self.e2), (self.after1, self.i1, self.e1)):
             table[key] = np.where(old >> 2 == rank, np.minimum(old + 1, fresh + 3), fresh)
         at = self.lane[:n] * self.steps + rank

@@ -18,7 +18,11 @@ from .base import split_words, sums
 
 #: Units kept by a worker. Of more, the older half stays (frequent ones come early); results don't depend on it.
 CACHE_UNITS = 500_000
-_WORD = re.compile("([A-Za-z]*)([.,]?)")
+#: Letters of ASCII and Latin-1 (composed, with plain lower case), then at most one mark.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,]?)")
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from U+0100 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_BYTES = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
 
 
 def load(path: str):
@@ -52,9 +56,18 @@ class UnitEncoder:
             if m is None:
                 others.append(u)
                 continue
-            # ASCII letters and a mark are two pre-tokens of the vocabulary's model, the first in lower case
-            ids = [t.id for part in m.groups() if part for t in model.tokenize(part.lower())]
-            cache[u] = array("H", ids).tobytes()
+            # letters and a mark are two pre-tokens of the vocabulary's model, the first in lower case
+            word, mark = m.groups()
+            word = word.lower()
+            ids = cache.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+                cache[word] = ids = array("H", [t.id for t in model.tokenize(spelled)] if word else []).tobytes()
+            if mark:
+                if mark not in cache:
+                    cache[mark] = array("H", [t.id for t in model.tokenize(mark)]).tobytes()
+                ids += cache[mark]
+            cache[u] = ids
         for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             cache[u] = array("H", e.ids).tobytes()
 
@@ -74,5 +87,9 @@ class UnitEncoder:
 def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The runs ``codes`` of ``flat``, whose runs have the given lengths, in a row."""
     per = lengths[codes]
-    shift = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(per) - per)
-    return flat[np.repeat(shift, per) + np.arange(int(per.sum()))]
+    total = int(per.sum())
+    small = "int32" if max(total, len(flat)) < 1 << 31 else "int64"
+    shift = ((np.cumsum(lengths) - lengths)[codes] - (np.cumsum(per) - per)).astype(small)
+    at = np.repeat(shift, per)
+    at += np.arange(total, dtype=small)
+    return flat.take(at)
