@@ -1,13 +1,89 @@
-"""Column functions over texts."""
+"""Column functions over texts, headers, cells and budgets. Null counts as the empty text unless said otherwise."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Separators of cells in a row's text and in a row's fingerprint (fixed values).
+CELL_SEPARATOR, UNIT_SEPARATOR = " ||| ", "␟"
+_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def business_text(c: Column) -> Column:
+    """No-break spaces become spaces, zero-width characters go, white space shrinks to one space, ends are trimmed."""
+    plain = F.regexp_replace(F.regexp_replace(_text(c), r"\x{00A0}", " "), r"[\x{200B}-\x{200D}\x{FEFF}]", "")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def normalize_text(c: Column) -> Column:
+    """Blanks before line ends go, three or more line ends become two, ends are trimmed."""
+    plain = F.regexp_replace(F.regexp_replace(_text(c), r"\x{00A0}", " "), r"[ \t]+\n", "\n")
+    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def truncate_text(c: Column, limit: int) -> Column:
+    whole = normalize_text(c)
+    rest = F.length(whole) - limit
+    return F.when(rest > 0, F.concat(F.left(whole, F.lit(limit)), F.lit("\n\n[Truncated: "), rest.cast("string"), F.lit(" chars]"))).otherwise(whole)
+
+
+def one_line(c: Column, limit: int | None = None) -> Column:
+    line = F.trim(F.regexp_replace(_text(c), r"\s+", " "))
+    return line if limit is None else F.when(F.length(line) > limit, F.concat(F.left(line, F.lit(limit)), F.lit("…"))).otherwise(line)
+
+
+def norm_header(c: Column) -> Column:
+    return F.lower(F.regexp_replace(_text(c), _SPACE, ""))
+
+
+def row_text(cells: Column) -> Column:
+    return F.array_join(F.transform(cells, lambda x: F.when(_text(x) == "", "-").otherwise(x)), CELL_SEPARATOR)
+
+
+def split_cells(text: Column) -> Column:
+    return F.transform(F.split(text, r" \|\|\| "), lambda x: F.trim(x))
+
+
+def row_fingerprint(cells: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(cells, normalize_text), UNIT_SEPARATOR), 256))
+
+
+def csv_row(cells: Column) -> Column:
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.array_join(F.transform(cells, lambda x: F.when(_text(x).rlike('[",\r\n]'), quoted(_text(x))).otherwise(_text(x))), ",")
+
+
+def markdown_row(cells: Column) -> Column:
+    clean = lambda x: F.regexp_replace(F.replace(_text(x), F.lit("|"), F.lit("\\|")), "\r?\n", "<br>")
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, clean), " | "), F.lit(" |"))
+
 
 def estimate_tokens(text: Column) -> Column:
     """One token for each non-ASCII character, and one for each four (begun) characters of an ASCII run."""
     ascii_runs = F.regexp_extract_all(text, F.lit(r"([\x00-\x7F]+)"), F.lit(1))
     others = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
     return (others + F.aggregate(ascii_runs, F.lit(0), lambda a, r: a + F.ceil(F.length(r) / 4).cast("int"))).cast("long")
+
+
+def context_budget(window: Column, max_output: Column, history: Column, reserve: int = 512) -> Column:
+    return F.greatest(F.lit(0), window - max_output - history - reserve)
+
+
+def page_key(url: Column) -> Column:
+    """Origin and path, host in lower case, default port dropped; what is no http(s) url stays as it is."""
+    origin = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1)
+    host = F.regexp_replace(F.lower(origin), r"^(http://.*):80$|^(https://.*):443$", "$1$2")
+    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
+    return F.when(origin == "", url).otherwise(F.concat(host, F.when(path == "", "/").otherwise(path)))
+
+
+def coverage(expected: Column, actual: Column) -> Column:
+    """Share of the distinct normalised expected headers that are there; 1 if none is expected, 0 if there are none."""
+    want = F.array_distinct(F.filter(F.transform(expected, norm_header), lambda h: h != ""))
+    have = F.array_distinct(F.transform(actual, norm_header))
+    return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(want, have)) / F.size(want))
