@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes of one Arrow batch at most, so that a batch of very long texts still fits a worker.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,10 @@ def map_texts(
         work = start()
         for batch in batches:
             new = work(batch.column(at))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(n)), *(pa.array(c, type=t) for c, t in zip(new, types))], names=names
-            )
+            made = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(new, types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], names=names)
+            del batch, new, made
+        pa.default_memory_pool().release_unused()  # workers are used again and would keep it
 
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *fields])
     return source.mapInArrow(run, schema)

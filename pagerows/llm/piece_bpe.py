@@ -21,7 +21,7 @@ from .base import map_texts, split_words, sums
 from .tokenize import gather, trim
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class Agenda:
@@ -146,20 +146,23 @@ def encode_decode(documents: DataFrame, path: str, text_col: str = "text", keep:
 
         def work(texts):
             ids, counts = encoder.batch(texts)
-            n, hashed, back, lists, plain = [], [], [], [], []
+            hashed, back, plain = [], [], []
             at = 0
             for c in counts.tolist():
                 own = ids[at : at + c].tolist()
                 own.append(end)
                 at += c
                 text = library.decode(own)
-                n.append(len(own))
                 hashed.append(hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest())
                 back.append(hashlib.sha256(text.encode()).hexdigest())
                 if full:
-                    lists.append(own)
                     plain.append(text)
-            return (n, hashed, back, lists, plain) if full else (n, hashed, back)
+            if not full:
+                return counts + 1, hashed, back
+            ends = np.cumsum(counts)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype("int32")
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.insert(ids, ends, end).astype("int32")))
+            return counts + 1, hashed, back, lists, plain
 
         return work
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from .base import split_words, sums
 
 #: Units kept by a worker. Of more, the older half stays (frequent ones come early); results don't depend on it.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 400_000
 #: Letters of ASCII and Latin-1 (composed, with plain lower case), then at most one mark.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,]?)")
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from U+0100 on.
