@@ -49,8 +49,74 @@ def split_cells(text: Column) -> Column:
     return F.transform(F.split(text, r" \|\|\| "), lambda x: F.trim(x))
 
 
+def fingerprint_text(c: Column) -> Column:
+    """As ``normalize_text``, but without zero-width characters and carriage returns at line ends."""
+    return normalize_text(F.regexp_replace(F.regexp_replace(_text(c), r"[\x{200B}-\x{200D}\x{FEFF}]", ""), "\r\n?", "\n"))
+
+
 def row_fingerprint(cells: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(cells, normalize_text), UNIT_SEPARATOR), 256))
+    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(cells, fingerprint_text), UNIT_SEPARATOR), 256))
+
+
+def leading_fingerprint(text: Column, columns: int = 3) -> Column:
+    """Number and 32-bit FNV-1a hash (base 36) of a row text's first cells that aren't empty or a dash."""
+    cells = F.filter(F.transform(F.split(text, r"\s*\|\|\|\s*"), business_text), lambda x: (x != "") & (x != "-"))
+    first = F.slice(cells, 1, columns)
+    # fixed values: offset and prime of 32-bit FNV-1a; a character beyond 16 bits counts by its first UTF-16 unit
+    code = lambda ch: F.when(F.ascii(ch) < 65536, F.ascii(ch)).otherwise(55296 + F.shiftright(F.ascii(ch) - 65536, 10))
+    step = lambda h, ch: (h.bitwiseXOR(code(ch).cast("long")) * 16777619).bitwiseAND(4294967295)
+    chars = F.filter(F.split(F.array_join(first, "\x1f"), ""), lambda ch: ch != "")
+    hashed = F.lower(F.conv(F.aggregate(chars, F.lit(2166136261), step).cast("string"), 10, 36))
+    return F.when(F.size(first) > 0, F.concat(F.size(first).cast("string"), F.lit(":"), hashed)).otherwise("")
+
+
+def row_identity(table: Column, business_key: Column, virtual_index: Column, row_text: Column, index: Column) -> Column:
+    """The best name that a row has: business key, virtual index, leading fingerprint with its index, or index."""
+    leading = F.nullif(leading_fingerprint(row_text), F.lit(""))
+    named = F.coalesce(
+        F.concat(F.lit("business:"), F.nullif(F.trim(business_key), F.lit(""))),
+        F.concat(F.lit("virtual:"), virtual_index.cast("string")),
+        F.concat(F.lit("fingerprint:"), leading, F.lit(":row:"), index.cast("string")),
+        F.concat(F.lit("row:"), index.cast("string")),
+    )
+    return F.concat(table, F.lit("::"), named)
+
+
+def cache_key(prefix: str, analysis: Column, row: Column) -> Column:
+    return F.concat_ws(":", F.lit(prefix), analysis, row)
+
+
+def cache_key_row(key: Column) -> Column:
+    """A row's fingerprint holds a colon itself, so it is the key's last two parts."""
+    return F.array_join(F.slice(F.split(key, ":"), -2, 2), ":")
+
+
+def request_budget(window: Column, max_output: Column, sources: Column) -> tuple[Column, Column]:
+    """Characters of a request, and of each source's section."""
+    free = F.greatest(window, F.lit(8192)) - F.greatest(max_output, F.lit(512)) - 1024
+    chars = F.greatest(F.lit(2000), F.floor(free * 0.9))
+    return chars, F.greatest(F.lit(600), F.floor(chars / F.greatest(sources, F.lit(1))))
+
+
+def markdown_cell(c: Column) -> Column:
+    return F.replace(F.regexp_replace(_text(c), "\r?\n", " "), F.lit("|"), F.lit("\\|"))
+
+
+def markdown_table_row(line: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+
+
+def strip_json_fence(text: Column) -> Column:
+    """The inside of one fence around the whole text, else the trimmed text."""
+    trimmed = F.regexp_replace(_text(text), r"^\s+|\s+$", "")
+    inside = F.regexp_extract(trimmed, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
+    return F.when(inside != "", inside).otherwise(trimmed)
+
+
+def delta_text(event: Column) -> Column:
+    """Text of one answer event; no JSON, no text."""
+    at = lambda path: F.get_json_object(event, f"$.choices[0].{path}")
+    return F.coalesce(at("delta.content"), at("message.content"), at("text"), F.lit(""))
 
 
 def csv_row(cells: Column) -> Column:

@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import render, rows
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(query: Query) -> Query:
-        _QUERIES[name] = query
-        if sql is not None:
-            _SQL[name] = sql
-        return query
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import fold_queries, match_queries, source_queries  # noqa: F401 (they register their queries)
+from .registry import oracle_sql, queries, register as _register, table as _t  # noqa: F401
 
 
 _TOKENS = (
