@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import render
-from ..sources import delimited, sse
+from ..sources import delimited, html_tables, sse
+from ..streaming import cache
 from .registry import register, table
 
 
@@ -74,3 +78,37 @@ def request_budget(spark, sf_dir):
     k = F.col("c_custkey")
     chars, each = tx.request_budget(1000 * (k % 70), k % 4096, 1 + k % 5)
     return table(spark, sf_dir, "customer").select(k, chars.cast("long").alias("chars"), each.cast("long").alias("per_source"))
+
+
+def _part_pages(spark, sf_dir) -> DataFrame:
+    """A page with a table for each brand; every row stands twice."""
+    row = F.format_string("<tr><td>%s</td><td>&nbsp;<b>%s</b> &amp; co<br></td><td colspan=2>%s</td></tr>", "p_partkey", "p_name", "p_size")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda s: s["r"]), "")
+    head = "<p>x</p><table><caption>Parts</caption><thead><tr><th>key</th><th> name </th><th>size</th></tr></thead><tbody>"
+    foot = "</tbody><tfoot><tr><td>sum</td></tr></tfoot></table>"
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit(head), rows, rows, F.lit(foot)).alias("html"))
+
+
+@register("src1_extract_tables", """select p_brand, 0 as table_index, 'Parts' as title, 'key/name/size' as headers, cast(2 * count(*) as integer) as n_rows from part group by p_brand""")
+def extract_tables(spark, sf_dir):
+    found = html_tables.extract_tables(_part_pages(spark, sf_dir))
+    return found.select("p_brand", "table_index", "title", F.array_join("headers", "/").alias("headers"), F.size("rows").alias("n_rows"))
+
+
+@register("src2_extract_table_rows", """select p_brand, 0 as table_index, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as integer) as row_pos,
+    p_partkey || '/' || p_name || ' & co/' || p_size as cells from part""")
+def extract_table_rows(spark, sf_dir):
+    found = html_tables.extract_table_rows(_part_pages(spark, sf_dir), "p_brand")
+    return found.select("p_brand", "table_index", "row_pos", F.array_join("cells", "/").alias("cells"))
+
+
+@register("snk5_cache_write", """select user_id, event_type, event_id, conclusion from (select user_id, event_type, event_id, trim(props) as conclusion,
+    row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events where trim(coalesce(props, '')) <> '') where k = 1""")
+def cache_write(spark, sf_dir):
+    """The events, read as a stream, are cached results; the newest of each user and type counts."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("conclusion", F.trim("props"))
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/cache-{uuid.uuid4().hex}"
+    cache.write_cache_stream(stream, f"{folder}/entries", f"{folder}/progress").awaitTermination()
+    entries = spark.read.parquet(f"{folder}/entries")
+    return cache.cache_latest(entries, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "conclusion")
