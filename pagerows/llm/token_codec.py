@@ -19,7 +19,7 @@ import numpy as np
 BLOCK_IDS = 1024
 MAGIC = b"TIDB"
 _HEAD = struct.Struct("<4sIII")
-_SLOTS = 1024  # of the order-2 table
+_SLOTS = 1024  # of the order-2 table, a power of two
 _LOW32, _LOW48, _S16 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1), np.uint64(16)
 _ZERO, _ALL = np.uint64(0), np.uint64(65536)
 _GRID = 1024
@@ -49,7 +49,7 @@ class _Model:
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         lane, prev = self.lane[:n], self.prev[:n]
-        self.i2 = lane * _SLOTS + ((self.prev2[:n] * 40503 + prev * 9973) % _SLOTS)
+        self.i2 = lane * _SLOTS + ((self.prev2[:n] * 40503 + prev * 9973 & (_SLOTS - 1)))
         self.i1 = lane * self.steps + prev
         self.e2, self.e1 = self.after2.take(self.i2), self.after1.take(self.i1)
         has2, has1, top = self.e2 >= 0, self.e1 >= 0, self.top[:n]
@@ -109,7 +109,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order, alive = _order(np.array([len(b) for b in blocks]))
     lanes, steps = len(blocks), len(alive)
-    ids, ranks = np.zeros((steps, lanes), "uint64"), np.zeros((steps, lanes), "int64")
+    ids, ranks = np.zeros((steps, lanes), "uint16"), np.zeros((steps, lanes), "int16")
     for lane, k in enumerate(order):
         b = blocks[k]
         ids[: len(b), lane], ranks[: len(b), lane] = b, _ranks(b)
@@ -141,7 +141,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for t in range(steps):
         n = int(alive[t])
         here = slice(0, n)
-        rank = ranks[t, :n]
+        rank = ranks[t, :n].astype("int64")
         cand, p = model.predict(n)
         hit = rank == cand
         unit = width[here] >> _S16
@@ -160,7 +160,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             new = miss[mine == seen]
             if len(new):
                 unit = width.take(new) >> _S16
-                low[new] += ids[t].take(new) * unit
+                low[new] += ids[t].take(new).astype("uint64") * unit
                 width[new] = unit
                 settle(new)
         model.update(rank, hit)
@@ -195,11 +195,12 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]
     order, alive = _order(np.array([n for n, _, _ in blocks]))
     lanes, steps = len(blocks), len(alive)
     size = max(len(w) for _, _, w in blocks) + 4
-    words = np.zeros(lanes * size, "uint64")
+    words = np.zeros(lanes * size, "uint16")
     for lane, k in enumerate(order):
         words[lane * size : lane * size + len(blocks[k][2])] = blocks[k][2]
     used = np.arange(lanes) * size
-    code = words[used] << np.uint64(32) | words[used + 1] << _S16 | words[used + 2]
+    first, second, third = (words[used + k].astype("uint64") for k in range(3))
+    code = first << np.uint64(32) | second << _S16 | third
     used += 3
     last = np.arange(1, lanes + 1) * size - 1
     width = np.full(lanes, 1 << 48, "uint64")

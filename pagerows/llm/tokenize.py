@@ -7,6 +7,7 @@ most of the work; all ids come from the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -18,8 +19,12 @@ from .base import split_words, sums
 
 #: Units kept by a worker. Of more, the older half stays (frequent ones come early); results don't depend on it.
 CACHE_UNITS = 400_000
-#: Letters of ASCII and Latin-1 (composed, with plain lower case), then at most one mark.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,]?)")
+#: Fixed value: the pattern by which the vocabulary's pre-tokenizer finds pre-tokens in lower-cased text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Units of printable ASCII and the letters of Latin-1, which are composed and have a plain lower case, and the
+#: pattern as it reads for these characters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from U+0100 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _BYTES = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
@@ -42,32 +47,34 @@ class UnitEncoder:
     """Ids of the texts of a batch, as 16-bit numbers; the vocabulary must have at most 65,536."""
 
     def __init__(self, path: str, limit: int = CACHE_UNITS):
-        self.tokenizer, self.limit, self.cache = load(path), limit, {}
+        self.tokenizer, self.limit, self.cache, self.pieces = load(path), limit, {}, {}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536:
             raise ValueError("ids need 16 bits")
+        parts = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        #: Whether units may be cut here; with another pre-tokenizer the library gets them whole.
+        self.cuts = [p.get("pattern", {}).get("Regex") for p in parts if p["type"] == "Split"] == [PATTERN]
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token in lower case, from the library's model."""
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        self.pieces[piece] = ids = array("H", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return ids
 
     def learn(self, units: list[str]) -> None:
         trim(self.cache, self.limit)
-        cache, model, others = self.cache, self.tokenizer.model, []
+        trim(self.pieces, self.limit)
+        cache, pieces, others = self.cache, self.pieces, []
         for u in units:
             if u in cache:
                 continue
-            m = _WORD.fullmatch(u)
-            if m is None:
+            # special tokens are found before pre-tokens are; white space at a batch's ends makes an empty unit
+            if not u:
+                cache[u] = b""
+            elif self.cuts and "<|" not in u and _PLAIN.fullmatch(u):
+                found = _PIECE.findall(u.lower())
+                cache[u] = b"".join([pieces.get(p) or self.piece(p) for p in found])
+            else:
                 others.append(u)
-                continue
-            # letters and a mark are two pre-tokens of the vocabulary's model, the first in lower case
-            word, mark = m.groups()
-            word = word.lower()
-            ids = cache.get(word)
-            if ids is None:
-                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-                cache[word] = ids = array("H", [t.id for t in model.tokenize(spelled)] if word else []).tobytes()
-            if mark:
-                if mark not in cache:
-                    cache[mark] = array("H", [t.id for t in model.tokenize(mark)]).tobytes()
-                ids += cache[mark]
-            cache[u] = ids
         for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             cache[u] = array("H", e.ids).tobytes()
 
