@@ -7,9 +7,14 @@ length, the sorted numbers and a row of values for each class (language), found
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import small_batches, split_words, sums
@@ -143,12 +148,62 @@ class KneserNey:
         return sums(self.log_p(unique)[at], np.concatenate([[0], np.cumsum(n)])), n
 
 
-def train(rows: DataFrame, text_col: str = "text", class_col: str | None = None, order: int = ORDER, max_grams: int = 4_000_000) -> KneserNey:
-    """Counts of all rows, then the model on the driver. Of more than ``max_grams`` grams (bound of what is gathered
-    and broadcast) the most frequent are kept; unseen ones get their shorter contexts' probability."""
-    counted = count_grams(rows, text_col, class_col, order)
-    found = counted.orderBy(F.desc("n"), "class", "gram").limit(max_grams).toArrow()
-    names, gram, n = (found.column(c).combine_chunks() for c in ("class", "gram", "n"))
-    names = np.array(names.to_pylist(), dtype=object)
-    gram, n = gram.to_numpy().view("uint64"), n.to_numpy()
-    return KneserNey({c: (gram[names == c], n[names == c]) for c in sorted(set(names.tolist()))}, order)
+def train(rows: DataFrame, text_col: str = "text", class_col: str | None = None, order: int = ORDER) -> KneserNey:
+    """Counts of all rows, then the model from all their grams; see ``share`` for how tasks get it. Texts are counted
+    where they lie; what the driver gathers is the distinct grams, 8 bytes each and a count, which grow with the
+    corpus as its vocabulary does."""
+    found = count_grams(rows, text_col, class_col, order).toArrow()
+    classes = found.column("class").combine_chunks().dictionary_encode()
+    which = classes.indices.to_numpy()
+    gram, n = found.column("gram").to_numpy().view("uint64"), found.column("n").to_numpy()
+    names = classes.dictionary.to_pylist()
+    counts = {}
+    for k in range(len(names)):
+        own = np.flatnonzero(which == k)
+        own = own[np.argsort(gram[own])]
+        counts[names[k]] = gram[own], n[own]
+    return KneserNey({c: counts[c] for c in sorted(counts)}, order)
+
+
+#: Bytes of a model's arrays up to which it is broadcast.
+BROADCAST_BYTES = 256 << 20
+_TABLES = ("keys", "values", "contexts", "left")
+
+
+class Shared:
+    """A model of any size for tasks: ``value`` is the object, its arrays broadcast within it or mapped from files."""
+
+    def __init__(self, broadcast, files: dict | None = None):
+        self._broadcast, self._files, self._value = broadcast, files, None
+
+    def __getstate__(self):
+        return self._broadcast, self._files
+
+    def __setstate__(self, state):
+        (self._broadcast, self._files), self._value = state, None
+
+    @property
+    def value(self) -> KneserNey:
+        if self._value is None:
+            model = self._broadcast.value
+            for (table, k), name in (self._files or {}).items():
+                getattr(model, table)[k] = np.load(SparkFiles.get(name), mmap_mode="r")
+            self._value = model
+        return self._value
+
+
+def share(spark: SparkSession, model: KneserNey, most: int = BROADCAST_BYTES) -> Shared:
+    """Broadcast up to ``most`` bytes. Beyond, the sorted arrays go to the executors as files, which the workers of a
+    machine map into memory together; results are the same."""
+    arrays = {(t, k): x for t in _TABLES for k, x in getattr(model, t).items()}
+    sc = spark.sparkContext
+    if sum(x.nbytes for x in arrays.values()) <= most:
+        return Shared(sc.broadcast(model))
+    folder, own = tempfile.mkdtemp(prefix="letters-"), uuid.uuid4().hex
+    files = {(t, k): f"{own}-{t}-{k}.npy" for t, k in arrays}
+    for at, name in files.items():
+        np.save(os.path.join(folder, name), arrays[at])
+        sc.addFile(os.path.join(folder, name))
+    shell = KneserNey.__new__(KneserNey)
+    shell.__dict__ = model.__dict__ | {t: {} for t in _TABLES}
+    return Shared(sc.broadcast(shell), files)

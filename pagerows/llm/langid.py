@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import held_out, map_texts, split_words, sums
-from .charlm import KneserNey, train
+from .charlm import KneserNey, share, train
 
 #: A text is rejected whose cross-entropy lies this many standard errors above its language's own mean.
 REJECT_SIGMA = 12.0
@@ -27,7 +27,7 @@ def identify(documents: DataFrame, model: KneserNey, text_col: str = "text", kee
     The language of the least cross-entropy for each prediction wins (the first by name on a tie). A null text, one
     without letters, or a model without languages gives ``und`` with score 0 and is rejected. ``rejected`` also marks
     texts that fit none: see REJECT_SIGMA. Whole texts are read; repeated rows stay."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = share(documents.sparkSession, model)
 
     def start():
         m = shared.value

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .base import shared_dir, small_batches
 from .token_codec import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
-from .tokenize import UnitEncoder
+from .tokenize import unit_encoder
 
 #: Ids of a segment, unless one document has more; blocks that are coded side by side at most.
 SEGMENT_IDS, LANES = 1 << 16, 4096
@@ -37,7 +37,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 1,
     small_batches(documents.sparkSession)
 
     def run(batches):
-        encoder, part = UnitEncoder(path), TaskContext.get().partitionId()
+        encoder, part = unit_encoder(path), TaskContext.get().partitionId()
         segment = first = 0
         held: list = []  # (doc ids, lengths, ids) of segments that wait for their round
         waiting = 0

@@ -11,6 +11,7 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +101,9 @@ def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarr
     at = np.repeat(shift, per)
     at += np.arange(total, dtype=small)
     return flat.take(at)
+
+
+@lru_cache(maxsize=1)
+def unit_encoder(path: str) -> UnitEncoder:
+    """One encoder for all tasks that a worker runs, so that its cache is filled once."""
+    return UnitEncoder(path)

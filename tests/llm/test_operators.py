@@ -271,3 +271,16 @@ def test_url_filter(spark):
     assert got[5][2:] == got[6][2:] == ("net/es/", "block")
     assert got[7] == ("example.com", "", None, "allow") and got[8] == ("com", "/", "com/", "allow")
     assert got[9] == ("b:", "//c.com/", None, "allow")
+
+
+def test_letter_model_in_files_scores_as_broadcast(spark):
+    rows = spark.createDataFrame([("a", "some words of one kind"), ("b", "andere Wörter einer Art"), ("a", None), (None, "x")], "lang string, text string")
+    model = charlm.train(rows, "text", "lang")
+    texts = ["some", "Wörter", "zzz"]
+
+    def scored(shared):
+        return spark.range(1).coalesce(1).mapInPandas(lambda it: (p.assign(v=[shared.value.score_words(texts)[0].ravel().tolist()]) for p in it), "id long, v array<double>").first()["v"]
+
+    in_files = charlm.share(spark, model, most=0)
+    assert in_files._files and len(scored(in_files)) == 6
+    assert scored(in_files) == scored(charlm.share(spark, model)) == model.score_words(texts)[0].ravel().tolist()
