@@ -153,3 +153,43 @@ def coverage(expected: Column, actual: Column) -> Column:
     want = F.array_distinct(F.filter(F.transform(expected, norm_header), lambda h: h != ""))
     have = F.array_distinct(F.transform(actual, norm_header))
     return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(want, have)) / F.size(want))
+
+
+def context_identity(row_key: Column, url: Column, table: Column, kind: Column, anchor: Column, text: Column) -> Column:
+    """What makes a context of a table the same as another; empty for other kinds."""
+    parts = F.array_join(F.array(F.lit("table-dom"), *(_text(c) for c in (url, table, kind, anchor, text))), "::")
+    named = F.when(_text(row_key) != "", F.concat(F.lit("row-key:"), row_key)).otherwise(parts)
+    return F.when(kind.isin("table-row", "table-header"), named).otherwise("")
+
+
+def virtual_position(table: Column, page: Column, index: Column) -> Column:
+    return F.concat(_text(table), F.lit("::page:"), page.cast("string"), F.lit("::virtual-index:"), index.cast("string"))
+
+
+def row_markdown(headers: Column, values: Column) -> Column:
+    """A row's selected values as a Markdown table of two columns."""
+    line = lambda h, v: F.concat(F.lit("| "), markdown_cell(h), F.lit(" | "), markdown_cell(v), F.lit(" |"))
+    return F.array_join(F.concat(F.array(F.lit("| 字段 | 值 |"), F.lit("| --- | --- |")), F.zip_with(headers, values, line)), "\n")
+
+
+def direct_url(url: Column, title: Column) -> Column:
+    """Where a page's tab opens directly; empty for other pages or without a title."""
+    origin, name = F.lower(F.regexp_extract(_text(url), r"^(https?://[^/?#]+)/epaas/?(?:[?#].*)?$", 1)), one_line(title)
+    return F.when((origin == "") | (name == ""), "").otherwise(F.concat(origin, F.lit("/epaas?n="), F.url_encode(name)))
+
+
+def whole_number(c: Column, default: int, low: int, high: int) -> Column:
+    """A text or number as a whole number within bounds; the default where it is none."""
+    return F.least(F.greatest(F.coalesce(c.try_cast("double").cast("long"), F.lit(default)), F.lit(low)), F.lit(high))
+
+
+def insert_index(indexes: Column, position: Column, position_index: Column) -> Column:
+    """Where a derived column goes: at an index, after the last selected column, or before the first (0 without any)."""
+    held = F.filter(indexes, lambda i: i >= 0)
+    at = F.when(position == "after-last-selected-column", F.array_max(held) + 1).otherwise(F.array_min(held))
+    return F.when((position == "at-column") & (position_index >= 0), position_index).otherwise(F.coalesce(at, F.lit(0)))
+
+
+def list_signature(fingerprints: Column) -> Column:
+    """Of a list's row fingerprints in order: a digest, so that its size doesn't grow with the list."""
+    return F.sha2(F.array_join(fingerprints, "|"), 256)

@@ -1,0 +1,68 @@
+"""Stateful operators on streams: request limits, readiness of tables, collections.
+
+A key's rows of one micro-batch come together and are sorted there; the source's ``maxFilesPerTrigger`` bounds them.
+State is a few numbers a key. Rows must not arrive later than a batch after their time, else they count as they come.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def _in_order(frames, order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(order, kind="stable")
+
+
+def rate_guard_stream(requests: DataFrame, key: str, ts_ms: str, tie: str, window_ms: int = 60_000, most: int = 5) -> DataFrame:
+    """``(key, tie, outcome)`` of each request: ``allowed``, ``limit`` or ``cooldown``, as ``folds.rate_guard`` says."""
+
+    def run(name, frames, state: GroupState):
+        stamps, until = state.get if state.exists else ("", 0)
+        stamps = [int(t) for t in stamps.split(",") if t]
+        rows, out = _in_order(frames, [ts_ms, tie]), []
+        for now in rows[ts_ms].tolist():
+            stamps = [t for t in stamps if now - t <= window_ms]
+            if until > now:
+                out.append("cooldown")
+            elif len(stamps) >= most:
+                until = max(now, stamps[0] + window_ms)
+                out.append("limit")
+            else:
+                stamps, until = [*stamps, now], 0
+                out.append("allowed")
+        state.update((",".join(map(str, stamps)), until))
+        yield pd.DataFrame({key: name[0], tie: rows[tie], "outcome": out})
+
+    asked = requests.select(F.col(key).cast("long").alias(key), F.col(ts_ms).cast("long").alias(ts_ms), F.col(tie).cast("long").alias(tie))
+    schema = f"{key} bigint, {tie} bigint, outcome string"
+    return asked.groupBy(key).applyInPandasWithState(run, schema, "stamps string, until bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def readiness_stream(polls: DataFrame, key: str, ts_ms: str, tie: str, value: str, n: int = 2) -> DataFrame:
+    """``(key, tie)`` of the first poll at which the value has been equal for ``n`` comparisons in a row."""
+
+    def run(name, frames, state: GroupState):
+        last, same = state.get if state.exists else (None, 0)
+        if same < 0:  # found before
+            return
+        rows, found = _in_order(frames, [ts_ms, tie]), []
+        for t, now in zip(rows[tie].tolist(), rows[value].tolist()):
+            same = same + 1 if last is not None and now == last else 0
+            last = now
+            if same == n:
+                found, same = [t], -1
+                break
+        state.update((last, same))
+        yield pd.DataFrame({key: [name[0]] * len(found), tie: found})
+
+    seen = polls.select(F.col(key).cast("long").alias(key), F.col(ts_ms).cast("long").alias(ts_ms), F.col(tie).cast("long").alias(tie), F.col(value).cast("string").alias(value))
+    return seen.groupBy(key).applyInPandasWithState(run, f"{key} bigint, {tie} bigint", "last string, same int", "append", GroupStateTimeout.NoTimeout)
+
+
+def collect_stream(snapshots: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
+    """First sight of each row of overlapping snapshots; a row seen again within the time is dropped, and older state
+    goes as the watermark passes."""
+    return snapshots.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
