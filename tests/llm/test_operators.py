@@ -242,6 +242,18 @@ def test_pii(spark, docs, odd):
     assert clean[-1] == "[EMAIL][EMAIL] [EMAIL]."
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "1.2.3.00", "000.01.002.0255", "0.0.0.256", "0300.1.1.1", "0" * 4000 + ".0.0.0", "0" * 4000 + "256.0.0.0"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(rows)
+    got = {r.doc_id: r for r in pii.report(rows, model).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(rows, model).collect()}
+    for i, t in enumerate(texts):
+        valid = all(int(p) <= 255 for p in t.split("."))
+        assert got[i].n_ip == valid and (clean[i] == "[IP]") == valid
+        assert not valid or got[i].spans == f"ip:0:{len(t)}"
+
+
 def test_embeddings(spark):
     rnd = np.random.default_rng(4)
     centres = rnd.standard_normal((60, 16))
