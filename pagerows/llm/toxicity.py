@@ -1,15 +1,18 @@
 """Toxicity behind disguise: noisy-channel restoration, then a lexicon of words and word beginnings.
 
 A word that holds look-alike signs (leetspeak), separators or long repetitions, or letters that stand apart, is a
-lattice: each sign may stand for some letters at a cost, or for nothing. The Viterbi path under a character language
-model of the corpus is the restored word; plain words are their own. Weights of words and beginnings come from
+lattice: each sign may stand for some letters at a cost, for nothing, or for the end of a word; between letters that
+stand apart a word may end, too. The Viterbi path under a character language model of the corpus gives the restored
+words; plain words are their own. Weights of words and beginnings come from
 labelled documents; a text's score is the logistic of the prior and its distinct words' weights.
 """
 
 from __future__ import annotations
 
 import math
+import os.path
 import re
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -36,74 +39,112 @@ _SWAP, _DROP_SIGN, _DROP_REPEAT, _KEEP_REPEAT = -1.5, -1.0, -0.2, -1.0
 _EDGES = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$+€£]+$")
 _THRICE = re.compile(r"(.)\1\1")
 _APART = 4
-_LONGEST = 64
+#: Steps after which what all paths share is let go, and characters of a unit that is remembered.
+_FLUSH, _REMEMBERED = 256, 64
+#: What a worker has found out under each model: log probabilities, restored units.
+_FOUND: WeakKeyDictionary[KneserNey, tuple[dict[str, float], dict[str, str]]] = WeakKeyDictionary()
 
 
 class Restorer:
     def __init__(self, model: KneserNey):
-        self.model, self.known = model, {}
+        self.model = model
+        self.known, self.restored = _FOUND.setdefault(model, ({}, {}))
 
     def _log_p(self, before: str, c: str) -> float:
-        key = END if c == "" else ord(c) & 0xFFFF
-        for k, b in enumerate(reversed(before[-(self.model.order - 1) :]), 1):
-            key |= (ord(b) & 0xFFFF) << 16 * k
-        if key not in self.known:
+        gram = before + (c or "\x01")
+        found = self.known.get(gram)
+        if found is None:
+            key = END if c == "" else ord(c) & 0xFFFF
+            for k, b in enumerate(reversed(before[-(self.model.order - 1) :]), 1):
+                key |= (ord(b) & 0xFFFF) << 16 * k
             if len(self.known) > 500_000:
                 self.known.clear()
-            self.known[key] = float(self.model.log_p(np.array([key], "uint64"))[0, 0]) if self.model.classes else -4.0
-        return self.known[key]
+            found = self.known[gram] = float(self.model.log_p(np.array([key], "uint64"))[0, 0]) if self.model.classes else -4.0
+        return found
 
     def restore(self, unit: str) -> str:
-        """The most likely word; '' where nothing is a letter or could stand for one."""
+        """The most likely words, with spaces between; '' where nothing is a letter or could stand for one."""
         word = unit.lower()
         if word.isalpha() and not _THRICE.search(word):
             return word
-        word = _EDGES.sub("", word)
-        if word.isalpha() and not _THRICE.search(word):
-            return word
-        if len(word) > _LONGEST or not any(c.isalpha() for c in word):
-            return "".join(c for c in word if c.isalpha())
-        return self.decode(word)
+        found = self.restored.get(word)
+        if found is None:
+            bare = _EDGES.sub("", word)
+            if bare.isalpha() and not _THRICE.search(bare):
+                found = bare
+            else:
+                found = self.decode(bare) if any(c.isalpha() for c in bare) else ""
+            if len(word) <= _REMEMBERED:
+                if len(self.restored) > 100_000:
+                    self.restored.clear()
+                self.restored[word] = found
+        return found
 
-    def decode(self, word: str) -> str:
-        """Viterbi over the lattice. A state is the last letters that the model looks at; of paths that meet in one,
-        the best stays."""
+    def decode(self, word: str, apart: bool = False) -> str:
+        """Viterbi over the lattice. A state is the last letters of the word that the model looks at; of paths that
+        meet in one, the best stays. Where all paths agree, their letters are settled, so any length streams through.
+        ``apart``: a word may end before each character."""
         states = {"": (0.0, "")}
         keep = self.model.order - 1 if self.model.classes else 1
+        log_p, settled = self._log_p, []
         for i, c in enumerate(word):
             run = i and word[i - 1] == c
             tripled = run and (i > 1 and word[i - 2] == c or word[i + 1 : i + 2] == c)
             ways = [(c, _KEEP_REPEAT if tripled else 0.0)] if c.isalpha() else []
             ways += [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
+            ends = None
             if not c.isalpha():
-                ways.append(("", _DROP_SIGN if c not in LOOKALIKES else 2 * _SWAP))
+                ends = _DROP_SIGN if c not in LOOKALIKES else 2 * _SWAP
+                ways.append(("", ends))
             elif tripled:
                 ways.append(("", _DROP_REPEAT))
+            if apart:
+                self._end(states, states, 0.0)
             after: dict[str, tuple[float, str]] = {}
             for past, (value, out) in states.items():
                 for x, cost in ways:
-                    v = value + cost + (self._log_p(past, x) if x else 0.0)
+                    v = value + cost + (log_p(past, x) if x else 0.0)
                     s = (past + x)[-keep:]
                     if s not in after or v > after[s][0]:
                         after[s] = (v, out + x)
+            if ends is not None:
+                self._end(states, after, ends)
             states = after
-        return max((v + self._log_p(s, ""), out) for s, (v, out) in states.items())[1]
+            if i % _FLUSH == _FLUSH - 1 and (same := len(os.path.commonprefix([out for _, out in states.values()]))):
+                settled.append(next(iter(states.values()))[1][:same])
+                states = {s: (v, out[same:]) for s, (v, out) in states.items()}
+        best = max((v + (self._log_p(s, "") if s else 0.0), out) for s, (v, out) in states.items())[1]
+        return ("".join(settled) + best).strip(" ")
+
+    def _end(self, states: dict[str, tuple[float, str]], after: dict[str, tuple[float, str]], cost: float) -> None:
+        """The best path whose word ends here joins ``after``."""
+        ended = [(value + cost + self._log_p(past, ""), out + " ") for past, (value, out) in states.items() if past]
+        if ended and ((best := max(ended))[0] > after.get("", (-math.inf,))[0]):
+            after[""] = best
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Documents and words, one entry for each occurrence, and the restored words. Runs of single letters that
-        stand apart also make a word."""
+        stand apart also make words."""
         begin, codes, units = split_words(texts)
         doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        names = [self.restore(u) for u in units]
+        number: dict[str, int] = {}
+        own = [[number.setdefault(w, len(number)) for w in self.restore(u).split(" ")] for u in units]
         single = np.array([len(u) == 1 and u not in ",;:&" for u in units], bool)[codes] if len(codes) else np.zeros(0, bool)
+        more, more_doc = [], []
         if single.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], single * (doc + 1), [0]])))
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if single[s] and e - s >= _APART:
-                    joined = "".join(units[c] for c in codes[s:e])
-                    names.append(self.restore(joined[:_LONGEST]) if len(joined) <= _LONGEST else joined.lower())
-                    doc, codes = np.append(doc, doc[s]), np.append(codes, len(names) - 1)
-        return doc, codes, names
+                    joined = _EDGES.sub("", "".join(units[c] for c in codes[s:e]).lower())
+                    if any(c.isalpha() for c in joined):
+                        found = self.decode(joined, apart=True).split(" ")
+                        more += [number.setdefault(w, len(number)) for w in found]
+                        more_doc += [doc[s]] * len(found)
+        size = np.fromiter(map(len, own), "int64", len(own))
+        flat = np.array([k for x in own for k in x], "int64")
+        per = size[codes] if len(codes) else np.zeros(0, "int64")
+        at = np.repeat((np.cumsum(size) - size)[codes] - (np.cumsum(per) - per), per) + np.arange(int(per.sum())) if len(codes) else per
+        return np.append(np.repeat(doc, per), np.array(more_doc, "int64")), np.append(flat[at], np.array(more, "int64")), list(number)
 
 
 def features(word: str) -> list[str]:

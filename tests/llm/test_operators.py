@@ -201,6 +201,25 @@ def test_restoration(spark, docs):
     assert "idiot" in names
 
 
+def test_words_that_end_within_units_and_spaced_runs(spark, docs, monkeypatch):
+    r = toxicity.Restorer(charlm.train(docs))
+    units = ["you...idiot", "well,idiot", "you/idiot", "you-1d10t", "you...i.d.i.o.t", "idiot", "i.d.i.o.t"]
+    assert [r.restore(u) for u in units] == ["you idiot", "well idiot", "you idiot", "you idiot", "you idiot", "idiot", "idiot"]
+
+    def found(text):
+        doc, codes, names = r.words(pa.array(["first", text, None]))
+        return [names[k] for d, k in zip(doc, codes) if d == 1]
+
+    assert found("such a m o r o n")[-2:] == ["a", "moron"]
+    assert found(" ".join("youareanidiotandaclown" * 9)).count("idiot") == 9  # over 64 spaced letters
+    assert found("/".join(["you", "cl0wn"] * 60)) == ["you", "clown"] * 60  # a unit of over 64 characters
+    assert found("one you/idiot two") == ["one", "you", "idiot", "two"]
+    long = ["y0u.idiot/" * 90, "youareanidiot" * 90, "x" * 999, "1a" * 400]
+    streamed = [r.decode(w, apart) for w in long for apart in (False, True)]
+    monkeypatch.setattr(toxicity, "_FLUSH", 1 << 40)
+    assert streamed == [r.decode(w, apart) for w in long for apart in (False, True)]
+
+
 def test_toxicity(spark, odd):
     base = "/root/testdata/sf0.01"
     docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
