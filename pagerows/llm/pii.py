@@ -33,9 +33,9 @@ _EXTRA = {
     # digits and brackets in phone groups, without the international sign
     "phone": r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
     # key=value credentials, key ids, long hexadecimal strings
-    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|pwd|secret|token|api_?key)[=:]\x20?[^\s\x22',;]{6,64}|AKIA[0-9A-Z]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
-    # country code, check digits, account number
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|pwd|secret|token|api_?key)[=:]\x20?[^\s\x22',;]{6,}+|AKIA[0-9A-Z]{16}|[0-9a-f]{32,}+)(?![A-Za-z0-9])",
+    # country code, check digits, account number; 34 characters at most, the last group may be shorter
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20?[0-9A-Z]{4}){7}(?:\x20?[0-9A-Z]{1,2})?|(?:\x20?[0-9A-Z]{4}){2,6}(?:\x20?[0-9A-Z]{1,3})?)(?![A-Za-z0-9])",
 }
 #: Words before a span that speak for its kind.
 _CONTEXT = {
@@ -66,6 +66,22 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _checks(account: Column) -> Column:
+    """The check digits: the number, its first four characters moved to the end and letters as 10 to 35, is 1 modulo 97."""
+    plain = F.translate(account, " ", "")
+    moved = F.concat(F.substring(plain, 5, F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
+    values = F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: F.conv(F.substring(moved, i, F.lit(1)), 36, 10).cast("int"))
+    return (F.length(plain) >= 15) & (F.aggregate(values, F.lit(0), lambda a, v: F.when(v > 9, a * 100 + v).otherwise(a * 10 + v) % 97) == 1)
+
+
+def _without_words(s: Column) -> Column:
+    """An account's span without capitals that only follow it: the longest run of its groups with right check digits."""
+    groups = F.split(s["match"], " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    own = F.coalesce(F.get(F.filter(runs, _checks), F.lit(0)), s["match"])
+    return F.struct(s["start"].alias("start"), (s["start"] + F.length(own)).alias("end"), own.alias("match"))
+
+
 def _passes(kind: str, match: Column) -> Column:
     digits = _digits(match)
     if kind == "ip":
@@ -99,7 +115,7 @@ def _spans(text: Column, pattern: str, kind: str, base: bool) -> Column:
             ).alias("spans"),
         ),
     )["spans"]
-    kept = F.filter(placed, lambda s: _passes(kind, s["match"])) if base else placed
+    kept = F.filter(placed, lambda s: _passes(kind, s["match"])) if base else F.transform(placed, _without_words) if kind == "account" else placed
     return F.transform(
         F.when(F.size(matches) > 0, kept).otherwise(empty),
         lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), s["match"].alias("match"), F.lit(base).alias("base")),
@@ -147,8 +163,8 @@ def voted(text: Column, spans: Column) -> Column:
         before = F.lower(F.substring(text, F.greatest(s["start"] - _BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(_BEFORE))))
         after = F.substring(text, s["end"] + 1, F.lit(1))
         digits = _digits(match)
-        regex = F.when(s["base"], 1).when(
-            _by_kind(rank, {"phone": F.length(digits).between(9, 12), "account": F.length(match) >= 15}, F.lit(True)), 0
+        regex = F.when(s["base"] | ((rank == KINDS.index("account")) & _checks(match)), 1).when(
+            _by_kind(rank, {"phone": F.length(digits).between(9, 12), "account": F.lit(False)}, F.lit(True)), 0
         ).otherwise(-1)
         gazetteer = _by_kind(
             rank,

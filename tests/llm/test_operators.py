@@ -273,6 +273,21 @@ def test_pii_addresses_with_zero_parts(spark):
         assert not valid or got[i].spans == f"ip:0:{len(t)}"
 
 
+def test_pii_accounts_and_secrets_of_any_length(spark):
+    accounts = [
+        "DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300", "NO9386011117947",
+        "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19",
+    ]
+    secrets = ["token=" + "aB3" * 33 + "x", "f1" * 64, "password: " + "q7" * 400, "c0ffee" * 20_000]
+    texts = [f"pay to account {a} today" for a in accounts] + [f"the {s} today" for s in secrets] + ["account DE89 3704 0044 0532 0130 00 PAID IN full"]
+    wrong = ["order XQ12 ABCD EFGH IJKL now", "order XQ12 ABCD EFGH IJKM now", "the item ZZ99KLMNOPQRSTUV now"]
+    rows = spark.createDataFrame(list(enumerate(texts + wrong)), "doc_id long, text string")
+    clean = [r.text for r in pii.redact(rows, pii.fit(rows)).orderBy("doc_id").collect()]
+    assert clean[: len(accounts)] == ["pay to account [ACCOUNT] today"] * len(accounts)
+    assert clean[len(accounts) : len(accounts) + len(secrets)] == ["the [SECRET] today"] * len(secrets)
+    assert clean[-4:] == ["account [ACCOUNT] PAID IN full", *wrong]
+
+
 def test_embeddings(spark):
     rnd = np.random.default_rng(4)
     centres = rnd.standard_normal((60, 16))
