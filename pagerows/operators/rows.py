@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, normalize_text
 
 
 def sanitize_messages(messages: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
@@ -50,14 +50,20 @@ def prefix_within(rows: DataFrame, keys: list[str], cost: Column, order: list, b
     return run.where((F.col("__run") <= budget) | (F.col("__k") <= at_least)).drop("__run", "__k")
 
 
-def recent_rounds(messages: DataFrame, key: str, seq: str, n: int = 3, role: str = "role") -> DataFrame:
-    """Messages of the last ``n`` rounds; a round begins at a user's message, or an assistant's that follows none."""
-    w = Window.partitionBy(key).orderBy(seq)
-    own = messages.where(F.col(role).isin("user", "assistant"))
-    begins = (F.col(role) == "user") | (F.coalesce(F.lag(role).over(w), F.lit("")) != "user")
-    rounds = own.withColumn("__begin", begins.cast("int")).withColumn("__round", F.sum("__begin").over(w))
-    last = F.max("__round").over(Window.partitionBy(key))
-    return rounds.withColumn("__last", last).where(F.col("__round") > F.col("__last") - n).drop("__begin", "__round", "__last")
+def recent_rounds(messages: DataFrame, key: str, seq: str, n: int = 3, role: str = "role", content: str = "text", local: str | None = None) -> DataFrame:
+    """Messages of the last ``n`` rounds, or ``n`` + 2 where there are so many and the last ``n`` hold under 15,000
+    UTF-16 units. A round begins at a user's message, or an assistant's that follows none; another role between the two
+    parts them. Blank, failed and ``local`` only messages don't count."""
+    w, whole = Window.partitionBy(key).orderBy(seq), Window.partitionBy(key)
+    said = normalize_text(F.col(content))
+    shown = messages.where((said != "") & ~said.startswith("请求失败："))
+    shown = shown if local is None else shown.where(~F.coalesce(F.col(local), F.lit(False)))
+    begins = (F.col(role) == "user") | ((F.col(role) == "assistant") & (F.coalesce(F.lag(role).over(w), F.lit("")) != "user"))
+    own = shown.withColumn("__begin", begins.cast("int")).where(F.col(role).isin("user", "assistant"))
+    rounds = own.withColumn("__round", F.sum("__begin").over(w)).withColumn("__last", F.max("__round").over(whole))
+    size = F.sum(F.when(F.col("__round") > F.col("__last") - n, F.length(F.encode(F.col(content), "UTF-16BE")) / 2)).over(whole)
+    take = F.when((size < 15_000) & (F.col("__last") >= n + 2), n + 2).otherwise(n)
+    return rounds.withColumn("__take", take).where(F.col("__round") > F.col("__last") - F.col("__take")).drop("__begin", "__round", "__last", "__take")
 
 
 def cache_lookup(rows: DataFrame, cache: DataFrame, keys: list[str], now: int, ttl_ms: int = 7_200_000) -> DataFrame:
