@@ -20,11 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group stays, once; rows with a null id all stay."""
-    groups = simhash.simhash_groups(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each near-duplicate group one document stays, once: the one with the least id, and of several texts with that
+    id the one with the least hash. Texts of other groups that share the id stay; so do all rows with a null id."""
+    marked = docs.withColumn("__hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("__null", F.col("text").isNull())
+    groups = simhash.grouped(marked, ["doc_id", "__hash", "__null"]).where("doc_id = component_id")
+    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "__hash", "__null")).alias("k")).select("k.*")
+    named = marked.join(kept, ["doc_id", "__hash", "__null"], "left_semi").dropDuplicates(["doc_id", "__hash", "__null"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,14 +80,20 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents with equal fingerprints count as linked, whatever their number, without pairs between them; null and
     wordless texts have fingerprint 0 and link like others. A row with a null id has a fingerprint, a null component
     and no links. Repeated rows stay. The least id of a component names it."""
-    prints = cut(fingerprints(documents, text_col, [id_col], shingle))
-    classes = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(near_pairs(classes.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(placed.join(names, "root").select(F.col("fp").alias("__fp"), "component_id"))
-    return prints.join(named, prints["fp"] == named["__fp"], "left").select(
+    return grouped(documents, [id_col], id_col, text_col, shingle).select(
         id_col,
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def grouped(documents: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``keep`` columns (the id among them), ``fp``, and the component's ``root`` and least id: two components can have
+    the same least id where texts share one. For rows with a null id neither means anything."""
+    prints = cut(fingerprints(documents, text_col, keep, shingle))
+    classes = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")))
+    roots = connected_components(near_pairs(classes.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(placed.join(names, "root").select(F.col("fp").alias("__fp"), "root", "component_id"))
+    return prints.join(named, prints["fp"] == named["__fp"], "left").drop("__fp")
