@@ -56,7 +56,7 @@ def split_words(texts: pa.Array, at: str | None = None) -> tuple[np.ndarray, np.
     lists = pc.ascii_split_whitespace(texts) if at is None else pc.split_pattern(texts, at)
     begin = lists.offsets.to_numpy().astype("int64")
     coded = lists.flatten().dictionary_encode()
-    return begin - begin[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return begin - begin[0], coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -85,15 +86,19 @@ class PieceEncoder:
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         self.agenda, self.limit, self.cache = Agenda(path), limit, {}
 
-    def learn(self, words: list[str]) -> None:
-        """Cache the ids of words, each given without its first space mark."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each given without its first space mark; they are kept."""
         trim(self.cache, self.limit)
-        new = [w for w in words if w not in self.cache]
+        own = list(map(self.cache.get, words))
+        missing = [k for k, ids in enumerate(own) if ids is None]
+        new = [words[k] for k in missing]
         ids = [self.agenda.encode(MARK + w) for w in new]
         # the library marks the text's start itself; a word of nothing but that mark needs a space of its own
         if [i for w, i in zip(new, ids) if w] != self.agenda.library.encode([w for w in new if w], num_threads=1):
             raise ValueError("the agenda and the library differ")
-        self.cache.update(zip(new, (np.array(i, "<u2").tobytes() for i in ids)))
+        for k, w, i in zip(missing, new, ids):
+            own[k] = self.cache[w] = array("H", i).tobytes()
+        return own
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of ids."""
@@ -105,8 +110,7 @@ class PieceEncoder:
         gap = words.index("") if "" in words else -1
         if gap >= 0:
             begin, codes, words = self._spaced(texts, begin, codes, words, gap)
-        self.learn(words)
-        own = [self.cache[w] for w in words]
+        own = self.learn(words)
         lengths = np.fromiter(map(len, own), "int64", len(own)) // 2
         return gather(np.frombuffer(b"".join(own), "<u2"), lengths, codes), sums(lengths[codes], begin)
 

@@ -1,10 +1,16 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are coded in blocks that reset all state, so each block stands alone and many blocks are coded side by side, one
-numpy lane each. For each id, an order-2 table, else an order-1 table, else the block's most frequent id (order 0)
-predicts a candidate; whether it is right is one binary decision whose probability mixes the adaptive estimates of
-the three orders. A missed id is coded as one of those the block has seen, or as a new one. Mixing uses only IEEE
-additions, products and table look-ups, so encoder and decoder agree bit by bit.
+numpy lane each. Of each id, two things are coded:
+
+- Whether it is the candidate of the longest context that knows one: what followed the last two ids (order 2), what
+  followed the last id (order 1), or the block's most frequent id (order 0). The probability mixes the three orders:
+  each gives a logit by how sure it is and whether it agrees, the logits are added, and all three learn from the error.
+- If it isn't, which id it is, by the counts of the block's ids so far (order 0), which are renewed as the block grows;
+  ids that these don't hold share an escape, as likely as there are different ids, and follow as 16 bits.
+
+Mixing is in whole numbers and table look-ups; the one float product and quotient are rounded as IEEE 754 says, so
+encoder and decoder agree bit by bit.
 
 A block: magic, number of ids, CRC-32 of the ids, number of 16-bit words (little-endian), then these words.
 """
@@ -17,161 +23,217 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 1024
-MAGIC = b"TIDB"
+#: Blocks coded side by side: enough to spread numpy's cost for each call, few enough that tables stay in cache.
+GROUP = 4096
+MAGIC = b"TIDC"
 _HEAD = struct.Struct("<4sIII")
-_SLOTS = 1024  # of the order-2 table, a power of two
-_LOW32, _LOW48, _S16 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1), np.uint64(16)
-_ZERO, _ALL = np.uint64(0), np.uint64(65536)
-_GRID = 1024
-_STRETCH = np.log((np.arange(_GRID) + 0.5) / (_GRID - np.arange(_GRID) - 0.5)).round(6)
-_SQUASH = np.clip(np.round(65536 / (1 + np.exp(-(np.arange(2 * _GRID) - _GRID) / 100.0))), 64, 65472).astype("uint64")
+#: Contexts of a block's table: by the last id; each holds what followed it (order 1) and, by the id before, what
+#: followed both (order 2, in one of three places beside it).
+_SLOTS, _PLACES = 128, 4
+_LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
+#: Logits are in units of 1/512; the probability of a hit in units of 1/65536, away from 0 and 1.
+_UNIT, _GRID = 512, 4096
+_SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-_GRID, _GRID) / _UNIT))), 64, 65472).astype("int64")
+#: First logits: by how sure order 2 is (0: knows nothing), by how sure order 1 is and whether it agrees with the
+#: candidate, by whether order 0 agrees.
+_START2 = np.array([-900, -500, 100, 500], "int32")
+_START1 = np.array([-300, -300, -300, 0, -300, 300, -300, 600], "int32")
+_START0 = np.array([0, 100], "int32")
+_RATE = 10  # errors move logits by 2 ** -_RATE of themselves
+
+
+def _renewals(steps: int) -> list[int]:
+    """The steps before which order-0 counts are renewed: each time the block has grown by a third, or by 16."""
+    out, t = [], 16
+    while t < steps:
+        out.append(t)
+        t += max(16, t // 3)
+    return out
 
 
 class _Model:
-    """Shared by encoder and decoder: what the ids so far predict, in ranks (order of first appearance in a block).
-
-    Lanes stand in order of falling length, so those still alive are the first ``n``. Tables are flat; an entry of
-    ``after1`` and ``after2`` is four times the rank that followed last, plus how sure it is (0 to 3)."""
-
-    def __init__(self, lanes: int, steps: int):
-        if 4 * steps + 3 > 32767:
-            raise ValueError("blocks have at most 8,191 ids")
-        self.lane = np.arange(lanes)
-        self.steps = steps + 1
-        self.after1 = np.full(lanes * self.steps, -1, "int16")
-        self.after2 = np.full(lanes * _SLOTS, -1, "int16")
-        self.count = np.zeros(lanes * self.steps, "int16")
-        self.top, self.top_count = np.full(lanes, -1), np.zeros(lanes, "int16")
-        self.seen = np.zeros(lanes, "int64")
-        self.prev, self.prev2 = np.full(lanes, steps), np.full(lanes, steps)
-        self.p2, self.p1, self.p0 = np.full(lanes * 5, 0.3), np.full(lanes * 10, 0.2), np.full(lanes * 2, 0.1)
-        self.w2, self.w1, self.w0 = (np.full(lanes, 0.4) for _ in range(3))
+    """Shared by encoder and decoder: candidates, and how likely they are.
+
+    Lanes stand in order of falling length, so those still alive are the first ``n``. An entry of the table ``after`` is
+    four times the id that followed last, plus how sure it is (0: nothing followed yet)."""
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.begin = lane * (_SLOTS * _PLACES)
+        self.base4, self.base8, self.base2 = lane * 4, lane * 8, lane * 2
+        self.after = np.zeros(lanes * _SLOTS * _PLACES, "int32")
+        self.w2, self.w1, self.w0 = (np.tile(w, lanes) for w in (_START2, _START1, _START0))
+        self.prev, self.place = np.zeros(lanes, "int64"), np.ones(lanes, "int64")
+        self.top = np.zeros(lanes, "int32")
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        lane, prev = self.lane[:n], self.prev[:n]
-        self.i2 = lane * _SLOTS + ((self.prev2[:n] * 40503 + prev * 9973 & (_SLOTS - 1)))
-        self.i1 = lane * self.steps + prev
-        self.e2, self.e1 = self.after2.take(self.i2), self.after1.take(self.i1)
-        has2, has1, top = self.e2 >= 0, self.e1 >= 0, self.top[:n]
-        one = self.e1 >> 2
-        self.cand = np.where(has2, self.e2 >> 2, np.where(has1, one, top))
-        self.k2 = lane * 5 + np.where(has2, 1 + (self.e2 & 3), 0)
-        self.k1 = lane * 10 + np.where(has1, 1 + (self.e1 & 3), 0) + 5 * (one == self.cand)
-        self.k0 = lane * 2 + (top == self.cand)
-        self.q2, self.q1, self.q0 = self.p2.take(self.k2), self.p1.take(self.k1), self.p0.take(self.k0)
-        self.x2, self.x1, self.x0 = (_STRETCH.take((q * _GRID).astype("int64")) for q in (self.q2, self.q1, self.q0))
-        z = self.w2[:n] * self.x2 + self.w1[:n] * self.x1 + self.w0[:n] * self.x0
-        self.p = _SQUASH.take((np.minimum(np.maximum(z * 100.0, -_GRID), _GRID - 1) + _GRID).astype("int64"))
-        return self.cand, self.p
-
-    def update(self, rank: np.ndarray, hit: np.ndarray) -> None:
-        """The ids just coded; a rank equal to ``seen`` is new."""
-        n = len(rank)
-        h = hit.astype("float64")
-        self.p2[self.k2] = self.q2 + (h - self.q2) * 0.05
-        self.p1[self.k1] = self.q1 + (h - self.q1) * 0.05
-        self.p0[self.k0] = self.q0 + (h - self.q0) * 0.05
-        error = (h - self.p * (1 / 65536.0)) * 0.02
-        self.w2[:n] += error * self.x2
-        self.w1[:n] += error * self.x1
-        self.w0[:n] += error * self.x0
-        fresh = (rank * 4).astype("int16")
-        for table, key, old in ((self.after2, self.i2, self.e2), (self.after1, self.i1, self.e1)):
-            table[key] = np.where(old >> 2 == rank, np.minimum(old + 1, fresh + 3), fresh)
-        at = self.lane[:n] * self.steps + rank
-        count = self.count.take(at) + 1
-        self.count[at] = count
-        best = count > self.top_count[:n]
-        self.top[:n] = np.where(best, rank, self.top[:n])
-        self.top_count[:n] = np.where(best, count, self.top_count[:n])
-        self.seen[:n] += rank == self.seen[:n]
-        self.prev2[:n] = self.prev[:n]
-        self.prev[:n] = rank
-
-
-def _ranks(ids: np.ndarray) -> np.ndarray:
-    """Order of first appearance of each id."""
-    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), "int64")
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[inverse]
-
-
-def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes by falling length, and how many are alive at each step."""
+        top = self.top[:n]
+        self.i1 = (self.prev[:n] & (_SLOTS - 1)) * _PLACES
+        self.i1 += self.begin[:n]
+        self.i2 = self.i1 + self.place[:n]
+        self.e1, self.e2 = self.after.take(self.i1), self.after.take(self.i2)
+        self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
+        sure1, sure2 = self.e1 & 3, self.e2 & 3
+        cand = np.where(sure2 > 0, self.c2, np.where(sure1 > 0, self.c1, top))
+        self.k2 = self.base4[:n] + sure2
+        sure1 <<= 1
+        sure1 += self.c1 == cand
+        self.k1 = self.base8[:n] + sure1
+        self.k0 = self.base2[:n] + (top == cand)
+        self.q2, self.q1, self.q0 = self.w2.take(self.k2), self.w1.take(self.k1), self.w0.take(self.k0)
+        logit = self.q2 + self.q1
+        logit += self.q0
+        logit += _GRID
+        self.p = _SQUASH.take(logit, mode="clip")
+        return cand, self.p
+
+    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """The ids just coded, as 32-bit numbers."""
+        n = len(ids)
+        error = hit.astype("int64") << 16
+        error -= self.p
+        error >>= _RATE
+        error = error.astype("int32")
+        for w, k, q in ((self.w2, self.k2, self.q2), (self.w1, self.k1, self.q1), (self.w0, self.k0, self.q0)):
+            q += error
+            w[k] = q
+        fresh = ids << 2
+        most = fresh | 3
+        fresh |= 1
+        self.after[self.i2] = np.where(self.c2 == ids, np.minimum(self.e2 + 1, most), fresh)
+        self.after[self.i1] = np.where(self.c1 == ids, np.minimum(self.e1 + 1, most), fresh)
+        place = self.place[:n]
+        np.bitwise_and(self.prev[:n], _PLACES - 1, out=place)
+        np.minimum(place, _PLACES - 2, out=place)
+        place += 1
+        self.prev[:n] = ids
+
+
+def _inverse(total: np.ndarray) -> np.ndarray:
+    """Slightly less than 1 / total, so that a width's product with it, in whole parts, never overflows the width."""
+    return (1 - 1e-12) / np.maximum(total, 1)
+
+
+def _groups(sizes: np.ndarray) -> list[np.ndarray]:
+    """Blocks by falling length, some at a time."""
     order = np.argsort(-sizes, kind="stable")
-    return order, len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max(initial=0))), side="right")
+    return [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
+
+
+def _alive(sizes: np.ndarray) -> np.ndarray:
+    """How many lanes are alive at each step."""
+    return len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes.max(initial=0))), side="right")
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks of unsigned 16-bit ids, as bytes each; a block may be empty."""
-    if not blocks:
-        return []
-    order, alive = _order(np.array([len(b) for b in blocks]))
-    lanes, steps = len(blocks), len(alive)
-    ids, ranks = np.zeros((steps, lanes), "uint16"), np.zeros((steps, lanes), "int16")
-    for lane, k in enumerate(order):
-        b = blocks[k]
-        ids[: len(b), lane], ranks[: len(b), lane] = b, _ranks(b)
-    model = _Model(lanes, steps)
-    low, width = np.zeros(lanes, "uint64"), np.full(lanes, 1 << 48, "uint64")
-    size = 3 * steps + 4
-    words, used = np.zeros(lanes * size, "uint16"), np.arange(lanes) * size
-
-    def settle(rows):
-        """Carry, then move 16 bits out where the width has become small."""
-        part = low[rows]
-        over = np.flatnonzero(part >> np.uint64(48))
-        if len(over):
-            low[rows] = part & _LOW48
-            at = used[rows][over] - 1
-            while len(at):
-                words[at] += np.uint16(1)
-                at = at[words[at] == 0] - 1
-        small = np.flatnonzero(width[rows] <= _LOW32)
-        if len(small):
-            small = small if isinstance(rows, slice) else rows[small]
-            out = low.take(small)
-            at = used.take(small)
-            words[at] = (out >> np.uint64(32)).astype("uint16")
-            used[small] = at + 1
-            low[small] = (out & _LOW32) << _S16
-            width[small] = width.take(small) << _S16
+    """Blocks of unsigned 16-bit ids, as bytes each; a block may be empty, and has at most 32,767 ids."""
+    out: list[bytes] = [b""] * len(blocks)
+    for group in _groups(np.array([len(b) for b in blocks], "int64")):
+        for k, coded in zip(group.tolist(), _encode([blocks[k] for k in group.tolist()])):
+            out[k] = coded
+    return out
+
+
+def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """Blocks by falling length, side by side."""
+    sizes = np.array([len(b) for b in blocks])
+    alive, lanes, lane = _alive(sizes), len(blocks), np.arange(len(blocks))
+    steps = len(alive)
+    if steps > 32_767:
+        raise ValueError("blocks have at most 32,767 ids")
+    rows = np.full((lanes, steps), 65535, "uint16")
+    for k, b in enumerate(blocks):
+        rows[k, : len(b)] = b
+    # each id's place among its block's distinct ids in ascending order; what fills up short blocks is never looked at
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, axis=1)
+    new = np.zeros((lanes, steps), "int16")
+    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=new[:, 1:], casting="unsafe")
+    np.cumsum(new, axis=1, out=new)
+    ranks = np.empty((lanes, steps), "int16")
+    np.put_along_axis(ranks, order, new, axis=1)
+    kinds = int(new[:, -1].max(initial=0)) + 2 if steps else 2
+    names = np.zeros((lanes, kinds), "uint16")
+    np.put_along_axis(names, new.astype("int64"), ordered, axis=1)
+    del order, ordered, new
+    ids, ranks = np.ascontiguousarray(rows.T).astype("int32"), np.ascontiguousarray(ranks.T)
+
+    model = _Model(lanes)
+    low, width = np.zeros(lanes, "int64"), np.full(lanes, 1 << 48, "int64")
+    # the k-th words of all blocks lie together, as blocks fill at about the same pace
+    words, used = np.zeros((3 * steps + 4) * lanes, "uint16"), lane.copy()
+
+    def carry(at: np.ndarray) -> None:
+        while len(at):
+            words[at] += np.uint16(1)
+            at = at[words[at] == 0] - lanes
+
+    def settle(some: np.ndarray) -> None:
+        """Move 16 bits out where the width has become small, after the carry that a sum has left above them."""
+        while len(some):
+            part, at = low.take(some), used.take(some)
+            over = part > _LOW48
+            if over.any():
+                carry(at[over] - lanes)
+            words[at] = (part >> 32).astype("uint16")
+            used[some] = at + lanes
+            low[some] = (part & _LOW32) << 16
+            wider = width.take(some) << 16
+            width[some] = wider
+            some = some[wider <= _LOW32]
 
+    counts = np.zeros(lanes * kinds, "int16")  # of each rank so far
+    renewals = iter([*_renewals(steps), steps])
+    start, until = 0, next(renewals)
     for t in range(steps):
         n = int(alive[t])
-        here = slice(0, n)
-        rank = ranks[t, :n].astype("int64")
+        if t == until:
+            counts += np.bincount((lane * kinds + ranks[start:until]).ravel(), minlength=lanes * kinds).astype("int16")
+            start, until = until, next(renewals)
+            own = counts.reshape(lanes, kinds)
+            place = lane * kinds + ranks[start:until]
+            many = counts.take(place)
+            seen = np.count_nonzero(own, axis=1)
+            below = np.cumsum(own, axis=1, dtype="int16").ravel().take(place) - many
+            fresh = many == 0
+            many, below = np.where(fresh, seen, many), np.where(fresh, start, below)
+            inverse = _inverse(start + seen)
+            model.top[:] = names[lane, own.argmax(axis=1)]
+        now = ids[t, :n]
         cand, p = model.predict(n)
-        hit = rank == cand
-        unit = width[here] >> _S16
-        cost = p * unit
-        low[here] += np.where(hit, _ZERO, cost)
-        width[here] = np.where(hit, cost, (_ALL - p) * unit)
-        settle(here)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            seen = model.seen.take(miss)
-            unit = width.take(miss) // (seen + 1).astype("uint64")  # the last of these means: new
-            mine = rank.take(miss)
-            low[miss] += mine.astype("uint64") * unit
-            width[miss] = unit
-            settle(miss)
-            new = miss[mine == seen]
-            if len(new):
-                unit = width.take(new) >> _S16
-                low[new] += ids[t].take(new).astype("uint64") * unit
-                width[new] = unit
-                settle(new)
-        model.update(rank, hit)
+        hit = now == cand
+        miss = ~hit
+        wide = width[:n]
+        cost = (wide >> 16) * p
+        rest = wide - cost
+        if start:
+            unit = (rest * inverse[:n]).astype("int64")
+            low[:n] += (cost + unit * below[t - start, :n]) * miss
+            wide = np.where(hit, cost, unit * many[t - start, :n])
+            new = np.flatnonzero(fresh[t - start, :n] & miss)
+        else:
+            low[:n] += cost * miss
+            wide = np.where(hit, cost, rest)
+            new = np.flatnonzero(miss)
+        width[:n] = wide
+        settle(np.flatnonzero(wide <= _LOW32))
+        if len(new):
+            unit = width.take(new) >> 16
+            low[new] += unit * now.take(new)
+            width[new] = unit
+            settle(new)  # always narrow now
+        model.update(now, hit)
     for _ in range(3):
-        words[used] = (low >> np.uint64(32)).astype("uint16")
-        used += 1
-        low = (low & _LOW32) << _S16
-    done: list[bytes] = [b""] * lanes
-    for lane, k in enumerate(order):
-        own = words[lane * size : used[lane]]
-        done[k] = _HEAD.pack(MAGIC, len(blocks[k]), zlib.crc32(np.asarray(blocks[k], "<u4").tobytes()), len(own)) + own.astype("<u2").tobytes()
+        carry(used[low > _LOW48] - lanes)
+        words[used] = (low >> 32).astype("uint16")
+        used += lanes
+        low = (low & _LOW32) << 16
+    lengths = used // lanes
+    streams = np.ascontiguousarray(words.reshape(-1, lanes)[: int(lengths.max(initial=0))].T)
+    done = []
+    for k, b in enumerate(blocks):
+        own = streams[k, : lengths[k]]
+        done.append(_HEAD.pack(MAGIC, len(b), zlib.crc32(np.asarray(b, "<u4").tobytes()), len(own)) + own.astype("<u2").tobytes())
     return done
 
 
@@ -188,70 +250,103 @@ def split_blocks(payload: bytes) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
+def _counted(past: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of ids so far -> for each place in ascending order the id, where its run of equals begins and how long it is
+    (21 bits each, in one number), the number of different ids, and the most frequent one (the least on a tie)."""
+    ordered = np.sort(past, axis=1, kind="stable")
+    lanes, n = ordered.shape
+    place = np.arange(n, dtype="int16")
+    new = np.ones((lanes, n), bool)
+    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=new[:, 1:])
+    first = np.flatnonzero(new)
+    lengths = np.diff(first, append=lanes * n)
+    packed = ordered.ravel()[first].astype("int64") << 42 | (first % n) << 21 | lengths
+    many = np.repeat(lengths.astype("int16"), lengths).reshape(lanes, n)
+    return np.repeat(packed, lengths), np.count_nonzero(new, axis=1), ordered[np.arange(lanes), many.argmax(axis=1)]
+
+
 def decode_blocks(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
     """The ids of each block; a wrong checksum raises ValueError."""
-    if not blocks:
-        return []
-    order, alive = _order(np.array([n for n, _, _ in blocks]))
-    lanes, steps = len(blocks), len(alive)
+    out: list = [None] * len(blocks)
+    for group in _groups(np.array([n for n, _, _ in blocks], "int64")):
+        for k, ids in zip(group.tolist(), _decode([blocks[k] for k in group.tolist()])):
+            out[k] = ids
+    return out
+
+
+def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
+    """Blocks by falling length, side by side."""
+    alive, lanes, lane = _alive(np.array([n for n, _, _ in blocks])), len(blocks), np.arange(len(blocks))
+    steps = len(alive)
+    if steps > 32_767:
+        raise ValueError("blocks have at most 32,767 ids")
     size = max(len(w) for _, _, w in blocks) + 4
-    words = np.zeros(lanes * size, "uint16")
-    for lane, k in enumerate(order):
-        words[lane * size : lane * size + len(blocks[k][2])] = blocks[k][2]
-    used = np.arange(lanes) * size
-    first, second, third = (words[used + k].astype("uint64") for k in range(3))
-    code = first << np.uint64(32) | second << _S16 | third
-    used += 3
-    last = np.arange(1, lanes + 1) * size - 1
-    width = np.full(lanes, 1 << 48, "uint64")
-    model, names, out = _Model(lanes, steps), np.zeros(lanes * (steps + 1), "uint16"), np.zeros((steps, lanes), "uint16")
-
-    def settle(rows):
-        small = np.flatnonzero(width[rows] <= _LOW32)
-        if len(small):
-            small = small if isinstance(rows, slice) else rows[small]
-            at = used.take(small)
-            code[small] = code.take(small) << _S16 | words.take(at)
-            used[small] = np.minimum(at + 1, last.take(small))
-            width[small] = width.take(small) << _S16
+    streams = np.zeros((lanes, size), "uint16")
+    for k, (_, _, own) in enumerate(blocks):
+        streams[k, : len(own)] = own
+    words = np.ascontiguousarray(streams.T).ravel().astype("int64")
+    code = words[lane] << 32 | words[lane + lanes] << 16 | words[lane + 2 * lanes]
+    used, last = lane + 3 * lanes, (size - 1) * lanes
+    width = np.full(lanes, 1 << 48, "int64")
+    model, out = _Model(lanes), np.zeros((steps, lanes), "uint16")
+
+    def settle(some: np.ndarray) -> None:
+        while len(some):
+            at = used.take(some)
+            code[some] = code.take(some) << 16 | words.take(at, mode="clip")
+            used[some] = np.minimum(at + lanes, last)
+            wider = width.take(some) << 16
+            width[some] = wider
+            some = some[(wider <= _LOW32) & (wider > 0)]
 
+    renewals = iter([*_renewals(steps), steps])
+    start, until = 0, next(renewals)
     for t in range(steps):
         n = int(alive[t])
-        here = slice(0, n)
+        if t == until:
+            start, until = until, next(renewals)
+            packed, seen, top = _counted(np.ascontiguousarray(out[:start, :n].T))
+            inverse = _inverse(start + seen)
+            escape = start << 21 | seen
+            model.top[:n] = top
+            row = lane * start
         cand, p = model.predict(n)
-        unit = width[here] >> _S16
-        cost = p * unit
-        hit = (code[here] < cost) & (cand >= 0)
-        code[here] -= np.where(hit, _ZERO, cost)
-        width[here] = np.where(hit, cost, (_ALL - p) * unit)
-        settle(here)
-        rank = np.maximum(cand, 0).astype("int64")
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            seen = model.seen.take(miss)
-            unit = width.take(miss) // (seen + 1).astype("uint64")
-            part = code.take(miss)
-            got = np.minimum((part // unit).astype("int64"), seen)
-            code[miss] = part - got.astype("uint64") * unit
-            width[miss] = unit
-            settle(miss)
-            rank[miss] = got
-            new = miss[got == seen]
-            if len(new):
-                unit = width.take(new) >> _S16
-                part = code.take(new)
-                fresh = np.minimum(part // unit, np.uint64(65535))
-                code[new] = part - fresh * unit
-                width[new] = unit
-                settle(new)
-                names[new * (steps + 1) + rank.take(new)] = fresh
-        out[t, :n] = names.take(model.lane[:n] * (steps + 1) + rank)
-        model.update(rank, hit)
-    result: list[np.ndarray] = [out[:0, 0]] * lanes
-    for lane, k in enumerate(order):
-        n, crc, _ = blocks[k]
-        ids = np.ascontiguousarray(out[:n, lane])
+        wide, part = width[:n], code[:n]
+        cost = (wide >> 16) * p
+        hit = part < cost
+        miss = ~hit
+        rest = wide - cost
+        part = part - cost * miss
+        if start:
+            unit = (rest * inverse[:n]).astype("int64")
+            at = (part / np.maximum(unit, 1)).astype("int64")  # exact: both are below 2 ** 53, their quotient far below
+            known = at < start
+            found = np.where(known, packed.take(row[:n] + np.minimum(at, start - 1)), escape[:n])
+            wide = np.where(hit, cost, unit * (found & 0x1FFFFF))
+            part -= unit * (found >> 21 & 0x1FFFFF) * miss
+            now = np.where(hit, cand, (found >> 42).astype("int32"))
+            new = np.flatnonzero(miss & ~known)
+        else:
+            wide = np.where(hit, cost, rest)
+            now = cand
+            new = np.flatnonzero(miss)
+        code[:n], width[:n] = part, wide
+        settle(np.flatnonzero(wide <= _LOW32))
+        if len(new):
+            unit = width.take(new) >> 16
+            part = code.take(new)
+            fresh = np.minimum((part / np.maximum(unit, 1)).astype("int64"), 65535)
+            code[new] = part - fresh * unit
+            width[new] = unit
+            settle(new)
+            now[new] = fresh.astype("int32")
+        out[t, :n] = now
+        model.update(now, hit)
+    rows = np.ascontiguousarray(out.T)
+    result = []
+    for k, (n, crc, _) in enumerate(blocks):
+        ids = rows[k, :n]
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("checksum differs: a block of token ids is damaged")
-        result[k] = ids
+        result.append(ids)
     return result

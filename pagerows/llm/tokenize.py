@@ -61,13 +61,14 @@ class UnitEncoder:
         self.pieces[piece] = ids = array("H", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         return ids
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, which are kept."""
         trim(self.cache, self.limit)
         trim(self.pieces, self.limit)
         cache, pieces, others = self.cache, self.pieces, []
-        for u in units:
-            if u in cache:
-                continue
+        own = list(map(cache.get, units))
+        new = [k for k, ids in enumerate(own) if ids is None]
+        for u in map(units.__getitem__, new):
             # special tokens are found before pre-tokens are; white space at a batch's ends makes an empty unit
             if not u:
                 cache[u] = b""
@@ -78,12 +79,14 @@ class UnitEncoder:
                 others.append(u)
         for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             cache[u] = array("H", e.ids).tobytes()
+        for k in new:
+            own[k] = cache[units[k]]
+        return own
 
     def batch(self, texts: pa.Array, counts_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
         """All ids in a row, and each text's number of ids."""
         begin, codes, units = split_words(texts)
-        self.learn(units)
-        own = [self.cache[u] for u in units]
+        own = self.learn(units)
         lengths = np.fromiter(map(len, own), "int64", len(own)) // 2
         per_unit = lengths[codes]
         counts = sums(per_unit, begin)
