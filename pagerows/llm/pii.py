@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Candidates are found by regular expressions. Labelers then vote on each (1 for, -1 against, 0 none): the strict
-pattern and check digits, a gazetteer, the words and signs before it, its shape. Expectation-maximisation over the
+Candidates are found by regular expressions; the model learns from those that fail their checks, too. Labelers vote on
+each (1 for, -1 against, 0 none): the strict pattern and check digits, a gazetteer, the words and signs before it, its
+shape. Expectation-maximisation over the
 counts of vote patterns estimates how reliable each labeler is and a pattern's chance to be right; with these as soft
 labels a naive Bayes classifier over votes and shape features is trained, which decides on spans beyond the base ones.
 Only counts of patterns, whose number is fixed by the labelers, reach the driver.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +44,18 @@ _CONTEXT = {
     "email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address|login", "card": "card|visa|credit|pay|amex",
     "phone": "phone|call|tel|mobile|fax|contact", "secret": "key|secret|password|token|credential|login", "account": "iban|account|bank|transfer",
 }
+#: What speaks against any kind: a number goes on, or something else is named.
+_AGAINST = r"[0-9][.,-]?$|\b(?:version|release|isbn|issn|order|invoice|serial|build|sku|item|chapter|section|page)\b"
+#: Addresses as mail servers take them: no stray dots, a domain that ends in letters.
+_EMAIL = r"^[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$"
 #: Gazetteers: top-level domains, leading octets that are no hosts, card issuers, calling codes, countries of accounts.
 _DOMAINS = "com|org|net|edu|gov|io|de|fr|es|uk|it|nl|eu|info|biz"
 _ISSUERS = "4|5[1-5]|2[2-7]|34|37|6011|65|35"
 _CALLING = "1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 _COUNTRIES = "AD|AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|SE"
 LABELERS = ("regex", "gazetteer", "context", "shape")
-_BEFORE = 32
+#: Characters looked at before a span (back to the match before it at most), and elements of a chunk of ``_before``.
+_BEFORE, _CHUNK = 32, 256
 
 
 def _luhn(digits: Column) -> Column:
@@ -79,7 +86,41 @@ def _without_words(s: Column) -> Column:
     groups = F.split(s["match"], " ")
     runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
     own = F.coalesce(F.get(F.filter(runs, _checks), F.lit(0)), s["match"])
-    return F.struct(s["start"].alias("start"), (s["start"] + F.length(own)).alias("end"), own.alias("match"))
+    after = F.when(own == s["match"], s["after"]).otherwise(" ")
+    return F.struct(
+        s["start"].alias("start"), s["rank"].alias("rank"), (s["start"] + F.length(own)).alias("end"), own.alias("match"),
+        s["base"].alias("base"), s["before"].alias("before"), after.alias("after"),
+    )
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, though lambdas within use it for each of their elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number what ``step`` (a sum, a greatest) makes of 0 and all before it. An array that grows is
+    copied at each step, so this is done in chunks, then for the chunks: time is all but linear."""
+    empty = F.expr("cast(array() as array<int>)")
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(
+            xs,
+            F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+        )
+
+    def chunked(xs: Column) -> Column:
+        last = F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / _CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(xs, i * _CHUNK + 1, F.lit(_CHUNK))))
+
+    def joined(parts: Column) -> Column:
+        return _let(
+            fold(F.transform(parts, lambda c: c["at"]))["out"],
+            lambda tops: F.flatten(F.zip_with(parts, tops, lambda c, top: F.transform(c["out"], lambda v: step(top, v)))),
+        )
+
+    return _let(values, lambda xs: _let(chunked(xs), joined))
 
 
 def _passes(kind: str, match: Column) -> Column:
@@ -93,55 +134,78 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, pattern: str, kind: str, base: bool) -> Column:
-    """All matches with their places: the gaps between them, as split gives them, and the matches take turns."""
-    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    placed = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(
-                    F.struct(
-                        (a["at"] + F.length(x["gap"])).alias("start"),
-                        (a["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"),
-                        x["match"].alias("match"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-    )["spans"]
-    kept = F.filter(placed, lambda s: _passes(kind, s["match"])) if base else F.transform(placed, _without_words) if kind == "account" else placed
-    return F.transform(
-        F.when(F.size(matches) > 0, kept).otherwise(empty),
-        lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), s["match"].alias("match"), F.lit(base).alias("base")),
-    )
+def _teaches(kind: str, match: Column) -> Column:
+    """Matches that the model learns from, whether they pass or not: a number of the wrong length says nothing."""
+    return F.length(_digits(match)).between(12, 19) if kind == "card" else F.lit(True)
+
+
+_SPAN = "struct<start:int,rank:int,end:int,match:string,base:boolean,before:string,after:string>"
+
+
+def _spans(text: Column, pattern: str, kind: str, base: bool, loose: bool) -> Column:
+    """All matches with their places and what stands around them: the gaps between them, as split gives them, and the
+    matches take turns."""
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+
+    def placed(found: Column) -> Column:
+        matches, gaps = found["matches"], found["gaps"]
+        n = F.size(matches)
+        gap = F.slice(gaps, F.lit(1), n)
+        starts = _before(F.zip_with(gap, matches, lambda g, m: F.length(g) + F.length(m)), lambda a, x: a + x)
+        parts = F.arrays_zip(starts.alias("at"), gap.alias("gap"), matches.alias("match"), F.slice(gaps, F.lit(2), n).alias("next"))
+        spans = F.transform(
+            parts,
+            lambda p: F.struct(
+                (p["at"] + F.length(p["gap"])).alias("start"),
+                F.lit(KINDS.index(kind)).alias("rank"),
+                (p["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("end"),
+                p["match"].alias("match"),
+                (_passes(kind, p["match"]) if base else F.lit(False)).alias("base"),
+                F.right(p["gap"], F.lit(_BEFORE)).alias("before"),
+                F.left(p["next"], F.lit(1)).alias("after"),
+            ),
+        )
+        if base:
+            return F.filter(spans, lambda s: s["base"] | _teaches(kind, s["match"]) if loose else s["base"])
+        return F.transform(spans, _without_words) if kind == "account" else spans
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+    return _let(found, lambda f: F.when(F.size(f["matches"]) > 0, placed(f)).otherwise(none))
+
+
+def _apart(extra: Column, base: Column) -> Column:
+    """The spans that overlap no base span: in order of where bases start and others end, no base before one of the
+    others may end after that one's start."""
+    begins = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("end"), b.alias("span")))
+    others = F.transform(extra, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("base"), F.lit(0).alias("end"), s.alias("span")))
+
+    def kept(events: Column) -> Column:
+        ends = _before(F.transform(events, lambda e: e["end"]), lambda a, x: F.greatest(a, x))
+        both = F.zip_with(events, ends, lambda e, end: F.struct(e["base"].alias("base"), end.alias("until"), e["span"].alias("span")))
+        return F.transform(F.filter(both, lambda x: (x["base"] == 0) & (x["until"] <= x["span"]["start"])), lambda x: x["span"])
+
+    return F.when((F.size(extra) == 0) | (F.size(base) == 0), extra).otherwise(_let(F.array_sort(F.concat(begins, others)), kept))
 
 
 _NEEDS = {"email": "@", "phone": "+"}
 
 
-def candidates(documents: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+def candidates(documents: DataFrame, text_col: str, keep: list[str], loose: bool = False) -> DataFrame:
     """``keep`` columns, the text as ``__text`` ('' for null) and ``__spans``, base spans first in order, then others
-    that overlap no base span."""
+    that overlap no base span. ``loose``: base patterns' matches that fail their checks are there, too."""
     text = F.col("__text")
-    source = documents.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,match:string,base:boolean>>)")
+    source = documents.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
     has_digit = text.rlike("[0-9]")
 
     def found(kind: str, pattern: str, base: bool) -> Column:
         sign = _NEEDS.get(kind) if base else None
         possible = F.contains(text, F.lit(sign)) if sign else has_digit
-        return F.when(possible, _spans(text, pattern, kind, base)).otherwise(none)
+        return F.when(possible, _spans(text, pattern, kind, base, loose)).otherwise(none)
 
     bases = source.withColumn("__base", F.array_sort(F.concat(*(found(k, _BASE[k], True) for k in BASE_KINDS))))
-    extra = F.concat(*(found(k, p, False) for k, p in _EXTRA.items()))
-    apart = F.filter(extra, lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return bases.withColumn("__extra", F.array_sort(apart)).withColumn("__spans", F.concat("__base", "__extra")).drop("__base", "__extra")
+    both = bases.withColumn("__extra", F.concat(*(found(k, p, False) for k, p in _EXTRA.items())))
+    return both.withColumn("__spans", F.concat("__base", F.array_sort(_apart(F.col("__extra"), F.col("__base"))))).drop("__base", "__extra")
 
 
 def _by_kind(rank: Column, of: dict[str, Column], other: Column) -> Column:
@@ -155,16 +219,16 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
 
 
-def voted(text: Column, spans: Column) -> Column:
+def voted(spans: Column) -> Column:
     """Each span with its labelers' votes and its features."""
 
     def one(s: Column) -> Column:
         match, rank = s["match"], s["rank"]
-        before = F.lower(F.substring(text, F.greatest(s["start"] - _BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(_BEFORE))))
-        after = F.substring(text, s["end"] + 1, F.lit(1))
+        before, after = F.lower(s["before"]), s["after"]
         digits = _digits(match)
-        regex = F.when(s["base"] | ((rank == KINDS.index("account")) & _checks(match)), 1).when(
-            _by_kind(rank, {"phone": F.length(digits).between(9, 12), "account": F.lit(False)}, F.lit(True)), 0
+        strict = _by_kind(rank, {"email": match.rlike(_EMAIL), "account": _checks(match)}, s["base"])
+        regex = F.when(strict, 1).when(
+            _by_kind(rank, {"phone": ~match.startswith("+") & F.length(digits).between(9, 12), "secret": F.lit(True)}, F.lit(False)), 0
         ).otherwise(-1)
         gazetteer = _by_kind(
             rank,
@@ -178,7 +242,7 @@ def voted(text: Column, spans: Column) -> Column:
             },
             F.lit(0),
         )
-        context = _vote(_by_kind(rank, {k: before.rlike(w) for k, w in _CONTEXT.items()}, F.lit(False)), before.rlike(r"[0-9][.,-]?$|version |isbn "))
+        context = _vote(_by_kind(rank, {k: before.rlike(w) for k, w in _CONTEXT.items()}, F.lit(False)), before.rlike(_AGAINST))
         shape = _by_kind(
             rank,
             {
@@ -261,9 +325,10 @@ class SpanModel:
 
 
 def fit(documents: DataFrame, text_col: str = "text") -> SpanModel:
-    """From the vote patterns of all candidates of all documents. No documents or candidates give a model that adds no span."""
-    found = candidates(documents, text_col, [])
-    s = found.select(F.explode(voted(F.col("__text"), F.col("__spans"))).alias("s"))
+    """From the vote patterns of all candidates of all documents, those that fail a base kind's checks among them. No
+    documents or candidates give a model that adds no span."""
+    found = candidates(documents, text_col, [], loose=True)
+    s = found.select(F.explode(voted(F.col("__spans"))).alias("s"))
     counted = s.groupBy(*(F.col(f"s.{c}").alias(c) for c in _SEEN)).count()
     return SpanModel(sorted((tuple(r)[:-1], r["count"]) for r in counted.collect()))  # at most kinds x votes x features
 
@@ -272,10 +337,10 @@ def detect(documents: DataFrame, model: SpanModel, text_col: str = "text", keep:
     """``keep`` columns, the text as ``__text``, and ``__base`` and ``__spans``: arrays of ``(start, rank, end)`` in
     order of start, then kind; places in code points, end exclusive. Base spans always stay; of the others those with
     log odds over 0. Null text counts as empty. Repeated rows stay. No shuffle."""
-    found = candidates(documents, text_col, list(keep)).withColumn("__voted", voted(F.col("__text"), F.col("__spans")))
+    found = candidates(documents, text_col, list(keep)).withColumn("__voted", voted(F.col("__spans")))
     place = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
     return found.select(
-        *keep,
+        *(F.col(f"`{c}`") for c in keep),
         "__text",
         F.transform(F.filter("__voted", lambda s: s["base"]), place).alias("__base"),
         F.array_sort(F.transform(F.filter("__voted", lambda s: s["base"] | (model.log_odds(s) > 0)), place)).alias("__spans"),
@@ -295,24 +360,29 @@ def report(documents: DataFrame, model: SpanModel, text_col: str = "text", keep:
         return F.size(F.filter("__base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
 
     counts = [count(k) for k in range(len(BASE_KINDS))]
-    return found.select(*keep, *counts, F.sha2(_listed("__base"), 256).alias("base_sha256"), _listed("__spans").alias("spans"))
+    return found.select(*(F.col(f"`{c}`") for c in keep), *counts, F.sha2(_listed("__base"), 256).alias("base_sha256"), _listed("__spans").alias("spans"))
 
 
 def redact(documents: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
     """The documents with each run of overlapping spans replaced by its first kind in brackets; a null text stays null."""
     others = [c for c in documents.columns if c != text_col]
     found = detect(documents, model, text_col, [*others, text_col])
-    text = F.col("__text")
-    cut = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["rank"] + 1)), F.lit("]")))
-            .alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    new = F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(cut).alias(text_col)
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+
+    def cut(x: Column) -> Column:
+        """Each span with the end of all before it: what lies between stays, a span that begins later is named."""
+        chars, spans = x["chars"], x["spans"]
+        until = _before(F.transform(spans, lambda s: s["end"]), lambda a, e: F.greatest(a, e))
+        pieces = F.zip_with(
+            spans,
+            until,
+            lambda s, at: F.when(s["start"] < at, "").otherwise(
+                F.concat(F.array_join(F.slice(chars, at + 1, s["start"] - at), ""), F.element_at(names, s["rank"] + 1))
+            ),
+        )
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.array_join(F.concat(pieces, F.array(F.array_join(F.slice(chars, last + 1, F.size(chars)), ""))), "")
+
+    redacted = _let(F.struct(F.split(F.col("__text"), "").alias("chars"), F.col("__spans").alias("spans")), cut)
+    new = F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(redacted).alias(text_col)
     return found.select(*(new if c == text_col else F.col(f"`{c}`") for c in documents.columns))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -288,6 +289,69 @@ def test_pii_accounts_and_secrets_of_any_length(spark):
     assert clean[-4:] == ["account [ACCOUNT] PAID IN full", *wrong]
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Places, overlaps and redaction in texts of far more matches than one chunk of a running value."""
+    rnd = random.Random(5)
+    some = ["4111 1111-1111 1111", "1.2.3.4", "a.b@c.de", "+1 (555) 123-4567", "1234567", "012-345-6789", "password=hunter22", "x", "né 😀"]
+    texts = [" ; ".join(rnd.choice(some) for _ in range(n)) for n in (1, 255, 256, 257, 2000)] + [" ".join(f"{k}," for k in range(20_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    model = pii.fit(rows)
+    got = pii.report(rows, model).orderBy("doc_id").collect()
+    clean = [r.text for r in pii.redact(rows, model).orderBy("doc_id").collect()]
+    assert time.time() - began < 90
+    for t, r, c in zip(texts, got, clean):
+        parts = t.split(" ; ")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(parts.count(some[k]) for k in (2, 1, 0, 3))
+        spans = sorted((int(s), int(e), kind) for kind, s, e in (x.split(":") for x in r.spans.split(",") if x))
+        out, at = "", 0
+        for s, e, kind in spans:
+            if s >= at:
+                out += t[at:s] + f"[{kind.upper()}]"
+            at = max(at, e)
+        assert c == out + t[at:]
+
+
+def test_pii_reliabilities_equal_brute_force():
+    """Expectation-maximisation over counts of patterns against one over single candidates, with planted labelers."""
+    rnd = random.Random(9)
+    rank, chances = pii.KINDS.index("card"), [(0.95, 0.9), (0.8, 0.6), (0.6, 0.9), (0.7, 0.7)]
+    rows = []
+    for _ in range(3000):
+        true = rnd.random() < 0.4
+        votes = tuple(0 if rnd.random() < 0.2 else (1 if (rnd.random() < (a if true else b)) == true else -1) for a, b in chances)
+        rows.append((rank, *votes, 1, 0))
+    counts = {r: rows.count(r) for r in set(rows)}
+    model = pii.SpanModel(sorted(counts.items()))
+    share, right = 0.5, [[0.7, 0.7] for _ in chances]
+    for _ in range(50):
+        true = []
+        for r in rows:
+            yes, no = share, 1 - share
+            for v, (a, b) in zip(r[1:5], right):
+                yes, no = (yes, no) if v == 0 else (yes * a, no * (1 - b)) if v > 0 else (yes * (1 - a), no * b)
+            true.append(yes / (yes + no))
+        share = (sum(true) + 1) / (len(rows) + 2)
+        for k in range(4):
+            hit = [sum(q for q, r in zip(true, rows) if r[1 + k] == v) for v in (1, -1)]
+            miss = [sum(1 - q for q, r in zip(true, rows) if r[1 + k] == v) for v in (1, -1)]
+            right[k] = [(hit[0] + 7) / (sum(hit) + 10), (miss[1] + 7) / (sum(miss) + 10)]
+    found = list(model.reliability["card"].values())
+    assert np.allclose(found, right, atol=1e-6)
+    assert np.allclose(found, chances, atol=0.08)  # and near what was planted
+
+
+def test_pii_labelers_differ(spark, docs):
+    """On prose with personal data and numbers that fail their checks, labelers don't stay at their priors."""
+    cards = [f"pay by card {4000001234567890 + 37 * k} now" for k in range(60)] + [f"order {4111111111111111 + k * 3} sent" for k in range(60)]
+    ips = [f"host {k}.{k * 7 % 300}.3.4 up" for k in range(120)]
+    more = spark.createDataFrame([(-k - 1, t) for k, t in enumerate(cards + ips)], "doc_id long, text string")
+    model = pii.fit(docs.select("doc_id", "text").unionByName(more))
+    for kind in ("ip", "card"):
+        own = model.reliability[kind]
+        assert own["regex"] != own["shape"] and own["context"] != [0.7, 0.7]
+
+
 def test_embeddings(spark):
     rnd = np.random.default_rng(4)
     centres = rnd.standard_normal((60, 16))
