@@ -92,6 +92,8 @@ class KneserNey:
         shapes: dict = {k: [] for k in range(1, order + 1)}
         #: Mean and variance, over a class's own predictions, of minus the log probability.
         self.mean, self.var = np.zeros(len(self.classes)), np.zeros(len(self.classes))
+        #: Set where the model is calibrated: each class' limit of rejection, and the curve of the score.
+        self.limit, self.curve = np.full(len(self.classes), np.inf), (0.5, 1.0)
         for c in self.classes:
             key, n = (np.asarray(x) for x in counts[c])
             key, n = key.astype("uint64"), n.astype("float64")
