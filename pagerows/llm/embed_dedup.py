@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
-Each tree splits recursively along random directions at a sample's median; a vector near a split goes to both sides.
+Many trees split recursively along random directions, by a sample; a vector near a split goes to both sides.
 Vectors are compared only within leaves; a pair that shares several leaves counts in the first. Equal vectors are one
 class and never expanded. A leaf with many vectors is cut into blocks, and blocks are compared two by two, so no task
 holds more than two blocks and nothing is left out. Links found are verified by their exact cosine and united.
@@ -19,52 +19,62 @@ from .base import cut, small_batches
 from .components import connected_components
 
 THRESHOLD = 0.93
-TREES, LEAF, DEPTH, BLOCK = 4, 512, 10, 1024
+TREES, LEAF, BLOCK = 8, 512, 1024
 #: Half the width of the overlap, in units of a vector of length 1 along a random direction, times sqrt(dimensions).
-SPILL = 0.3
-#: Vectors that the splits' medians are taken from, at most; every vector is indexed.
-SAMPLE = 20_000
-#: What a level leaves of a node's vectors, for choosing how deep a label's trees go.
-SHRINK = 0.64
+SPILL = 0.1
+#: Vectors that splits are fitted on, at most, and levels that are; every vector is indexed, at any depth.
+SAMPLE, FITTED = 20_000, 8
+#: What a level leaves of a node's vectors, for choosing how deep a label's trees go, and directions of a level at most.
+SHRINK, DIRECTIONS = 0.54, 256
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
-        self.dims = sample.shape[1]
-        self.depth, self.trees = depth, trees
+    """Trees of any depth. The splits of the first levels are the sample's medians. Deeper, a node splits where the
+    centre of its ancestor on the last fitted level lies: later directions are all but orthogonal to those before."""
+
+    def __init__(self, sample: np.ndarray, trees: int = TREES, seed: int = 7):
+        self.dims, self.trees, self.seed = sample.shape[1], trees, seed
         self.margin = SPILL / math.sqrt(self.dims)
-        nodes = (1 << depth) - 1
-        self.medians = np.zeros((trees, nodes))
-        self.seed = seed
+        self.medians = np.zeros((trees, (1 << FITTED) - 1))
+        self.centres = np.zeros((trees, 1 << FITTED, self.dims))
         for t in range(trees):
             at = np.zeros(len(sample), "int64")
-            for level in range(depth):
-                directions = self.directions(t, level)
-                first = (1 << level) - 1
-                p = np.einsum("ij,ij->i", sample, directions[at - first]) if len(sample) else np.zeros(0)
+            for level in range(FITTED):
+                p = self.project(sample, t, level, at)
                 for node in np.unique(at):
-                    self.medians[t, node] = np.median(p[at == node])
-                at = 2 * at + 1 + (p > self.medians[t, at])
+                    self.medians[t, (1 << level) - 1 + node] = np.median(p[at == node])
+                at = 2 * at + (p > self.medians[t, (1 << level) - 1 + at])
+            self.centres[t] = sample.mean(axis=0) if len(sample) else 0.0
+            for node in np.unique(at):
+                self.centres[t, node] = sample[at == node].mean(axis=0)
 
     def directions(self, tree: int, level: int) -> np.ndarray:
-        """Of all nodes of a level; drawn anew from the seed rather than sent."""
-        d = np.random.default_rng((self.seed, tree, level)).standard_normal((1 << level, self.dims))
+        """Of a level's nodes, in turn; drawn anew from the seed rather than sent."""
+        d = np.random.default_rng((self.seed, tree, level)).standard_normal((min(1 << level, DIRECTIONS), self.dims))
         return d / np.linalg.norm(d, axis=1, keepdims=True)
 
+    def project(self, x: np.ndarray, tree: int, level: int, node: np.ndarray) -> np.ndarray:
+        d = self.directions(tree, level)
+        return np.einsum("ij,ij->i", x, d[node % len(d)])
+
+    def threshold(self, tree: int, level: int, node: np.ndarray) -> np.ndarray:
+        if level < FITTED:
+            return self.medians[tree, (1 << level) - 1 + node]
+        return self.project(self.centres[tree, node >> (level - FITTED)], tree, level, node)
+
     def leaves(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaf codes: for each row its leaves at its own depth, in all trees. At depth 0 there is one leaf."""
         rows, codes = [np.flatnonzero(depth == 0)], [np.zeros(int((depth == 0).sum()), "int64")]
         for t in range(self.trees):
             row, node = np.flatnonzero(depth > 0), np.zeros(int((depth > 0).sum()), "int64")
             for level in range(int(depth.max(initial=0))):
-                first = (1 << level) - 1
-                p = np.einsum("ij,ij->i", x[row], self.directions(t, level)[node - first]) - self.medians[t, node]
+                p = self.project(x[row], t, level, node) - self.threshold(t, level, node)
                 left, right = p <= self.margin, p > -self.margin
                 row = np.concatenate([row[left], row[right]])
-                node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+                node = np.concatenate([2 * node[left], 2 * node[right] + 1])
                 done = depth[row] == level + 1
                 rows.append(row[done])
-                codes.append(t * (2 << self.depth) + node[done] + 1)
+                codes.append((node[done] + 1) * self.trees + t)
                 row, node = row[~done], node[~done]
         return np.concatenate(rows), np.concatenate(codes)
 
@@ -77,7 +87,7 @@ def _unit(flat: np.ndarray, dims: int) -> np.ndarray:
 
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        rep, weight, block = (table.column(c).to_numpy() for c in ("rep", "m", "block"))
+        rep, weight, block = (table.column(c).to_numpy() for c in ("cls", "m", "block"))
         dims, code, i, j = (table.column(c)[0].as_py() for c in ("dims", "code", "i", "j"))
         x = _unit(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), dims)
         near = x @ x.T >= threshold
@@ -110,7 +120,7 @@ def _compare(threshold: float):
                 break
             root[touched] = new
         some = (n > 0) | (root != place)
-        return pa.table({"rep": rep[some], "n": n[some].astype("int64"), "root": rep[order[root[some]]]})
+        return pa.table({"cls": rep[some], "n": n[some].astype("int64"), "root": rep[order[root[some]]]})
 
     return run
 
@@ -122,16 +132,22 @@ def near_duplicates(
 
     Vectors link when their labels are equal and not null and their cosine reaches ``threshold``; of different lengths
     never. A vector that is null, empty, zero, holds a null or non-finite component, has no label or a null id links
-    with nothing and is its own component. Repeated rows link with each other. The forest may miss a link (recall is
+    with nothing and is its own component. Repeated rows link with each other; so do rows of one id with different
+    vectors, if these are near. Equal vectors are told by 128 bits of hash. The forest may miss a link (recall is
     measured in the tests); it never makes a false one."""
     spark = embeddings.sparkSession
     small_batches(spark)
-    all_rows = embeddings.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    sound = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
-    rows = all_rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
-    classes = cut(rows.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("m")).withColumn("dims", F.size("vec")))
+    vec = F.col(f"`{vec_col}`")
+    sound = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0)
+    able = F.coalesce(sound, F.lit(False)) & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()
+    # vectors travel once to their class, and then to their leaves; all other steps go by the class' number
+    all_rows = embeddings.select(
+        F.col(f"`{id_col}`").alias("id"), F.when(able, F.col(f"`{label_col}`")).alias("label"), F.xxhash64(vec).alias("h1"), F.xxhash64(F.lit(17), vec).alias("h2"), vec.alias("vec")
+    )
+    grouped = all_rows.where(F.col("label").isNotNull()).groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec"))
+    classes = cut(grouped.withColumn("dims", F.size("vec")).withColumn("cls", F.monotonically_increasing_id()))
     groups = classes.groupBy("label", "dims").agg(F.count("*").alias("size"))
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("dims", "vec").toArrow()
+    sample = classes.orderBy(F.xxhash64("rep", "cls")).limit(SAMPLE).select("dims", F.col("vec").cast("array<double>").alias("vec")).toArrow()
     by_dims: dict[int, Forest] = {}
     dims_of = sample.column("dims").to_numpy()
     for d in np.unique(dims_of):
@@ -151,38 +167,41 @@ def near_duplicates(
                     for r in own:
                         codes[r] = [0]
                     continue
-                f = forests[d]
                 x = _unit(batch.column(1).take(pa.array(own)).flatten().to_numpy(), int(d))
-                found, code = f.leaves(x, np.minimum(depth[own], f.depth))
-                for r, c in sorted(zip(found.tolist(), code.tolist()), key=lambda rc: rc[1]):
-                    codes[own[r]].append(c)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(codes, pa.list_(pa.int64()))], names=["label", "vec", "rep", "dims", "m", "codes"])
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    rep_type = classes.schema["rep"].dataType.simpleString()
-    sized = classes.join(groups, ["label", "dims"]).where("size > 1").select("label", "vec", "rep", "dims", "size", "m")
-    placed = cut(sized.mapInArrow(place, f"label {label_type}, vec array<double>, rep {rep_type}, dims int, m bigint, codes array<bigint>"))
+                found, code = forests[d].leaves(x, depth[own])
+                order = np.lexsort((code, found))
+                ends = np.cumsum(np.bincount(found, minlength=len(own)))
+                for r, c in zip(own.tolist(), np.split(code[order], ends[:-1])):
+                    codes[r] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(codes, pa.list_(pa.int64()))], names=["label", "vec", "cls", "dims", "m", "codes"])
+
+    label_type, vec_type = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
+    sized = classes.join(groups, ["label", "dims"]).where("size > 1").select("label", "vec", "cls", "dims", "size", "m")
+    placed = cut(sized.mapInArrow(place, f"label {label_type}, vec {vec_type}, cls bigint, dims int, m bigint, codes array<bigint>"))
     leaf = ["label", "dims", "code"]
+    sizes = placed.select("label", "dims", F.explode("codes").alias("code")).groupBy(*leaf).agg(F.count("*").alias("n")).where("n > 1")
+    blocks = sizes.select(*leaf, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     entries = placed.withColumn("code", F.explode("codes"))
-    blocks = entries.groupBy(*leaf).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    blocked = entries.join(blocks, leaf).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    blocked = entries.join(blocks, leaf).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     other = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = other.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = cut(
-        paired.select(*leaf, "i", "j", "block", "vec", "rep", "m", "codes")
+        paired.select(*leaf, "i", "j", "block", "vec", "cls", "m", "codes")
         .groupBy(*leaf, "i", "j")
-        .applyInArrow(_compare(threshold), f"rep {rep_type}, n bigint, root {rep_type}")
+        .applyInArrow(_compare(threshold), "cls bigint, n bigint, root bigint")
     )
-    roots = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    done = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    done = done.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    roots = connected_components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
+    links = found.groupBy("cls").agg(F.sum("n").alias("n"))
+    small = classes.select("label", "h1", "h2", "cls", "rep", "m")
+    done = small.join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    names = done.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = done.join(names, "root").select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
     return (
-        all_rows.join(done, ["label", "vec"], "left")
+        all_rows.drop("vec").join(named, ["label", "h1", "h2"], "left")
         .select(
             F.col("id").alias(id_col),
-            F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-            F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("component_id", "id").alias("component_id"),
         )
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
-    )
+        .withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(False)))
+    )
