@@ -30,8 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    """Contaminated documents go; null and wordless texts are clean. Columns pass as they are, whatever their names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col("text").alias("__text"))
+    found = decontaminate.contamination(whole, table(spark, sf_dir, "benchmark"), "__text", ["__doc"])
+    return found.where(~F.col("contaminated")).select("__doc.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +42,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids; a column of theirs with the name of a new one gives way. Null and empty texts have
+    the end id alone."""
     return piece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), full=True).drop("decoded")
 
 

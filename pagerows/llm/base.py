@@ -72,9 +72,11 @@ def map_texts(
     fields: list[T.StructField],
     start: Callable[[], Callable[[pa.Array], Iterable]],
 ) -> DataFrame:
-    """``keep`` columns plus new ``fields``. ``start`` runs once a task; what it returns maps a batch's
-    column of texts to a list or array for each field."""
+    """``keep`` columns plus new ``fields``; a kept column with the name of a new one gives way. ``start`` runs once a
+    task; what it returns maps a batch's column of texts to a list or array for each field."""
     small_batches(df.sparkSession)
+    taken = {f.name.lower() for f in fields}
+    keep = [c for c in keep if c.lower() not in taken]
     source = df.select(*(F.col(f"`{c}`") for c in ([*keep] if text_col in keep else [*keep, text_col])))
     names = [*keep, *(f.name for f in fields)]
     types = [to_arrow_type(f.dataType) for f in fields]
