@@ -4,7 +4,8 @@ A word that holds look-alike signs (leetspeak), separators or long repetitions,
 lattice: each sign may stand for some letters at a cost, for nothing, or for the end of a word; between letters that
 stand apart a word may end, too. The Viterbi path under a character language model of the corpus gives the restored
 words; plain words are their own. Weights of words and beginnings come from
-labelled documents; a text's score is the logistic of the prior and its distinct words' weights.
+labelled documents; a text's score is the logistic of the prior and its distinct words' weights. Words of weight are found, too, where spaces
+cut them into parts.
 """
 
 from __future__ import annotations
@@ -122,6 +123,11 @@ class Restorer:
         if ended and ((best := max(ended))[0] > after.get("", (-math.inf,))[0]):
             after[""] = best
 
+    def log_p(self, word: str) -> float:
+        """Of a whole word, its end included."""
+        keep = self.model.order - 1 if self.model.classes else 1
+        return sum(self._log_p(word[max(0, i - keep) : i], c) for i, c in enumerate(word)) + self._log_p(word[-keep:], "")
+
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Documents and words, one entry for each occurrence, and the restored words. Runs of single letters that
         stand apart also make words."""
@@ -161,16 +167,40 @@ class Lexicon:
         get = self.weights.get
         return max((get(f, 0.0) for f in features(word)), default=0.0)
 
+    def whole(self) -> set[str]:
+        """The words that weigh something as they stand."""
+        return {f[:-1] for f in self.weights if f.endswith("$")}
+
     def without_model(self) -> Lexicon:
         return Lexicon(None, self.weights, self.prior)
 
 
+def rejoined(restorer: Restorer, wanted: set[str], parts: set[str], doc: np.ndarray, codes: np.ndarray, names: list[str]) -> list[tuple[int, str]]:
+    """``(document, word)`` of wanted words that spaces cut into parts: neighbouring words that lie within wanted ones, as
+    long as together they begin one, where the letter model likes the whole word, less the cost of its signs, better
+    than the words that stand there."""
+    small = np.flatnonzero(np.fromiter((w in parts for w in names), bool, len(names))[codes]) if len(codes) and parts else np.zeros(0, "int64")
+    begins = {w[:k] for w in wanted for k in range(1, len(w))} if len(small) > 1 else set()
+    held, found = set(small.tolist()), []
+    for i in small.tolist():
+        word, j, apart = names[codes[i]], i, 0.0
+        while word in begins and j + 1 in held and doc[j + 1] == doc[i]:
+            if j == i:
+                apart = restorer.log_p(word)
+            j += 1
+            word += names[codes[j]]
+            apart += restorer.log_p(names[codes[j]])
+            if word in wanted and restorer.log_p(word) + _DROP_SIGN * (j - i) > apart:
+                found.append((int(doc[i]), word))
+    return found
+
+
 def fit(
     documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-    train_rows: int = TRAIN_ROWS, max_features: int = 20_000, only_trained: bool = True,
+    train_rows: int = TRAIN_ROWS, only_trained: bool = True,
 ) -> Lexicon:
     """The language model reads all documents (but the held-out ones), the lexicon those with one of ``train_rows``
-    labels, which bounds the broadcast. Rows with a null id or label teach nothing; without labels of both kinds the
+    labels, which bounds the features and so the broadcast. Rows with a null id or label teach nothing; without labels of both kinds the
     lexicon is empty."""
     own = documents.where(~held_out(F.col(id_col))) if only_trained else documents
     model = train(own, text_col)
@@ -213,7 +243,7 @@ def fit(
     rate = n_pos / (n_pos + n_neg)
     g2 = F.expr(f"2 * (pos * ln(greatest(pos, 1) / ((pos + neg) * {rate!r}D)) + neg * ln(greatest(neg, 1) / ((pos + neg) * {1 - rate!r}D)))")
     chosen = counted.where(f"pos >= 9 * neg and pos > (pos + neg) * {rate!r}D").where(g2 >= EVIDENCE).withColumn("g2", g2)
-    chosen = chosen.orderBy(F.desc("g2"), "feature").limit(max_features).collect()
+    chosen = chosen.orderBy(F.desc("g2"), "feature").collect()
     wanted = spark.sparkContext.broadcast({r["feature"] for r in chosen})
 
     def neighbours(batches):
@@ -247,9 +277,15 @@ def score(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", keep:
     def start():
         lex = shared.value
         restorer = Restorer(letters.value)
+        wanted = lex.whole()
+        parts = {w[i:j] for w in wanted for i in range(len(w)) for j in range(i + 1, len(w) + 1)} - wanted
 
         def work(texts):
             doc, codes, names = restorer.words(texts)
+            if more := rejoined(restorer, wanted, parts, doc, codes, names):
+                number = {w: k + len(names) for k, w in enumerate(dict.fromkeys(w for _, w in more))}
+                doc = np.append(doc, [d for d, _ in more])
+                codes, names = np.append(codes, [number[w] for _, w in more]), [*names, *number]
             total = np.full(len(texts), lex.prior)
             weight = np.array([lex.weight(w) for w in names])
             if len(codes) and len(weight):
