@@ -23,8 +23,9 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 1024
-#: Blocks coded side by side: enough to spread numpy's cost for each call, few enough that tables stay in cache.
-GROUP = 4096
+#: Blocks coded side by side, enough to spread numpy's cost for each call, and those whose counts are made together,
+#: few enough that they stay in cache.
+GROUP, TILE = 4096, 256
 MAGIC = b"TIDC"
 _HEAD = struct.Struct("<4sIII")
 #: Contexts of a block's table: by the last id; each holds what followed it (order 1) and, by the id before, what
@@ -36,9 +37,8 @@ _UNIT, _GRID = 512, 4096
 _SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-_GRID, _GRID) / _UNIT))), 64, 65472).astype("int64")
 #: First logits: by how sure order 2 is (0: knows nothing), by how sure order 1 is and whether it agrees with the
 #: candidate, by whether order 0 agrees.
-_START2 = np.array([-900, -500, 100, 500], "int32")
-_START1 = np.array([-300, -300, -300, 0, -300, 300, -300, 600], "int32")
-_START0 = np.array([0, 100], "int32")
+_START = np.array([-900, -500, 100, 500, -300, -300, -300, 0, -300, 300, -300, 600, 0, 100, 0, 0], "int32")
+_AT1, _AT0 = 4, 12  # where order 1's and order 0's begin
 _RATE = 10  # errors move logits by 2 ** -_RATE of themselves
 
 
@@ -60,9 +60,10 @@ class _Model:
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
         self.begin = lane * (_SLOTS * _PLACES)
-        self.base4, self.base8, self.base2 = lane * 4, lane * 8, lane * 2
+        self.of2 = lane * len(_START)
+        self.of1, self.of0 = self.of2 + _AT1, self.of2 + _AT0
         self.after = np.zeros(lanes * _SLOTS * _PLACES, "int32")
-        self.w2, self.w1, self.w0 = (np.tile(w, lanes) for w in (_START2, _START1, _START0))
+        self.logits = np.tile(_START, lanes)
         self.prev, self.place = np.zeros(lanes, "int64"), np.ones(lanes, "int64")
         self.top = np.zeros(lanes, "int32")
 
@@ -71,16 +72,16 @@ class _Model:
         self.i1 = (self.prev[:n] & (_SLOTS - 1)) * _PLACES
         self.i1 += self.begin[:n]
         self.i2 = self.i1 + self.place[:n]
-        self.e1, self.e2 = self.after.take(self.i1), self.after.take(self.i2)
+        self.e1, self.e2 = self.after.take(self.i1, mode="clip"), self.after.take(self.i2, mode="clip")
         self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
         sure1, sure2 = self.e1 & 3, self.e2 & 3
         cand = np.where(sure2 > 0, self.c2, np.where(sure1 > 0, self.c1, top))
-        self.k2 = self.base4[:n] + sure2
+        self.k2 = self.of2[:n] + sure2
         sure1 <<= 1
         sure1 += self.c1 == cand
-        self.k1 = self.base8[:n] + sure1
-        self.k0 = self.base2[:n] + (top == cand)
-        self.q2, self.q1, self.q0 = self.w2.take(self.k2), self.w1.take(self.k1), self.w0.take(self.k0)
+        self.k1 = self.of1[:n] + sure1
+        self.k0 = self.of0[:n] + (top == cand)
+        self.q2, self.q1, self.q0 = (self.logits.take(k, mode="clip") for k in (self.k2, self.k1, self.k0))
         logit = self.q2 + self.q1
         logit += self.q0
         logit += _GRID
@@ -94,9 +95,9 @@ class _Model:
         error -= self.p
         error >>= _RATE
         error = error.astype("int32")
-        for w, k, q in ((self.w2, self.k2, self.q2), (self.w1, self.k1, self.q1), (self.w0, self.k0, self.q0)):
+        for k, q in ((self.k2, self.q2), (self.k1, self.q1), (self.k0, self.q0)):
             q += error
-            w[k] = q
+            self.logits[k] = q
         fresh = ids << 2
         most = fresh | 3
         fresh |= 1
@@ -125,6 +126,40 @@ def _alive(sizes: np.ndarray) -> np.ndarray:
     return len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes.max(initial=0))), side="right")
 
 
+class _Counts:
+    """How often each id has come in some blocks (rows, filled up to one length), as the encoder needs it, which knows
+    the ids to come. Ids go by their places among their block's distinct ids in ascending order."""
+
+    def __init__(self, rows: np.ndarray):
+        self.lanes, steps = rows.shape
+        order = np.argsort(rows, axis=1, kind="stable")
+        ordered = np.take_along_axis(rows, order, axis=1)
+        rank = np.zeros((self.lanes, steps), "int16")
+        np.not_equal(ordered[:, 1:], ordered[:, :-1], out=rank[:, 1:], casting="unsafe")
+        np.cumsum(rank, axis=1, out=rank)
+        self.kinds = int(rank.max(initial=0)) + 1
+        self.lane = np.arange(self.lanes)
+        self.at = (self.lane * self.kinds)[:, None]
+        self.names = np.zeros((self.lanes, self.kinds), "uint16")
+        self.names.ravel()[self.at + rank] = ordered
+        self.ranks = np.empty((self.lanes, steps), "int16")
+        np.put_along_axis(self.ranks, order, rank, axis=1)
+        self.counts = np.zeros((self.lanes, self.kinds), "int16")
+
+    def renew(self, before: int, start: int, until: int) -> tuple[np.ndarray, ...]:
+        """Count the ids from ``before`` to ``start``; of those from there ``until``, a column for each block: the number of
+        smaller ids so far, and of equal ones (for new ids: ``start``, and the number of different ones); then this
+        number, and the most frequent id (the least on a tie)."""
+        size = self.lanes * self.kinds
+        self.counts += np.bincount((self.at + self.ranks[:, before:start]).ravel(), minlength=size).reshape(self.counts.shape).astype("int16")
+        seen = np.count_nonzero(self.counts, axis=1)
+        place = (self.at + self.ranks[:, start:until]).T
+        many = self.counts.ravel().take(place)
+        below = np.cumsum(self.counts, axis=1, dtype="int16").ravel().take(place) - many
+        fresh = many == 0
+        return np.where(fresh, start, below), np.where(fresh, seen, many), seen, self.names[self.lane, self.counts.argmax(axis=1)]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Blocks of unsigned 16-bit ids, as bytes each; a block may be empty, and has at most 32,767 ids."""
     out: list[bytes] = [b""] * len(blocks)
@@ -141,22 +176,15 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     steps = len(alive)
     if steps > 32_767:
         raise ValueError("blocks have at most 32,767 ids")
-    rows = np.full((lanes, steps), 65535, "uint16")
-    for k, b in enumerate(blocks):
-        rows[k, : len(b)] = b
-    # each id's place among its block's distinct ids in ascending order; what fills up short blocks is never looked at
-    order = np.argsort(rows, axis=1, kind="stable")
-    ordered = np.take_along_axis(rows, order, axis=1)
-    new = np.zeros((lanes, steps), "int16")
-    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=new[:, 1:], casting="unsafe")
-    np.cumsum(new, axis=1, out=new)
-    ranks = np.empty((lanes, steps), "int16")
-    np.put_along_axis(ranks, order, new, axis=1)
-    kinds = int(new[:, -1].max(initial=0)) + 2 if steps else 2
-    names = np.zeros((lanes, kinds), "uint16")
-    np.put_along_axis(names, new.astype("int64"), ordered, axis=1)
-    del order, ordered, new
-    ids, ranks = np.ascontiguousarray(rows.T).astype("int32"), np.ascontiguousarray(ranks.T)
+    ids, counts = np.empty((steps, lanes), "int32"), []
+    for first in range(0, lanes, TILE):
+        rows = np.full((min(TILE, lanes - first), steps), 65535, "uint16")
+        for k, b in enumerate(blocks[first : first + TILE]):
+            rows[k, : len(b)] = b
+        ids[:, first : first + TILE] = rows.T
+        counts.append(_Counts(rows))
+    below, many = np.zeros((steps, lanes), "int16"), np.zeros((steps, lanes), "int16")
+    inverse = np.ones(lanes)
 
     model = _Model(lanes)
     low, width = np.zeros(lanes, "int64"), np.full(lanes, 1 << 48, "int64")
@@ -171,34 +199,27 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     def settle(some: np.ndarray) -> None:
         """Move 16 bits out where the width has become small, after the carry that a sum has left above them."""
         while len(some):
-            part, at = low.take(some), used.take(some)
+            part, at = low.take(some, mode="clip"), used.take(some, mode="clip")
             over = part > _LOW48
             if over.any():
                 carry(at[over] - lanes)
             words[at] = (part >> 32).astype("uint16")
             used[some] = at + lanes
             low[some] = (part & _LOW32) << 16
-            wider = width.take(some) << 16
+            wider = width.take(some, mode="clip") << 16
             width[some] = wider
             some = some[wider <= _LOW32]
 
-    counts = np.zeros(lanes * kinds, "int16")  # of each rank so far
     renewals = iter([*_renewals(steps), steps])
     start, until = 0, next(renewals)
     for t in range(steps):
         n = int(alive[t])
         if t == until:
-            counts += np.bincount((lane * kinds + ranks[start:until]).ravel(), minlength=lanes * kinds).astype("int16")
-            start, until = until, next(renewals)
-            own = counts.reshape(lanes, kinds)
-            place = lane * kinds + ranks[start:until]
-            many = counts.take(place)
-            seen = np.count_nonzero(own, axis=1)
-            below = np.cumsum(own, axis=1, dtype="int16").ravel().take(place) - many
-            fresh = many == 0
-            many, below = np.where(fresh, seen, many), np.where(fresh, start, below)
-            inverse = _inverse(start + seen)
-            model.top[:] = names[lane, own.argmax(axis=1)]
+            before, start, until = start, until, next(renewals)
+            for k, c in enumerate(counts):
+                own = slice(k * TILE, (k + 1) * TILE)
+                below[start:until, own], many[start:until, own], seen, model.top[own] = c.renew(before, start, until)
+                inverse[own] = _inverse(start + seen)
         now = ids[t, :n]
         cand, p = model.predict(n)
         hit = now == cand
@@ -208,9 +229,10 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         rest = wide - cost
         if start:
             unit = (rest * inverse[:n]).astype("int64")
-            low[:n] += (cost + unit * below[t - start, :n]) * miss
-            wide = np.where(hit, cost, unit * many[t - start, :n])
-            new = np.flatnonzero(fresh[t - start, :n] & miss)
+            own = below[t, :n]
+            low[:n] += (cost + unit * own) * miss
+            wide = np.where(hit, cost, unit * many[t, :n])
+            new = np.flatnonzero((own == start) & miss)
         else:
             low[:n] += cost * miss
             wide = np.where(hit, cost, rest)
@@ -288,14 +310,14 @@ def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
     code = words[lane] << 32 | words[lane + lanes] << 16 | words[lane + 2 * lanes]
     used, last = lane + 3 * lanes, (size - 1) * lanes
     width = np.full(lanes, 1 << 48, "int64")
-    model, out = _Model(lanes), np.zeros((steps, lanes), "uint16")
+    model, out, inverse = _Model(lanes), np.zeros((steps, lanes), "uint16"), np.ones(lanes)
 
     def settle(some: np.ndarray) -> None:
         while len(some):
-            at = used.take(some)
-            code[some] = code.take(some) << 16 | words.take(at, mode="clip")
+            at = used.take(some, mode="clip")
+            code[some] = code.take(some, mode="clip") << 16 | words.take(at, mode="clip")
             used[some] = np.minimum(at + lanes, last)
-            wider = width.take(some) << 16
+            wider = width.take(some, mode="clip") << 16
             width[some] = wider
             some = some[(wider <= _LOW32) & (wider > 0)]
 
@@ -305,10 +327,12 @@ def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
         n = int(alive[t])
         if t == until:
             start, until = until, next(renewals)
-            packed, seen, top = _counted(np.ascontiguousarray(out[:start, :n].T))
-            inverse = _inverse(start + seen)
-            escape = start << 21 | seen
-            model.top[:n] = top
+            packed, escape = np.empty(n * start, "int64"), np.zeros(n, "int64")
+            for first in range(0, n, TILE):
+                some = slice(first, min(first + TILE, n))
+                packed[some.start * start : some.stop * start], seen, model.top[some] = _counted(np.ascontiguousarray(out[:start, some].T))
+                inverse[some] = _inverse(start + seen)
+                escape[some] = start << 21 | seen
             row = lane * start
         cand, p = model.predict(n)
         wide, part = width[:n], code[:n]
@@ -321,7 +345,7 @@ def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
             unit = (rest * inverse[:n]).astype("int64")
             at = (part / np.maximum(unit, 1)).astype("int64")  # exact: both are below 2 ** 53, their quotient far below
             known = at < start
-            found = np.where(known, packed.take(row[:n] + np.minimum(at, start - 1)), escape[:n])
+            found = np.where(known, packed.take(row[:n] + np.minimum(at, start - 1), mode="clip"), escape[:n])
             wide = np.where(hit, cost, unit * (found & 0x1FFFFF))
             part -= unit * (found >> 21 & 0x1FFFFF) * miss
             now = np.where(hit, cand, (found >> 42).astype("int32"))
