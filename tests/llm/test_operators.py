@@ -179,6 +179,11 @@ def test_language(spark, docs, odd):
     held = langid.identify(docs, model, keep=["doc_id", "lang"])
     assert held.where("lang = lang_pred").count() > 0.97 * held.count()
     assert all(r.lang_pred == "und" and r.score == 0 for r in langid.identify(odd.where("text is null or trim(text) = ''"), model).collect())
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "xkcd qwzrt pfgh vbnm zzxq wrtp"]
+    strange = spark.createDataFrame([(k, t) for k, t in enumerate(foreign)], "doc_id long, text string")
+    assert all(r.rejected and r.score < 0.5 for r in langid.identify(strange, model).collect())
+    assert held.where("rejected").count() <= 0.02 * held.count()
+    assert held.where("score > 0.9 and lang <> lang_pred").count() <= 0.02 * held.count()
     empty = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
@@ -233,6 +238,49 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, toxicity.fit(docs, labels.limit(0)), name="__score").where("__score >= 0.5").count() == 0
 
 
+def test_viterbi_equals_all_paths(spark, docs):
+    """Every path through the lattice of short words, one by one."""
+    r = toxicity.Restorer(charlm.train(docs))
+    keep = r.model.order - 1
+
+    def paths(word, i, apart, past, out, value):
+        if i == len(word):
+            yield value + (r._log_p(past, "") if past else 0.0), out.strip(" ")
+            return
+        if apart and past:
+            yield from paths(word, i, False, "", out + " ", value + r._log_p(past, ""))
+        c = word[i]
+        same = [k for k in range(i, -1, -1) if word[k : i + 1] == c * (i - k + 1)]
+        tripled = i > 0 and word[i - 1] == c and (len(same) > 2 or word[i + 1 : i + 2] == c)
+        ways = [(c, -1.0 if tripled else 0.0)] if c.isalpha() else []
+        ways += [(x, -1.5) for x in toxicity.LOOKALIKES.get(c, "")]
+        drop = (-1.0 if c not in toxicity.LOOKALIKES else -3.0) if not c.isalpha() else -0.2 if tripled else None
+        for x, cost in ways:
+            yield from paths(word, i + 1, was_apart, (past + x)[-keep:], out + x, value + cost + r._log_p(past, x))
+        if drop is not None:
+            yield from paths(word, i + 1, was_apart, past, out, value + drop)
+            if not c.isalpha() and past:
+                yield from paths(word, i + 1, was_apart, "", out + " ", value + drop + r._log_p(past, ""))
+
+    rnd = random.Random(2)
+    for word in ["1d10t", "y.u/a", "ooops", "a@1-b", *("".join(rnd.choice("abio10.@/") for _ in range(6)) for _ in range(12))]:
+        for was_apart in (False, True):
+            every = list(paths(word, 0, was_apart, "", "", 0.0))
+            best = max(v for v, _ in every)
+            assert any(out == r.decode(word, was_apart) for v, out in every if v > best - 1e-9)
+
+
+def test_words_cut_by_spaces(spark, docs):
+    r = toxicity.Restorer(charlm.train(docs))
+    wanted = {"idiot", "moron"}
+    parts = {w[i:j] for w in wanted for i in range(len(w)) for j in range(i + 1, len(w) + 1)} - wanted
+
+    def found(*texts):
+        return toxicity.rejoined(r, wanted, parts, *r.words(pa.array(texts)))
+
+    assert found("you id iot", "a mo r on", "idiot", "id", "iot", None) == [(0, "idiot"), (1, "moron")]
+
+
 def test_pii(spark, docs, odd):
     rows = ["a@b.c_d@e.f x@y.z.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111-1111 1111 x " + "4" * 30, "é😀 +1 (555) 123-4567 +12 3 +++1234567890", "9" * 50_000, "@" * 100 + "a@b.c@d.e", "+1 " * 500]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-k - 1, t) for k, t in enumerate(rows)], "doc_id long, text string")).unionByName(odd.select("doc_id", "text"))
