@@ -119,6 +119,18 @@ def delta_text(event: Column) -> Column:
     return F.coalesce(at("delta.content"), at("message.content"), at("text"), F.lit(""))
 
 
+def reasoning_text(event: Column) -> Column:
+    """What one answer event says of the model's reasoning; no JSON, no text."""
+    at = lambda path: F.get_json_object(event, f"$.choices[0].{path}")
+    return F.coalesce(at("delta.reasoning_content"), at("delta.reasoning"), at("message.reasoning_content"), F.lit(""))
+
+
+def result_clean(conclusion: Column, max_chars: Column, attention: Column) -> Column:
+    """``(conclusion, truncated, needs_attention)``: trimmed and cut; attention only where it is said."""
+    text = F.regexp_replace(_text(conclusion), r"^\s+|\s+$", "")
+    return F.struct(F.left(text, max_chars).alias("conclusion"), (F.length(text) > max_chars).alias("truncated"), F.coalesce(attention, F.lit(False)).alias("needs_attention"))
+
+
 def csv_row(cells: Column) -> Column:
     quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.array_join(F.transform(cells, lambda x: F.when(_text(x).rlike('[",\r\n]'), quoted(_text(x))).otherwise(_text(x))), ",")
@@ -191,5 +203,10 @@ def insert_index(indexes: Column, position: Column, position_index: Column) -> C
 
 
 def list_signature(fingerprints: Column) -> Column:
-    """Of a list's row fingerprints in order: a digest, so that its size doesn't grow with the list."""
-    return F.sha2(F.array_join(fingerprints, "|"), 256)
+    """A list's row fingerprints in order, blank ones left out, in one text. See ``list_digest`` for long lists."""
+    return F.array_join(F.filter(F.transform(fingerprints, lambda f: F.trim(F.coalesce(f, F.lit("")))), lambda f: f != ""), "|")
+
+
+def list_digest(fingerprints: Column) -> Column:
+    """Equal where the signature is, with a size that doesn't grow with the list."""
+    return F.sha2(list_signature(fingerprints), 256)

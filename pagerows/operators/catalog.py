@@ -20,9 +20,18 @@ def classify_completion(reason: Column) -> tuple[Column, Column]:
 
 
 def unique_names(items: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds ``unique_name``: the name, or with ``（n+1）`` where n items before have the same."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return items.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(name, F.lit("（"), n.cast("string"), F.lit("）"))))
+    """Adds ``unique_name``: the name, or with ``（n+1）`` where n items before have the same name or one that begins with it
+    and ``（``. Every item counts for its whole name and for each beginning of it before a ``（``."""
+    parts = F.split(name, "（")
+    cuts = F.sequence(F.lit(1), F.size(parts))
+    bases = F.transform(cuts, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "（"))
+    counted = items.select(F.explode(F.array_distinct(bases)).alias("__base"), F.col(order).alias("__at"), F.lit(0).alias("__own"))
+    asked = items.select(F.col(name).alias("__base"), F.col(order).alias("__at"), F.lit(1).alias("__own"))
+    w = Window.partitionBy("__base").orderBy("__at", F.desc("__own")).rowsBetween(Window.unboundedPreceding, -1)
+    # an item asks before it counts itself
+    before = counted.unionByName(asked).withColumn("__n", F.coalesce(F.sum(1 - F.col("__own")).over(w), F.lit(0))).where("__own = 1")
+    joined = items.join(before.select(F.col("__at").alias(order), F.col("__n")), order)
+    return joined.withColumn("unique_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(name, F.lit("（"), (F.col("__n") + 1).cast("string"), F.lit("）")))).drop("__n")
 
 
 def import_dedupe(incoming: DataFrame, existing: DataFrame, fingerprint: str, order: str, valid: Column) -> DataFrame:

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import estimate_tokens, normalize_text
 
 
-def sanitize_messages(messages: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
-    """Messages of the system, the user or the assistant that hold text."""
-    return messages.where(F.col(role).isin("system", "user", "assistant") & (F.trim(F.coalesce(text, F.lit(""))) != ""))
-
-
-def message_stats(messages: DataFrame, key: str, role: str = "role", text: str = "text") -> DataFrame:
-    by_role = [F.count_if(F.col(role) == r).alias(f"n_{r}") for r in ("user", "assistant")]
-    return messages.groupBy(key).agg(F.count("*").alias("messages"), F.sum(F.length(F.coalesce(text, F.lit("")))).alias("chars"), *by_role)
+def sanitize_messages(messages: DataFrame, role: str = "role", text: str = "text", images: str | None = None) -> DataFrame:
+    """Messages of the system, the user or the assistant that hold text, or images (their number)."""
+    held = F.trim(F.coalesce(text, F.lit(""))) != ""
+    held = held if images is None else held | (F.coalesce(images, F.lit(0)) > 0)
+    return messages.where(F.col(role).isin("system", "user", "assistant") & held)
+
+
+def message_stats(messages: DataFrame, key: str, role: str = "role", text: str = "text", images: str | None = None, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
+    """Messages, characters and messages of each role; with ``images`` (a number) those of the system and images, too."""
+    shown = roles if images is None else ("system", *roles)
+    counts = [F.count_if(F.col(role) == r).alias(f"n_{r}") for r in shown]
+    more = [] if images is None else [F.sum(F.coalesce(images, F.lit(0))).alias("images")]
+    return messages.groupBy(key).agg(F.count("*").alias("messages"), F.sum(F.length(F.coalesce(text, F.lit("")))).alias("chars"), *counts, *more)
 
 
 def history_tokens(messages: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -99,10 +99,11 @@ def classify_completion(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", kind.alias("completeness"), complete.alias("complete_for_request"))
 
 
-@register("w12_unique_names", """select p_partkey, case when n = 1 then name else name || '（' || n || '）' end as unique_name from
-    (select p_partkey, p_brand || p_name as name, row_number() over (partition by p_brand || p_name order by p_partkey) as n from part)""")
+@register("w12_unique_names", """with p as (select p_partkey, p_brand || case when p_size % 5 = 0 then '（' || (p_size % 3) || '）' else '' end as name from part)
+    select p_partkey, name || case when n = 0 then '' else '（' || (n + 1) || '）' end as unique_name from (select p_partkey, name, (select count(*) from p b where b.p_partkey < p.p_partkey and (b.name = p.name or starts_with(b.name, p.name || '（'))) as n from p)""")
 def unique_names(spark, sf_dir):
-    named = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", "p_name").alias("name"))
+    mark = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("（"), (F.col("p_size") % 3).cast("string"), F.lit("）"))).otherwise("")
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", mark).alias("name"))
     return catalog.unique_names(named, "name", "p_partkey").select("p_partkey", "unique_name")
 
 

@@ -193,7 +193,8 @@ def insert_index(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.insert_index(held, position, n).alias("at"))
 
 
-@register("ag11_list_signature", "select l_orderkey, sha256(string_agg(l_partkey, '|' order by l_linenumber, cast(l_partkey as varchar))) as signature from lineitem group by l_orderkey")
+@register("ag11_list_signature", "select l_orderkey, string_agg(l_partkey, '|' order by l_linenumber, cast(l_partkey as varchar)) as signature, sha256(string_agg(l_partkey, '|' order by l_linenumber, cast(l_partkey as varchar))) as digest from lineitem group by l_orderkey")
 def list_signature(spark, sf_dir):
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("fp"))))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(tx.list_signature(F.transform(rows, lambda r: r["fp"])).alias("signature"))
+    fps = F.transform(rows, lambda r: r["fp"])
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(tx.list_signature(fps).alias("signature"), tx.list_digest(fps).alias("digest"))

@@ -67,6 +67,10 @@ class Node:
         return self.tag in _HIDDEN or "display:none" in (self.attrs.get("style") or "").replace(" ", "")
 
 
+#: Further elements whose end tags may be left out: what ends them, and what they can't reach beyond.
+_LOOSE = {"li": ("li", "ul", "ol"), "p": ("p", "div", "td", "li"), "option": ("option", "select")}
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -74,6 +78,9 @@ class _Builder(HTMLParser):
         self.count = 0
 
     def handle_starttag(self, tag, attrs):
+        around = _LOOSE.get(tag)
+        if around and (node := self.now.within(lambda n: n.tag in around)) is not None and node.tag == around[0]:
+            self.now = node.parent
         for left_open in _ENDS.get(tag, ()):  # end tags that may be left out
             node = self.now.within(lambda n: n.tag in (left_open, "table"))
             if node is not None and node.tag == left_open:
@@ -421,3 +428,113 @@ def page_texts(pages: DataFrame, html: str = "html", url: str = "url", most: int
     found = _each_page(pages, html, _MAIN, [pa.string(), pa.string()], read)
     whole = F.concat(F.lit("Title: "), tx.one_line(F.col("title")), F.lit("\nURL: "), F.coalesce(url, F.lit("")), F.lit("\n\n"), tx.normalize_text(F.col("main")))
     return found.withColumn("text", tx.truncate_text(whole, most)).drop("title", "main")
+
+
+_TAB = T.StructType([T.StructField("tab_index", T.IntegerType()), T.StructField("kind", _S), T.StructField("title", _S), T.StructField("active", T.BooleanType())])
+
+
+def page_tabs(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``tab_index, kind, title, active``: the business tabs of each page. Tabs of the frame's own kind count alone; the
+    general ones only on pages of that frame (its tables, or frames of its pages)."""
+
+    def read(root):
+        nodes = list(root.walk())
+        own = [n for n in nodes if any(c.endswith("-realTab") for c in n.classes)]
+        if own:
+            on = lambda n: "true" in (n.attrs.get("aria-selected"), n.attrs.get("data-active"))
+            return [(k, "realTab", " ".join(n.text().split()), on(n)) for k, n in enumerate(own)]
+        framed = lambda n: n.tag == "iframe" and (".aspx" in n.attrs.get("src", "") or n.attrs.get("id", "").startswith("epaas-tab-"))
+        if not any(n.attrs.get("id") == _JT or framed(n) for n in nodes):
+            return []
+        general = [n for n in nodes if "ant-tabs-tab-btn" in n.classes or n.role == "tab" and "aria-controls" in n.attrs]
+        titled = [(n, " ".join(next((c for c in n.walk() if "title" in (c.attrs.get("class") or "")), n).text().split())) for n in general]
+        return [(k, "ant", t, n.attrs.get("aria-selected") == "true") for k, (n, t) in enumerate(x for x in titled if x[1])]
+
+    return _each_page(pages, html, _TAB, [pa.int32(), pa.string(), pa.string(), pa.bool_()], read)
+
+
+def tab_titles(tabs: DataFrame, key: str, confirmed: Column | None = None) -> DataFrame:
+    """``(key, titles, active_title)``: different titles in order, and the active tab's: the one marked, else the confirmed
+    one, else the last."""
+    c = F.col
+    first = tabs.where("title <> ''").groupBy(key, "title").agg(F.min("tab_index").alias("i"))
+    titles = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "title"))).alias("t"))
+    marked = tabs.groupBy(key).agg(F.min_by("title", F.when(c("active"), c("tab_index"))).alias("__on"), F.max_by("title", "tab_index").alias("__last"))
+    sure = F.lit(None).cast("string") if confirmed is None else confirmed
+    named = F.coalesce(F.nullif(c("__on"), F.lit("")), F.when(F.array_contains(F.transform("t", lambda x: x["title"]), sure), sure), c("__last"))
+    return titles.join(marked, key).select(key, F.transform("t", lambda x: x["title"]).alias("titles"), named.alias("active_title"))
+
+
+# fixed values: how elements read in Markdown
+_AROUND = {"strong": "**", "b": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "strike": "~~"}
+_GONE = {"script", "style", "iframe", "object", "embed"}
+_KNOWN = re.compile(r"<(?:br|p|div|strong|b|em|i|h[1-6]|ul|ol|li|a|code|pre|blockquote|del|s|strike|hr|table|thead|tbody|tr|th|td|img|script|style|iframe|object|embed)\b", re.I)
+_CODE = re.compile(r"```[\s\S]*?```|`[^`\n]*`")
+
+
+def _table_markdown(table: Node) -> str:
+    rows = [[c.text().strip().replace("|", "\\|") for c in r.walk() if c.tag in ("td", "th")] for r in table.walk() if r.tag == "tr"]
+    rows = [r for r in rows if r]
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in rows]
+    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+
+
+def _markdown(node: Node | str) -> str:
+    if isinstance(node, str):
+        return node
+    tag, inner = node.tag, lambda n=node: "".join(map(_markdown, n.parts))
+    if tag in _GONE:
+        return ""
+    if tag in _AROUND:
+        return _AROUND[tag] + inner() + _AROUND[tag]
+    if tag in ("p", "div"):
+        return f"\n\n{inner()}\n\n"
+    if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return f"\n\n{'#' * min(3, int(tag[1]))} {inner().strip()}\n\n"
+    if tag == "blockquote":
+        return "\n\n" + "\n".join(f"> {line}" for line in inner().strip().split("\n")) + "\n\n"
+    if tag == "a":
+        href = node.attrs.get("href", "")
+        label = inner().strip() or href
+        return f"[{label}]({href})" if re.match("https?://", href, re.I) else label
+    if tag in ("ul", "ol"):
+        items = [c for c in node.children if c.tag == "li"]
+        return "\n" + "\n".join(f"{f'{k}.' if tag == 'ol' else '-'} {inner(c).strip()}" for k, c in enumerate(items, 1)) + "\n"
+    fixed = {"br": lambda: "\n", "hr": lambda: "\n\n---\n\n", "pre": lambda: f"\n\n```\n{node.text().strip()}\n```\n\n", "code": lambda: f"`{node.text()}`"}
+    fixed |= {"img": lambda: node.attrs.get("alt", ""), "table": lambda: f"\n\n{_table_markdown(node)}\n\n"}
+    return fixed.get(tag, inner)()
+
+
+def to_markdown(text: str | None) -> str:
+    """Markdown of a text with HTML in it; a text without known tags stays, and so does code."""
+    text = text or ""
+    if not _KNOWN.search(text):
+        return text
+    held: list[str] = []
+
+    def hold(found):
+        held.append(found[0])
+        return f"{len(held) - 1}"
+
+    root = parse(_CODE.sub(hold, text))
+    body = next((n for n in root.walk() if n.tag == "body"), root)
+    plain = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(map(_markdown, body.parts)))).strip()
+    return re.sub("([0-9]+)", lambda m: held[int(m[1])] if int(m[1]) < len(held) else "", plain)
+
+
+def html_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` columns without the html, and ``markdown``. Unsafe elements go, unknown ones leave their text, only http(s)
+    links stay."""
+    keep = [c for c in pages.columns if c not in (html, "markdown")]
+    n = len(keep)
+
+    def run(batches):
+        for batch in batches:
+            made = pa.array([to_markdown(t) for t in batch.column(n).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), made], names=[*keep, "markdown"])
+
+    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("markdown", _S)])
+    return pages.select(*(F.col(f"`{c}`") for c in [*keep, html])).mapInArrow(run, schema)

@@ -34,3 +34,8 @@ def write_cache_stream(results: DataFrame, folder: str, checkpoint: str) -> Stre
 def inflight_dedupe(requests: DataFrame, keys: list[str], ts: str, within: str = "1 minute") -> DataFrame:
     """Requests without those that repeat a key within the time; state older than that is dropped."""
     return requests.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
+
+
+def cache_drop(cache: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The cache without the entries of analyses that are gone."""
+    return cache.join(gone.select(key).distinct(), key, "left_anti").select(cache.columns)
