@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,23 +85,29 @@ def best_match(candidates: DataFrame, key: str, tie: str, derived: Column | None
     return found.select(key, status.alias("status"), picked.alias(tie))
 
 
-def frame_paths(frames: DataFrame, frame: str = "frame_id", parent: str = "parent_frame_id", url: str = "url", page: str = "page_id", depth: int = 64) -> DataFrame:
+def frame_paths(frames: DataFrame, frame: str = "frame_id", parent: str = "parent_frame_id", url: str = "url", page: str = "page_id", normalize: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(page, frame, path)``: ``url#i`` of each frame from the root down, joined by `` > ``; i counts the siblings
-    with the same url before it. Paths double in each round, so their number is the logarithm of the depth; each round
-    is checkpointed. Frames on a cycle have no path; a parent that isn't there makes a root."""
+    with the same url (as ``normalize`` gives it) before it. Paths double in each round, so the number of rounds is the logarithm of the depth, which
+    has no limit; each round is checkpointed. Frames on or below a cycle have no path: they are those left when no path
+    ends any more though paths as long as there are frames would have. A parent that isn't there makes a root."""
     sc = frames.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(frames.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    frames = frames if normalize is None else frames.withColumn(url, normalize(F.col(url)))
     index = F.row_number().over(Window.partitionBy(page, parent, url).orderBy(frame)) - 1
     part = F.concat(F.coalesce(url, F.lit("")), F.lit("#"), index.cast("string"))
     known = frames.select(F.col(page), F.col(frame).alias("__above"), F.lit(True).alias("__is"))
     own = frames.select(page, frame, F.col(parent).alias("__above"), part.alias("path")).join(known, [page, "__above"], "left")
     paths = own.select(page, frame, F.when(F.col("__is"), F.col("__above")).alias("__above"), "path").checkpoint()
+    # a path without end has more steps than its page has frames
+    most = frames.groupBy(page).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
-    while reach < depth and not paths.where(F.col("__above").isNotNull()).isEmpty():
+    while reach <= most and not paths.where(F.col("__above").isNotNull()).isEmpty():
         up = paths.select(F.col(page), F.col(frame).alias("__above"), F.col("__above").alias("__next"), F.col("path").alias("__p"))
         longer = F.when(F.col("__p").isNotNull(), F.concat("__p", F.lit(" > "), "path")).otherwise(F.col("path"))
-        paths = paths.join(up, [page, "__above"], "left").select(page, frame, F.col("__next").alias("__above"), longer.alias("path")).checkpoint()
+        done, live = paths.where(F.col("__above").isNull()), paths.where(F.col("__above").isNotNull())
+        more = live.join(up, [page, "__above"], "left").select(page, frame, F.col("__next").alias("__above"), longer.alias("path"))
+        paths = done.unionByName(more).checkpoint()
         reach *= 2
     return paths.select(page, frame, F.when(F.col("__above").isNull(), F.col("path")).alias("path"))
 

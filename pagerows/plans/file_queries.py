@@ -220,6 +220,25 @@ def html_markdown(spark, sf_dir):
     return page_tree.html_markdown(table(spark, sf_dir, "orders").select("o_orderkey", html.alias("html")))
 
 
+@register("ex16_page_outlines", """select o_orderkey, 'PAGE_SNAPSHOT v1' || chr(10) || 'Title: T ' || o_custkey || chr(10) || 'URL: u' || chr(10) || chr(10) || 'HEADINGS:' || chr(10) || '- ' || o_orderpriority || chr(10) || chr(10) || 'ACTIONS_AND_FIELDS:' || chr(10) || '- a: go' || chr(10) || '- input[type=text] disabled: find ' || o_orderstatus || chr(10) || '- div[role=button]: (no text)' ||
+    chr(10) || chr(10) || 'TABLES:' || chr(10) || '- Table 1: columns: k | v' || chr(10) || '  - row: ' || o_custkey || ' ||| -' || chr(10) || '  - row: 2 ||| x' || chr(10) || '- Table 2: columns: (no headers found)' || chr(10) || chr(10) || 'PAGE_TEXT_SNIPPET:' || chr(10) || o_orderpriority || 'gogokv' || o_custkey || '2xlong text ' || o_orderkey as outline from orders""")
+def page_outlines(spark, sf_dir):
+    html = F.format_string(
+        "<title>T  %d</title><body><h2> %s</h2><h2></h2><a>go</a><a>go</a><input type=text placeholder='find %s' disabled><div role=button></div><table><thead><tr><th>k<th>v<tbody><tr><td>%d<td><tr><td>2<td>x</table><table></table><main>long text %d</main><script>x</script>", "o_custkey", "o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey"
+    )
+    pages = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("u").alias("url"), html.alias("html"))
+    return page_tree.page_outlines(pages).select("o_orderkey", "outline")
+
+
+@register("snk5_upsert_cache", """with o as (select user_id, event_type, props as conclusion, epoch_ms(ts) as created_at, event_id from events where event_id % 3 > 0), n as (select user_id, event_type, props, epoch_ms(ts), event_id from events where event_id % 3 = 0 and trim(coalesce(props, '')) <> ''),
+    u as (select * from (select *, 0 as new from o union all select *, 1 from n) qualify row_number() over (partition by user_id, event_type, conclusion order by new desc, created_at desc, event_id desc) = 1)
+    select user_id, event_type, conclusion, event_id from u qualify row_number() over (partition by user_id order by created_at desc, event_id desc) <= 7""")
+def upsert_cache(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("props").alias("conclusion"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"), "event_id", F.col("props").alias("row_fp"))
+    found = cache.upsert_cache(events.where("event_id % 3 > 0"), events.where("event_id % 3 = 0"), "user_id", ["event_type", "row_fp"], "created_at", "event_id", most=7)
+    return found.select("user_id", "event_type", "conclusion", "event_id")
+
+
 @register("ex17_pages_markdown", None)
 def pages_markdown(spark, sf_dir):
     """The given pages; held against a plain reading in the tests."""

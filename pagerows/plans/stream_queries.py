@@ -1,4 +1,4 @@
-"""Queries of stateful streams: the events, read as a stream of files, until all there are now have come."""
+"""Queries of stateful streams: the events come in waves of time, each taking up the state of the one before."""
 
 from __future__ import annotations
 
@@ -11,31 +11,63 @@ from ..streaming import state
 from .fold_queries import _DAY
 from .registry import oracle_sql, register, table
 
+WAVES = 4
 
-def _events(spark, sf_dir):
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events*.parquet")
 
+def _folder(spark):
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
 
-def _all_now(spark, stream):
-    """What the stream gives for the files there are, by way of the shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+def _in_waves(spark, sf_dir, make):
+    """What a stream gives that meets the events in waves, each a quarter of the time. A wave's files come in any order;
+    no event comes after one of a later wave."""
+    base = _folder(spark)
+    events = table(spark, sf_dir, "events").withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    low, high = events.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    width = max(1, ((high or 0) - (low or 0)) // WAVES + 1)
+    events.withColumn("wave", F.floor((F.col("ts_ms") - (low or 0)) / width)).write.partitionBy("wave").parquet(f"{base}/waves")
+    made = None
+    for wave in range(WAVES):
+        past = spark.read.schema(events.schema).option("basePath", f"{base}/waves").parquet(f"{base}/waves")
+        past.where(F.col("wave") == wave).select(events.columns).write.mode("append").parquet(f"{base}/inbox")
+        made = make(spark.readStream.schema(events.schema).parquet(f"{base}/inbox"))
+        made.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{base}/rows")
 
 
 @register("st3_rate_guard_stream", oracle_sql()["w16_rate_guard"])
 def rate_guard_stream(spark, sf_dir):
-    asked = _events(spark, sf_dir).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    return _all_now(spark, state.rate_guard_stream(asked, "user_id", "ts_ms", "event_id", _DAY, 2))
+    return _in_waves(spark, sf_dir, lambda asked: state.rate_guard_stream(asked, "user_id", "ts_ms", "event_id", _DAY, 2))
 
 
 @register("st4_readiness_stream", """with e as (select *, coalesce(event_type = lag(event_type) over w and event_type = lag(event_type, 2) over w, false) as hit,
     row_number() over w as k from events window w as (partition by user_id order by epoch_ms(ts), event_id)) select user_id, min_by(event_id, k) as event_id from e where hit group by user_id""")
 def readiness_stream(spark, sf_dir):
-    polls = _events(spark, sf_dir).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    return _all_now(spark, state.readiness_stream(polls, "user_id", "ts_ms", "event_id", "event_type"))
+    return _in_waves(spark, sf_dir, lambda polls: state.readiness_stream(polls, "user_id", "ts_ms", "event_id", "event_type"))
+
+
+_COLLECTED = """f as (select user_id, event_type || '/' || cast(value as integer) % 9 as signature, min((epoch_ms(ts), event_id)) as first from events group by all),
+    k as (select *, row_number() over (partition by user_id order by first) as place from f)"""
+
+
+def _signed(events):
+    return events.withColumn("signature", F.concat_ws("/", "event_type", (F.round("value").cast("int") % 9).cast("string")))
 
 
-@register("st5_collect_stream", "select distinct user_id, event_type from events")
+@register("st5_collect_stream", f"with {_COLLECTED} select user_id, signature, place from k where place <= 12")
 def collect_stream(spark, sf_dir):
-    return _all_now(spark, state.collect_stream(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "366 days").select("user_id", "event_type"))
+    found = _in_waves(spark, sf_dir, lambda e: state.collect_stream(_signed(e), "user_id", "signature", ["ts_ms", "event_id"], most=12))
+    return found.where("phase = 'row'").select("user_id", "signature", "place")
+
+
+@register("st5_collect_progress", f"with {_COLLECTED} select user_id, max(place) as rows, max(place) = 12 as full_up from k where place <= 12 group by user_id")
+def collect_progress(spark, sf_dir):
+    """The last word on each collection that the stream gives."""
+    found = _in_waves(spark, sf_dir, lambda e: state.collect_stream(_signed(e), "user_id", "signature", ["ts_ms", "event_id"], most=12))
+    return found.where("phase <> 'row'").groupBy("user_id").agg(F.max("place").alias("rows"), F.bool_or(F.col("phase") == "full").alias("full_up"))
+
+
+@register("st6_cache_ttl_stream", f"""with e as (select *, epoch_ms(ts) - lag(epoch_ms(ts)) over (partition by user_id, event_type order by epoch_ms(ts), event_id) as gap from events) select event_id, coalesce(gap <= {_DAY}, false) as hit from e""")
+def cache_ttl_stream(spark, sf_dir):
+    """A request finds what the same request has left in the cache within a day."""
+    return _in_waves(spark, sf_dir, lambda e: state.cache_stream(e.withColumn("key", F.concat_ws("/", "user_id", "event_type")), "key", "ts_ms", "event_id", _DAY))

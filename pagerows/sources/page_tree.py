@@ -275,8 +275,8 @@ class Page:
         return next((t for t in clean if t and len(t) <= 40), "")
 
     def kind(self, table: Node) -> str:
-        for a in self.adapters[:3]:
-            if table.within(a.root) is not None:
+        for a in self.adapters:
+            if a.name not in ("aria", "native", "generic") and table.within(a.root) is not None:
                 return a.name
         return "aria" if table.role in _TABLE_ROLES else "native" if table.tag == "table" else "generic"
 
@@ -538,3 +538,49 @@ def html_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
 
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("markdown", _S)])
     return pages.select(*(F.col(f"`{c}`") for c in [*keep, html])).mapInArrow(run, schema)
+
+
+# fixed values: what a page's outline holds
+_HEADINGS, _CONTROLS, _TABLES, _SAMPLES = 18, 26, 4, 3
+_OUTLINE = T.StructType([T.StructField("title", _S), T.StructField("headings", _LIST), T.StructField("controls", _LIST), T.StructField("tables", T.ArrayType(T.StructType([T.StructField("headers", _LIST), T.StructField("samples", T.ArrayType(_LIST))]))), T.StructField("main", _S)])
+_OUTLINE_ARROW = [pa.string(), _TEXTS, _TEXTS, pa.list_(pa.struct([("headers", _TEXTS), ("samples", _GRID)])), pa.string()]
+
+
+def page_outlines(pages: DataFrame, html: str = "html", url: str = "url", most: int = 8000) -> DataFrame:
+    """``outline`` of each page: title, address, headings, different controls in the page's order, first tables with sample
+    rows, and the beginning of its text."""
+
+    def control(n: Node) -> str:
+        kind = n.tag + (f"[role={n.role}]" if n.role else "") + (f"[type={n.attrs['type']}]" if n.attrs.get("type") else "")
+        off = " disabled" if "disabled" in n.attrs or n.attrs.get("aria-disabled") == "true" else ""
+        label = next((t for t in (" ".join(x.split()) for x in (n.attrs.get("aria-label", ""), n.text(), n.attrs.get("placeholder", ""), n.attrs.get("title", ""), n.attrs.get("name", ""))) if t), "")
+        return f"{kind}{off}: {label[:80] or '(no text)'}"
+
+    def read(root):
+        nodes = [n for n in root.walk() if not n.hidden]
+        page = Page(root)
+        headings = [n.text() for n in nodes if n.tag in ("h1", "h2", "h3") or n.role == "heading"]
+        controls = [control(n) for n in nodes if n.tag in ("button", "a", "input", "select", "textarea") or n.role in ("button", "tab", "menuitem")]
+        tables = []
+        for t in [n for n in nodes if n.tag == "table"][:_TABLES]:
+            heads = [n.text() for n in t.walk() if n.tag in ("th", "td") and n.within(lambda p: p.tag == "thead") or n.attrs.get("scope") == "col" or n.role == "columnheader"]
+            body = [r for r in t.walk() if r.tag == "tr" and not _is_head(r, page.injected)]
+            tables.append({"headers": heads, "samples": [c for c in ([x.text() for x in page.cells(r)] for r in body) if c][:_SAMPLES]})
+        title = next((n.text() for n in root.walk() if n.tag == "title"), "")
+        parts = [n for n in root.walk() if n.tag in ("article", "main", "body") or n.role == "main"] or [root]
+        return [(title, headings, list(dict.fromkeys(controls))[:_CONTROLS], tables, max((n.text() for n in parts), key=lambda t: len(t.strip())))]
+
+    c = F.col
+    found = _each_page(pages, html, _OUTLINE, _OUTLINE_ARROW, read)
+    clean = lambda x: F.filter(F.transform(x, lambda t: tx.one_line(t)), lambda t: t != "")
+    block = lambda name, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"\n{name}:\n"), F.array_join(lines, "\n")))
+    listed = lambda x: F.transform(x, lambda t: F.concat(F.lit("- "), F.left(t, F.lit(120))))
+    rows = lambda s: F.transform(s["samples"], lambda r: F.concat(F.lit("\n  - row: "), F.left(tx.one_line(tx.row_text(F.transform(r, tx.business_text))), F.lit(220))))
+    heads = lambda s: F.left(F.coalesce(F.nullif(F.array_join(clean(s["headers"]), " | "), F.lit("")), F.lit("(no headers found)")), F.lit(320))
+    tables = F.transform("tables", lambda s, i: F.concat(F.lit("- Table "), (i + 1).cast("string"), F.lit(": columns: "), heads(s), F.array_join(rows(s), "")))
+    main = F.nullif(tx.normalize_text(c("main")), F.lit(""))
+    text = F.concat_ws(
+        "\n", F.lit("PAGE_SNAPSHOT v1"), F.concat(F.lit("Title: "), tx.one_line(c("title"))), F.concat(F.lit("URL: "), F.coalesce(url, F.lit(""))), block("HEADINGS", listed(F.slice(clean(c("headings")), 1, _HEADINGS))),
+        block("ACTIONS_AND_FIELDS", F.transform("controls", lambda t: F.concat(F.lit("- "), t))), block("TABLES", tables), F.concat(F.lit("\nPAGE_TEXT_SNIPPET:\n"), F.left(main, F.lit(1600))),
+    )
+    return found.withColumn("outline", tx.truncate_text(text, most)).drop(*_OUTLINE.names)

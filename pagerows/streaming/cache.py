@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,3 +39,17 @@ def inflight_dedupe(requests: DataFrame, keys: list[str], ts: str, within: str =
 def cache_drop(cache: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The cache without the entries of analyses that are gone."""
     return cache.join(gone.select(key).distinct(), key, "left_anti").select(cache.columns)
+
+
+def upsert_cache(cache: DataFrame, results: DataFrame, analysis: str, keys: list[str], created: str, tie: str, most: int = 2000) -> DataFrame:
+    """The cache with the results in it: a result takes the place of an entry with its keys, one without a conclusion is left
+    out; of each analysis the newest ``most`` entries stay. What an analysis keeps is first picked in 64 buckets."""
+    new = results.where(F.trim(F.coalesce("conclusion", F.lit(""))) != "").withColumn("__new", F.lit(1))
+    both = cache.withColumn("__new", F.lit(0)).unionByName(new)
+    names = [c for c in cache.columns if c not in (analysis, *keys)]
+    once = both.groupBy(analysis, *keys).agg(F.max_by(F.struct(*names), F.struct("__new", created, tie)).alias("__r")).select(analysis, *keys, "__r.*")
+    newest = [F.desc(created), F.desc(tie)]
+    near = once.withColumn("__b", F.pmod(F.xxhash64(tie), F.lit(64)))
+    near = near.withColumn("__k", F.row_number().over(Window.partitionBy(analysis, "__b").orderBy(*newest))).where(F.col("__k") <= most)
+    ranked = near.withColumn("__k", F.row_number().over(Window.partitionBy(analysis).orderBy(*newest))).where(F.col("__k") <= most)
+    return ranked.select(cache.columns)

@@ -62,7 +62,55 @@ def readiness_stream(polls: DataFrame, key: str, ts_ms: str, tie: str, value: st
     return seen.groupBy(key).applyInPandasWithState(run, f"{key} bigint, {tie} bigint", "last string, same int", "append", GroupStateTimeout.NoTimeout)
 
 
-def collect_stream(snapshots: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
+def collect_stream(snapshots: DataFrame, key: str, signature: str, order: list[str], most: int = 1000) -> DataFrame:
+    """A collection as its snapshots come: each row's first sight (``phase`` row, ``place`` from 1) up to ``most``, and after
+    each batch how far it is (``phase`` progress, or full; ``place``: rows so far). State is the hashes of the rows seen,
+    ``most`` at the most, in 16 hexadecimal digits each."""
+
+    def run(name, frames, state: GroupState):
+        held = state.get[0] if state.exists else ""
+        seen = {held[i : i + 16] for i in range(0, len(held), 16)}
+        out = []
+        for digest, text in _in_order(frames, order)[["__digest", signature]].itertuples(index=False, name=None):
+            if len(seen) >= most:
+                break
+            if digest not in seen:
+                seen.add(digest)
+                held += digest
+                out.append((text, "row", len(seen)))
+        state.update((held,))
+        out.append((None, "full" if len(seen) >= most else "progress", len(seen)))
+        yield pd.DataFrame({key: [name[0]] * len(out), signature: [o[0] for o in out], "phase": [o[1] for o in out], "place": [o[2] for o in out]})
+
+    digest = F.lower(F.lpad(F.hex(F.xxhash64(signature)), 16, "0"))
+    rows = snapshots.select(F.col(key).cast("long").alias(key), F.col(signature).cast("string").alias(signature), *(F.col(c).cast("long").alias(c) for c in order), digest.alias("__digest"))
+    schema = f"{key} bigint, {signature} string, phase string, place bigint"
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "seen string", "append", GroupStateTimeout.NoTimeout)
+
+
+def cache_stream(requests: DataFrame, key: str, ts_ms: str, tie: str, ttl_ms: int = 7_200_000) -> DataFrame:
+    """``(tie, hit)`` of each request: whether the one before it with its key lies within the time to live. State is one time
+    a key; it goes when nothing has come for as long in event time."""
+
+    def run(name, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows, out = _in_order(frames, [ts_ms, tie]), []
+        for now in rows[ts_ms].tolist():
+            out.append(last is not None and now - last <= ttl_ms)
+            last = now
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms + 1)
+        yield pd.DataFrame({tie: rows[tie].tolist(), "hit": out})
+
+    timed = requests.withColumn("__ts", F.timestamp_millis(F.col(ts_ms))).withWatermark("__ts", "0 seconds")
+    rows = timed.select(F.col(key).cast("string").alias(key), F.col(ts_ms).cast("long").alias(ts_ms), F.col(tie).cast("long").alias(tie), "__ts")
+    return rows.groupBy(key).applyInPandasWithState(run, f"{tie} bigint, hit boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drop_repeats(snapshots: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
     """First sight of each row of overlapping snapshots; a row seen again within the time is dropped, and older state
     goes as the watermark passes."""
     return snapshots.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
