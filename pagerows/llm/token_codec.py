@@ -3,9 +3,10 @@
 Ids are coded in blocks that reset all state, so each block stands alone and many blocks are coded side by side, one
 numpy lane each. Of each id, two things are coded:
 
-- Whether it is the candidate of the longest context that knows one: what followed the last two ids (order 2), what
-  followed the last id (order 1), or the block's most frequent id (order 0). The probability mixes the three orders:
-  each gives a logit by how sure it is and whether it agrees, the logits are added, and all three learn from the error.
+- Whether it is the candidate of the longest context that knows one: what followed the last two ids (order 2) or the
+  last id (order 1). The probability mixes the orders: each gives a logit by how sure it is and whether it agrees, order 0
+  by whether the candidate is the block's most frequent id; they are added, and all learn from the error. Without a
+  candidate this is left out.
 - If it isn't, which id it is, by the counts of the block's ids so far (order 0), which are renewed as the block grows;
   ids that these don't hold share an escape, as likely as there are different ids, and follow as 16 bits.
 
@@ -25,11 +26,11 @@ import numpy as np
 BLOCK_IDS = 1024
 #: Blocks coded side by side, enough to spread numpy's cost for each call, and those whose counts are made together,
 #: few enough that they stay in cache.
-GROUP, TILE = 4096, 256
+GROUP, TILE = 6144, 256
 MAGIC = b"TIDC"
 _HEAD = struct.Struct("<4sIII")
 #: Contexts of a block's table: by the last id; each holds what followed it (order 1) and, by the id before, what
-#: followed both (order 2, in one of three places beside it).
+#: followed both (order 2, in one of two places beside it).
 _SLOTS, _PLACES = 128, 4
 _LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
 #: Logits are in units of 1/512; the probability of a hit in units of 1/65536, away from 0 and 1.
@@ -55,7 +56,7 @@ class _Model:
     """Shared by encoder and decoder: candidates, and how likely they are.
 
     Lanes stand in order of falling length, so those still alive are the first ``n``. An entry of the table ``after`` is
-    four times the id that followed last, plus how sure it is (0: nothing followed yet)."""
+    four times the id that followed last, plus how sure it is (0: nothing followed yet, 1: once, 3: the same as before)."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
@@ -75,7 +76,7 @@ class _Model:
         self.e1, self.e2 = self.after.take(self.i1, mode="clip"), self.after.take(self.i2, mode="clip")
         self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
         sure1, sure2 = self.e1 & 3, self.e2 & 3
-        cand = np.where(sure2 > 0, self.c2, np.where(sure1 > 0, self.c1, top))
+        cand = np.where(sure2 > 0, self.c2, self.c1)  # what order 2 knows, order 1 knows
         self.k2 = self.of2[:n] + sure2
         sure1 <<= 1
         sure1 += self.c1 == cand
@@ -86,6 +87,7 @@ class _Model:
         logit += self.q0
         logit += _GRID
         self.p = _SQUASH.take(logit, mode="clip")
+        self.p *= sure1 > 1
         return cand, self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
@@ -99,13 +101,14 @@ class _Model:
             q += error
             self.logits[k] = q
         fresh = ids << 2
-        most = fresh | 3
-        fresh |= 1
-        self.after[self.i2] = np.where(self.c2 == ids, np.minimum(self.e2 + 1, most), fresh)
-        self.after[self.i1] = np.where(self.c1 == ids, np.minimum(self.e1 + 1, most), fresh)
+        fresh += 1
+        for i, c in ((self.i2, self.c2), (self.i1, self.c1)):
+            again = (c == ids).astype("int32")
+            again <<= 1
+            again += fresh
+            self.after[i] = again
         place = self.place[:n]
-        np.bitwise_and(self.prev[:n], _PLACES - 1, out=place)
-        np.minimum(place, _PLACES - 2, out=place)
+        np.bitwise_and(self.prev[:n], 2, out=place)
         place += 1
         self.prev[:n] = ids
 
@@ -223,6 +226,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         now = ids[t, :n]
         cand, p = model.predict(n)
         hit = now == cand
+        hit &= p > 0
         miss = ~hit
         wide = width[:n]
         cost = (wide >> 16) * p

@@ -19,7 +19,7 @@ import pyarrow as pa
 from .base import split_words, sums
 
 #: Units kept by a worker. Of more, the older half stays (frequent ones come early); results don't depend on it.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 700_000
 #: Fixed value: the pattern by which the vocabulary's pre-tokenizer finds pre-tokens in lower-cased text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Units of printable ASCII and the letters of Latin-1, which are composed and have a plain lower case, and the
