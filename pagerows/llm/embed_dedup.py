@@ -32,14 +32,14 @@ class Forest:
     """Trees of any depth. The splits of the first levels are the sample's medians. Deeper, a node splits where the
     centre of its ancestor on the last fitted level lies: later directions are all but orthogonal to those before."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, seed: int = 7):
-        self.dims, self.trees, self.seed = sample.shape[1], trees, seed
+    def __init__(self, sample: np.ndarray, trees: int = TREES, fitted: int = FITTED, seed: int = 7):
+        self.dims, self.trees, self.fitted, self.seed = sample.shape[1], trees, fitted, seed
         self.margin = SPILL / math.sqrt(self.dims)
-        self.medians = np.zeros((trees, (1 << FITTED) - 1))
-        self.centres = np.zeros((trees, 1 << FITTED, self.dims))
+        self.medians = np.zeros((trees, (1 << fitted) - 1))
+        self.centres = np.zeros((trees, 1 << fitted, self.dims))
         for t in range(trees):
             at = np.zeros(len(sample), "int64")
-            for level in range(FITTED):
+            for level in range(fitted):
                 p = self.project(sample, t, level, at)
                 for node in np.unique(at):
                     self.medians[t, (1 << level) - 1 + node] = np.median(p[at == node])
@@ -58,9 +58,9 @@ class Forest:
         return np.einsum("ij,ij->i", x, d[node % len(d)])
 
     def threshold(self, tree: int, level: int, node: np.ndarray) -> np.ndarray:
-        if level < FITTED:
+        if level < self.fitted:
             return self.medians[tree, (1 << level) - 1 + node]
-        return self.project(self.centres[tree, node >> (level - FITTED)], tree, level, node)
+        return self.project(self.centres[tree, node >> (level - self.fitted)], tree, level, node)
 
     def leaves(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaf codes: for each row its leaves at its own depth, in all trees. At depth 0 there is one leaf."""
@@ -126,8 +126,9 @@ def _compare(threshold: float):
 
 
 def near_duplicates(
-    embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD
-) -> DataFrame:
+    embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD,
+    leaf_size: int = LEAF, fitted: int = FITTED, block_size: int = BLOCK,
+) -> DataFrame:
     """``(id, n_links, component_id, kept)``, a row for each vector.
 
     Vectors link when their labels are equal and not null and their cosine reaches ``threshold``; of different lengths
@@ -152,14 +153,14 @@ def near_duplicates(
     dims_of = sample.column("dims").to_numpy()
     for d in np.unique(dims_of):
         part = sample.filter(pa.array(dims_of == d)).column("vec").combine_chunks()
-        by_dims[int(d)] = Forest(_unit(part.flatten().to_numpy(), int(d)))
+        by_dims[int(d)] = Forest(_unit(part.flatten().to_numpy(), int(d)), fitted=fitted)
     shared = spark.sparkContext.broadcast(by_dims)
 
     def place(batches):
         forests = shared.value
         for batch in batches:
             dims, size = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            depth = np.ceil(np.log(np.maximum(size, LEAF) / LEAF) / -math.log(SHRINK)).astype("int64")
+            depth = np.ceil(np.log(np.maximum(size, leaf_size) / leaf_size) / -math.log(SHRINK)).astype("int64")
             codes: list = [[] for _ in range(batch.num_rows)]
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
@@ -180,7 +181,7 @@ def near_duplicates(
     placed = cut(sized.mapInArrow(place, f"label {label_type}, vec {vec_type}, cls bigint, dims int, m bigint, codes array<bigint>"))
     leaf = ["label", "dims", "code"]
     sizes = placed.select("label", "dims", F.explode("codes").alias("code")).groupBy(*leaf).agg(F.count("*").alias("n")).where("n > 1")
-    blocks = sizes.select(*leaf, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = sizes.select(*leaf, F.ceil(F.col("n") / block_size).cast("int").alias("blocks"))
     entries = placed.withColumn("code", F.explode("codes"))
     blocked = entries.join(blocks, leaf).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     other = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
