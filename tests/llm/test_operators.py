@@ -442,3 +442,25 @@ def test_letter_model_in_files_scores_as_broadcast(spark):
     in_files = charlm.share(spark, model, most=0)
     assert in_files._files and len(scored(in_files)) == 6
     assert scored(in_files) == scored(charlm.share(spark, model)) == model.score_words(texts)[0].ravel().tolist()
+
+
+def test_deep_trees_find_near_vectors(spark):
+    """Leaves far smaller than a label, so that trees go beyond the levels that are fitted: recall against brute force."""
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((6000, 32))
+    x[3000:] = x[:3000] + 0.22 * rnd.standard_normal((3000, 32))
+    x[:200] = x[0] + 0.1 * rnd.standard_normal((200, 32))  # a dense cluster
+    frame = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(frame, leaf_size=8, fitted=4, block_size=64).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    found = np.array([got[k].n_links for k in range(len(x))])
+    assert (found <= near.sum(axis=1)).all()  # no false links
+    assert found.sum() >= 0.97 * near.sum()
+
+
+def test_one_id_on_two_vectors(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(frame).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
