@@ -42,8 +42,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids; a column of theirs with the name of a new one gives way. Null and empty texts have
-    the end id alone."""
+    """The ids of each document, with digests of them and of what they decode to; other columns go. Null and empty texts
+    have the end id alone."""
     return piece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), full=True).drop("decoded")
 
 
