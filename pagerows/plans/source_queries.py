@@ -15,28 +15,36 @@ from ..streaming import cache
 from .registry import register, table
 
 
+def _parts(spark, sf_dir) -> DataFrame:
+    """Parts with the file or page that they stand on: 500 keys of a brand at most, so that none grows with the table."""
+    return table(spark, sf_dir, "part").withColumn("page", F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 500).cast("string")))
+
+
+_PAGE = "(select *, p_brand || '/' || (p_partkey // 500) as page from part)"
+
+
 def _part_csv(spark, sf_dir) -> DataFrame:
     name = F.concat("p_name", F.lit(', "'), F.col("p_size").cast("string"), F.lit('"'))
     cells = F.array(F.col("p_partkey").cast("string"), name, F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(""))
-    return render.to_csv_text(table(spark, sf_dir, "part"), "p_brand", ["p_partkey"], cells, ["key", " full  name", ""])
+    return render.to_csv_text(_parts(spark, sf_dir), "page", ["p_partkey"], cells, ["key", " full  name", ""])
 
 
 _PART_CELLS = """[cast(p_partkey as varchar), p_name || ', "' || p_size || '"', case when p_size > 25 then p_type else '' end]"""
 
 
-@register("src3_read_delimited", f"""select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) as integer) as row_pos,
-    array_to_string({_PART_CELLS}, '/') as cells from part union all select distinct p_brand, 0, 'key/ full  name/' from part""")
+@register("src3_read_delimited", f"""select page, cast(row_number() over (partition by page order by p_partkey) as integer) as row_pos,
+    array_to_string({_PART_CELLS}, '/') as cells from {_PAGE} union all select distinct page, 0, 'key/ full  name/' from {_PAGE}""")
 def read_delimited(spark, sf_dir):
     found = delimited.parse_delimited(_part_csv(spark, sf_dir), "csv")
-    return found.select("p_brand", "row_pos", F.array_join("cells", "/").alias("cells"))
+    return found.select("page", "row_pos", F.array_join("cells", "/").alias("cells"))
 
 
-@register("src5_normalize_sheet", f"""select p_brand, 'key/full name/列3' as headers, count(*) over (partition by p_brand) as total_rows,
-    row_number() over (partition by p_brand order by p_partkey) as row, array_to_string({_PART_CELLS}, '/') as cells from part qualify row <= 10000""")
+@register("src5_normalize_sheet", f"""select page, 'key/full name/列3' as headers, count(*) over (partition by page) as total_rows,
+    row_number() over (partition by page order by p_partkey) as row, array_to_string({_PART_CELLS}, '/') as cells from {_PAGE} qualify row <= 10000""")
 def normalize_sheet(spark, sf_dir):
-    sheet = delimited.normalize_sheet(delimited.parse_delimited(_part_csv(spark, sf_dir), "csv"), "p_brand")
+    sheet = delimited.normalize_sheet(delimited.parse_delimited(_part_csv(spark, sf_dir), "csv"), "page")
     join = lambda c: F.array_join(c, "/").alias(c)
-    return sheet.select("p_brand", join("headers"), "total_rows", F.col("row").cast("long").alias("row"), join("cells"))
+    return sheet.select("page", join("headers"), "total_rows", F.col("row").cast("long").alias("row"), join("cells"))
 
 
 def _chunks(events: DataFrame, size: int = 50) -> DataFrame:
@@ -81,25 +89,25 @@ def request_budget(spark, sf_dir):
 
 
 def _part_pages(spark, sf_dir) -> DataFrame:
-    """A page with a table for each brand; every row stands twice."""
+    """Pages with a table of parts of a brand; every row stands twice."""
     row = F.format_string("<tr><td>%s</td><td>&nbsp;<b>%s</b> &amp; co<br></td><td colspan=2>%s</td></tr>", "p_partkey", "p_name", "p_size")
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda s: s["r"]), "")
     head = "<p>x</p><table><caption>Parts</caption><thead><tr><th>key</th><th> name </th><th>size</th></tr></thead><tbody>"
     foot = "</tbody><tfoot><tr><td>sum</td></tr></tfoot></table>"
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit(head), rows, rows, F.lit(foot)).alias("html"))
+    return _parts(spark, sf_dir).groupBy("page").agg(F.concat(F.lit(head), rows, rows, F.lit(foot)).alias("html"))
 
 
-@register("src1_extract_tables", """select p_brand, 0 as table_index, 'Parts' as title, 'key/name/size' as headers, cast(2 * count(*) as integer) as n_rows from part group by p_brand""")
+@register("src1_extract_tables", f"""select page, 0 as table_index, 'Parts' as title, 'key/name/size' as headers, cast(2 * count(*) as integer) as n_rows from {_PAGE} group by page""")
 def extract_tables(spark, sf_dir):
     found = html_tables.extract_tables(_part_pages(spark, sf_dir))
-    return found.select("p_brand", "table_index", "title", F.array_join("headers", "/").alias("headers"), F.size("rows").alias("n_rows"))
+    return found.select("page", "table_index", "title", F.array_join("headers", "/").alias("headers"), F.size("rows").alias("n_rows"))
 
 
-@register("src2_extract_table_rows", """select p_brand, 0 as table_index, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as integer) as row_pos,
-    p_partkey || '/' || p_name || ' & co/' || p_size as cells from part""")
+@register("src2_extract_table_rows", f"""select page, 0 as table_index, cast(row_number() over (partition by page order by p_partkey) - 1 as integer) as row_pos,
+    p_partkey || '/' || p_name || ' & co/' || p_size as cells from {_PAGE}""")
 def extract_table_rows(spark, sf_dir):
-    found = html_tables.extract_table_rows(_part_pages(spark, sf_dir), "p_brand")
-    return found.select("p_brand", "table_index", "row_pos", F.array_join("cells", "/").alias("cells"))
+    found = html_tables.extract_table_rows(_part_pages(spark, sf_dir), "page")
+    return found.select("page", "table_index", "row_pos", F.array_join("cells", "/").alias("cells"))
 
 
 @register("snk5_cache_write", """select user_id, event_type, event_id, conclusion from (select user_id, event_type, event_id, trim(props) as conclusion,

@@ -80,7 +80,7 @@ def header_settle(spark, sf_dir):
     return rows.stable_point(events, "user_id", [F.col("event_id")], "event_type", 2).select("user_id", "event_id")
 
 
-_COLLECT_SQL = """s as (select user_id, event_id, 1 + row_number() over (partition by user_id order by event_id) // 4 as page, event_type || '␟' || cast(value as integer) % 6 as sig from events),
+_COLLECT_SQL = """s as (select user_id, event_id, 1 + row_number() over (partition by user_id order by event_id) // 4 as page, event_type || '␟' || cast(floor(value) as integer) % 6 as sig from events),
     g as (select user_id, page, max(event_id) as last from s group by user_id, page),
     f as (select * from s where page <= 8 qualify row_number() over (partition by user_id, sig order by page, event_id) = 1),
     n as (select g.user_id, g.page, g.last, sum(coalesce((select count(*) from f where f.user_id = g.user_id and f.page = g.page), 0)) over (partition by g.user_id order by g.page) as seen from g where g.page <= 8),
@@ -92,7 +92,7 @@ _COLLECT_SQL = """s as (select user_id, event_id, 1 + row_number() over (partiti
 def _collected(spark, sf_dir):
     n = F.col("event_id")
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    shots = table(spark, sf_dir, "events").select("user_id", "event_id", (1 + F.floor(k / 4)).alias("page"), F.concat_ws(tx.UNIT_SEPARATOR, "event_type", (F.round("value").cast("int") % 6).cast("string")).alias("sig"))
+    shots = table(spark, sf_dir, "events").select("user_id", "event_id", (1 + F.floor(k / 4)).alias("page"), F.concat_ws(tx.UNIT_SEPARATOR, "event_type", (F.floor("value").cast("int") % 6).cast("string")).alias("sig"))
     last = shots.groupBy("user_id", "page").agg(F.max("event_id").alias("event_id"))
     outcome = F.when(n % 31 == 0, "page-timeout").when(n % 37 == 0, "next-click-failed")
     pages = last.select("user_id", "page", (n % 41 == 0).alias("stopped"), (n % 29 == 0).alias("is_last"), outcome.alias("outcome"))

@@ -46,12 +46,12 @@ def readiness_stream(spark, sf_dir):
     return _in_waves(spark, sf_dir, lambda polls: state.readiness_stream(polls, "user_id", "ts_ms", "event_id", "event_type"))
 
 
-_COLLECTED = """f as (select user_id, event_type || '/' || cast(value as integer) % 9 as signature, min((epoch_ms(ts), event_id)) as first from events group by all),
+_COLLECTED = """f as (select user_id, event_type || '/' || cast(floor(value) as integer) % 9 as signature, min((epoch_ms(ts), event_id)) as first from events group by all),
     k as (select *, row_number() over (partition by user_id order by first) as place from f)"""
 
 
 def _signed(events):
-    return events.withColumn("signature", F.concat_ws("/", "event_type", (F.round("value").cast("int") % 9).cast("string")))
+    return events.withColumn("signature", F.concat_ws("/", "event_type", (F.floor("value").cast("int") % 9).cast("string")))
 
 
 @register("st5_collect_stream", f"with {_COLLECTED} select user_id, signature, place from k where place <= 12")
