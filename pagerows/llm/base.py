@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable
 
@@ -65,6 +66,14 @@ def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return total[begin[1:]] - total[begin[:-1]]
 
 
+def tidy() -> None:
+    """Give back what a task has let go: Python workers are used again, for other stages too, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -90,7 +99,8 @@ def map_texts(
             made = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(new, types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], names=names)
             del batch, new, made
-        pa.default_memory_pool().release_unused()  # workers are used again and would keep it
+        del work
+        tidy()
 
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *fields])
     return source.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import small_batches, split_words, sums
+from .base import small_batches, split_words, sums, tidy
 
 ORDER = 4
 END, ASTRAL = 1, 0xFFFF
@@ -76,6 +76,7 @@ def count_grams(rows: DataFrame, text_col: str = "text", class_col: str | None =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * int(some.sum()), pa.string()), pa.array(unique[some].view("int64")), pa.array(n[some])], names=["class", "gram", "n"]
                 )
+        tidy()
 
     source = rows.select(kind.cast("string").alias("class"), F.col(text_col).alias("text")).where("class is not null and text is not null")
     return source.mapInArrow(run, "class string, gram bigint, n bigint").groupBy("class", "gram").agg(F.sum("n").alias("n"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import shared_dir, small_batches
+from .base import shared_dir, small_batches, tidy
 from .token_codec import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
 from .tokenize import unit_encoder
 
@@ -81,6 +81,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 1,
         close()
         if held:
             yield emit()
+        tidy()
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
@@ -110,6 +111,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 if sum(map(len, blocks)) >= LANES or k == batch.num_rows - 1:
                     yield decoded(batch, todo, blocks)
                     todo, blocks = [], []
+        tidy()
 
     def decoded(batch, rows, blocks):
         ids = decode_blocks([b for bs in blocks for b in bs])

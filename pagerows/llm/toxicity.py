@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import held_out, map_texts, small_batches, split_words
+from .base import held_out, map_texts, small_batches, split_words, tidy
 from .charlm import END, KneserNey, share, train
 
 #: Labelled rows that the lexicon is learned from, at most (by hash of their id).
@@ -58,7 +58,7 @@ class Restorer:
             key = END if c == "" else ord(c) & 0xFFFF
             for k, b in enumerate(reversed(before[-(self.model.order - 1) :]), 1):
                 key |= (ord(b) & 0xFFFF) << 16 * k
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             found = self.known[gram] = float(self.model.log_p(np.array([key], "uint64"))[0, 0]) if self.model.classes else -4.0
         return found
@@ -76,7 +76,7 @@ class Restorer:
             else:
                 found = self.decode(bare) if any(c.isalpha() for c in bare) else ""
             if len(word) <= _REMEMBERED:
-                if len(self.restored) > 100_000:
+                if len(self.restored) > 50_000:
                     self.restored.clear()
                 self.restored[word] = found
         return found
@@ -235,6 +235,7 @@ def fit(
             pos = np.bincount(f, label[d] == 1, len(number)).astype("int64")
             neg = np.bincount(f, label[d] == 0, len(number)).astype("int64")
             yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(pos), pa.array(neg)], names=["feature", "pos", "neg"])
+        tidy()
 
     rows = documents.join(F.broadcast(taught), id_col).select("__label", F.col(text_col).alias("text"))
     counted = rows.mapInArrow(run, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -243,7 +244,7 @@ def fit(
     rate = n_pos / (n_pos + n_neg)
     g2 = F.expr(f"2 * (pos * ln(greatest(pos, 1) / ((pos + neg) * {rate!r}D)) + neg * ln(greatest(neg, 1) / ((pos + neg) * {1 - rate!r}D)))")
     chosen = counted.where(f"pos >= 9 * neg and pos > (pos + neg) * {rate!r}D").where(g2 >= EVIDENCE).withColumn("g2", g2)
-    chosen = chosen.orderBy(F.desc("g2"), "feature").collect()
+    chosen = sorted(chosen.collect(), key=lambda r: r["feature"])
     wanted = spark.sparkContext.broadcast({r["feature"] for r in chosen})
 
     def neighbours(batches):
@@ -257,6 +258,7 @@ def fit(
                 last = i + 1 == len(codes) or doc[i + 1] != doc[i]
                 found.update((f, "" if last else names[codes[i + 1]]) for f in own[codes[i]])
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["feature", "next"])
+        tidy()
 
     # copies of one toxic text make all its words look toxic: a feature counts as often as different words follow it
     followed = rows.where("__label = 1").mapInArrow(neighbours, "feature string, next string").distinct().groupBy("feature").count()
