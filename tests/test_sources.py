@@ -32,7 +32,7 @@ def test_tables(spark):
 
 def test_frames_on_a_cycle_have_no_path(spark):
     frames = spark.createDataFrame([(1, 0, None, "u"), (1, 1, 0, "v"), (1, 2, 0, "v"), (1, 3, 4, "x"), (1, 4, 3, "y")], "page_id int, frame_id int, parent_frame_id int, url string")
-    assert {r.frame_id: r.path for r in matching.frame_paths(frames, depth=8).collect()} == {0: "u#0", 1: "u#0 > v#0", 2: "u#0 > v#1", 3: None, 4: None}
+    assert {r.frame_id: r.path for r in matching.frame_paths(frames).collect()} == {0: "u#0", 1: "u#0 > v#0", 2: "u#0 > v#1", 3: None, 4: None}
 
 
 def test_budget_skips_what_does_not_fit(spark):
