@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, pii, piece_bpe, simhash, token_count, token_store, toxicity, url_filter
+from . import decontaminate, embed_dedup, langid, periodic, pii, piece_bpe, simhash, token_count, token_store, toxicity, url_filter
 from .base import held_out, table
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -66,10 +68,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's planted repetition: from word a on, the p words from a repeat."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_documents(spark, sf_dir), planted_order)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_token_counts, op3_toxicity, op4_simhash, op5_language_id,
         op6_piece_bpe, op7_pii, op8_embedding_dedup, op9_token_store, op10_url_filter,
+        op11_periodic_runs,
     )}
 
 
@@ -108,5 +126,36 @@ select s.page_id, host, path, rule, coalesce(v, 'allow') as verdict from s left
 """
 
 
+#: crc32 of the decimal ids, bit by bit.
+_CRC = """crc(doc_id, s, k, c) as (
+  select distinct doc_id, cast(doc_id as varchar), 0, cast(4294967295 as bigint) from documents where doc_id is not null
+  union all
+  select doc_id, s, k + 1, xor(x >> 1, 3988292384 * (x & 1))
+  from (select *, case when k % 8 = 0 then xor(c, ascii(substr(s, k // 8 + 1, 1))) else c end as x from crc where k < 8 * length(s))),
+hashed as (select doc_id, xor(c, 4294967295) as h from crc where k = 8 * length(s))"""
+
+OP11 = rf"""
+with recursive {_CRC},
+d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, cast(len(w) as bigint) as n, h, h // 10 as g from d left join hashed using (doc_id)),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from s),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+t as (select doc_id, n, i, w[1 + case when i >= a then a + (i - a) % p else i end] as t
+  from (select *, unnest(range(n)) as i from p)),
+m as (select x.doc_id, x.i, y.i - x.i as q from t x join t y on x.doc_id = y.doc_id and x.t = y.t and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+g as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from m),
+c as (select doc_id, q, min(i) as start, count(*) + q as length from g group by doc_id, q, island having count(*) >= greatest(2 * q, 24 - q)),
+r as (select doc_id, start, length, min(q) as period from c group by doc_id, start, length),
+b as (select doc_id, start, length, period, row_number() over (partition by doc_id order by length / period desc, start, period) as k,
+  count(*) over (partition by doc_id) as n_runs from r),
+l as (select doc_id, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from r group by doc_id),
+u as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+k as (select doc_id, string_agg(t, ' ' order by i) as kept from t anti join u using (doc_id, i) group by doc_id)
+select d.doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join (select * from b where k = 1) using (doc_id) left join l using (doc_id) left join k using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op10_url_filter": OP10}
+    return {"op1_decontamination": OP1, "op10_url_filter": OP10, "op11_periodic_runs": OP11}
