@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -104,3 +104,28 @@ def map_texts(
 
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *fields])
     return source.mapInArrow(run, schema)
+
+
+def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``rank`` within the group, from 0 on in ascending order (nulls first), and ``n``, the group's rows. One shuffle
+    by range, so that a group of any size is many tasks' work; ties are ranked as they lie. What follows is counted for
+    each range and group, and reads the ranges from the shared folder."""
+    spots = cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id()))
+    spots = spots.withColumn("__part", F.shiftright("__at", 33))
+    counts = spots.groupBy(F.col(group).alias("__group"), "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy("__group")
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("__group", F.col("__part").alias("__p"), (before - F.col("__first")).alias("__shift"), F.sum("__n").over(whole).alias("n"))
+    joined = spots.join(base, spots[group].eqNullSafe(base["__group"]) & (spots["__part"] == base["__p"]))
+    return joined.withColumn("rank", F.col("__at") + F.col("__shift")).select(*df.columns, "rank", "n")
+
+
+#: A table of so many bytes at most is sent whole to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a checkpointed table, to be broadcast in a join if it has ``BROADCAST_BYTES`` at most, which is measured; else as it is."""
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = df.agg(F.sum(sum(texts, F.lit(16 + 16 * len(df.columns)))).alias("b")).first().b or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

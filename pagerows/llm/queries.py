@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, periodic, pii, piece_bpe, simhash, token_count, token_store, toxicity, url_filter
+from . import decontaminate, embed_dedup, langid, manifest, mixing, periodic, pii, piece_bpe, simhash, token_count, token_store, toxicity, url_filter
 from .base import held_out, table
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -83,11 +83,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(_documents(spark, sf_dir), planted_order)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered})
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir, "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_token_counts, op3_toxicity, op4_simhash, op5_language_id,
         op6_piece_bpe, op7_pii, op8_embedding_dedup, op9_token_store, op10_url_filter,
-        op11_periodic_runs,
+        op11_periodic_runs, op12_merkle_manifest, op13_source_mixing,
     )}
 
 
@@ -156,6 +166,80 @@ select d.doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, start, length, p
 from d left join (select * from b where k = 1) using (doc_id) left join l using (doc_id) left join k using (doc_id)
 """
 
+_FIELD = "coalesce(octet_length(encode(cast({0} as varchar))) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+OP12 = rf"""
+with recursive {_CRC},
+leaves as (select doc_id, source, {_LEAF.format('text')} as leaf,
+  {_LEAF.format("(case when h % 2 = 0 then replace(text, chr(10), '') else text end)")} as other
+  from documents left join hashed using (doc_id)),
+r as (select *, row_number() over (partition by source order by doc_id, leaf) - 1 as i from leaves),
+nodes(k, source, i, n, d) as (
+  select 0, source, i, count(*) over (partition by source), leaf from r
+  union all
+  select k + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(d, '' order by i)) from nodes where n > 1 group by k, source, i // 3, n),
+subs as (select source, d, row_number() over (order by source nulls first) - 1 as i from nodes where n = 1),
+tops(k, i, n, d) as (
+  select 0, i, count(*) over (), d from subs
+  union all
+  select k + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' order by i)) from tops where n > 1 group by k, i // 3, n),
+sides as (
+  select 0 as part, x.source, x.k, x.i, coalesce(string_agg(y.d, '' order by y.i) filter (y.i < x.i), '') as l,
+    coalesce(string_agg(y.d, '' order by y.i) filter (y.i > x.i), '') as r
+  from nodes x join nodes y on x.source is not distinct from y.source and x.k = y.k and x.i // 3 = y.i // 3 where x.n > 1 group by all
+  union all
+  select 1, null, x.k, x.i, coalesce(string_agg(y.d, '' order by y.i) filter (y.i < x.i), ''), coalesce(string_agg(y.d, '' order by y.i) filter (y.i > x.i), '')
+  from tops x join tops y on x.k = y.k and x.i // 3 = y.i // 3 where x.n > 1 group by all),
+walk(id, source, part, k, i, acc, proof) as (
+  select row_number() over (), source, 0, 0, i, other, '' from r
+  union all
+  select w.id, w.source, case when s.k is null then w.part + 1 else w.part end, case when s.k is null then 0 else w.k + 1 end,
+    case when s.k is null then b.i else w.i // 3 end, case when s.k is null then w.acc else sha256(s.l || w.acc || s.r) end,
+    w.proof || coalesce(s.l || s.r, '')
+  from walk w left join sides s on s.part = w.part and s.k = w.k and s.i = w.i and (w.part = 1 or s.source is not distinct from w.source)
+  left join subs b on b.source is not distinct from w.source
+  where w.part < 2),
+numbered as (select *, row_number() over () as id from r),
+ends as (select id, acc, proof from walk where part = 2)
+select doc_id, leaf, b.d as subroot, (select d from tops where n = 1) as root, sha256(proof) as proof_sha256, acc as folded_root,
+  acc = (select d from tops where n = 1) as verified
+from numbered join ends using (id) join subs b on b.source is not distinct from numbered.source
+"""
+
+_FILL = """
+f{k} as (select *, case when not more{j} and key is not null and size <= gap - won{j} then size else 0 end as fit{k} from p{j}),
+r{k} as (select *, sum(fit{k}) over (partition by source order by key, doc_id, size rows unbounded preceding) as run{k} from f{k}),
+m{k} as (select *, more{j} or (fit{k} > 0 and run{k} <= gap - won{j}) as more{k} from r{k}),
+p{k} as (select *, sum(case when more{k} then size else 0 end) over (partition by source) as won{k} from m{k})"""
+
+OP13 = rf"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+v as (select *, case when size > 0 then length(bin(size)) else 0 end as value from d),
+s as (select source, cast(sum(size) as bigint) as words, row_number() over (order by source nulls last) - 1 as i from d group by source),
+w as (select *, case i % 3 when 0 then 3 when 1 then 1 else 2 end as weight, 2 * words as bound from s),
+l as (select *, (1.5e0 * sum(words) over () - coalesce(sum(bound) over (order by bound / weight, source rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (order by bound / weight, source rows between current row and unbounded following) as level,
+  row_number() over (order by bound / weight, source) as k from w),
+lv as (select min_by(level, k) filter (level * weight <= bound) as level from l),
+g as (select source, words as source_size, least(coalesce(lv.level * weight, bound), cast(bound as double)) as target from w, lv),
+c as (select source, value, sum(size) as words from v where value > 0 group by all),
+e as (select c.*, target, (target - 2 * coalesce(sum(words) over (partition by c.source order by value desc rows between unbounded preceding and 1 preceding), 0))
+  / cast(sum(value * words) over (partition by c.source order by value desc rows between current row and unbounded following) as double) as c
+  from c join g on c.source is not distinct from g.source),
+x as (select source, max_by(c, value) filter (c * value <= 2) as c from e group by source),
+y as (select e.source, value, words, target, coalesce(least(x.c * value, 2e0), 2e0) as expected from e join x on e.source is not distinct from x.source),
+z as (select source, max(target) - sum(floor(expected) * words) as gap from y group by source),
+u as (select v.*, floor(coalesce(expected, 0)) as whole, expected - floor(expected) as odds,
+  (('0x' || substr(sha256(coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint + 0.5e0) / 4503599627370496e0 as u
+  from v left join y on v.source is not distinct from y.source and v.value = y.value),
+p0 as (select u.*, z.gap, 0e0 as won0, false as more0, case when odds > 0 then (u / (1 - u)) / (odds / (1 - odds)) end as key
+  from u left join z on u.source is not distinct from z.source),
+{', '.join(_FILL.format(j=j, k=j + 1) for j in range(3))}
+select doc_id, size, source_size, target, cast(size * (whole + more3::int) as bigint) as taken
+from p3 join g on p3.source is not distinct from g.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op10_url_filter": OP10, "op11_periodic_runs": OP11}
+    return {"op1_decontamination": OP1, "op10_url_filter": OP10, "op11_periodic_runs": OP11, "op12_merkle_manifest": OP12, "op13_source_mixing": OP13}
