@@ -22,8 +22,8 @@ def business_text(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Blanks before line ends go, three or more line ends become two, ends are trimmed."""
-    plain = F.regexp_replace(F.regexp_replace(_text(c), r"\x{00A0}", " "), r"[ \t]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    plain = F.regexp_replace(F.regexp_replace(_text(c), r"\x{00A0}", " "), r"(?<![ \t])[ \t]+\n", "\n")
+    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"^\s+|(?<!\s)\s+$", "")
 
 
 def truncate_text(c: Column, limit: int) -> Column:
@@ -108,7 +108,7 @@ def markdown_table_row(line: Column) -> Column:
 
 def strip_json_fence(text: Column) -> Column:
     """The inside of one fence around the whole text, else the trimmed text."""
-    trimmed = F.regexp_replace(_text(text), r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(_text(text), r"^\s+|(?<!\s)\s+$", "")
     inside = F.regexp_extract(trimmed, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
     return F.when(inside != "", inside).otherwise(trimmed)
 
@@ -127,7 +127,7 @@ def reasoning_text(event: Column) -> Column:
 
 def result_clean(conclusion: Column, max_chars: Column, attention: Column) -> Column:
     """``(conclusion, truncated, needs_attention)``: trimmed and cut; attention only where it is said."""
-    text = F.regexp_replace(_text(conclusion), r"^\s+|\s+$", "")
+    text = F.regexp_replace(_text(conclusion), r"^\s+|(?<!\s)\s+$", "")
     return F.struct(F.left(text, max_chars).alias("conclusion"), (F.length(text) > max_chars).alias("truncated"), F.coalesce(attention, F.lit(False)).alias("needs_attention"))
 
 

@@ -98,7 +98,7 @@ def content_fingerprint(kind: Column, sources: Column, method: Column, selected:
             F.transform(F.coalesce(s["headers"], F.array().cast("array<string>")), tx.norm_header).alias("headers"),
         ),
     )
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(method, F.lit("")), "\r\n?", "\n"), r"^\s+|\s+$", "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(method, F.lit("")), "\r\n?", "\n"), r"^\s+|(?<!\s)\s+$", "")
     columns = F.transform(distinct_selections(selected), lambda s: F.struct(s["name"].alias("normalizedHeader"), s["occurrence"].alias("occurrence")))
     plain = F.struct(identity.alias("sources"), text.alias("analysisMethod"))
     derived = F.struct(

@@ -56,7 +56,7 @@ def selected_indexes(selected: Column, headers: Column) -> Column:
 
 def effective_method(method: Column, version: Column) -> Column:
     """``(description, version, used_default)``: a blank method means the default one, whose version counts then."""
-    own = F.regexp_replace(F.coalesce(method, F.lit("")), r"^\s+|\s+$", "")
+    own = F.regexp_replace(F.coalesce(method, F.lit("")), r"^\s+|(?<!\s)\s+$", "")
     blank = own == ""
     return F.struct(
         F.when(blank, DEFAULT_METHOD).otherwise(own).alias("description"),

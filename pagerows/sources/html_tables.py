@@ -20,6 +20,13 @@ _HIDDEN, _VOID = {"script", "style", "template", "noscript"}, set("area base br
 _ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "thead": ("tr",), "tbody": ("tr", "thead"), "tfoot": ("tr", "tbody")}
 
 
+def columns_of(span: str) -> int:
+    """Of a colspan, whatever stands there."""
+    if not (span.isascii() and span.isdigit()):
+        return 1
+    return max(1, min(int(span), MAX_CELLS)) if len(span) < 10 else MAX_CELLS
+
+
 class _Tables(HTMLParser):
     """Collects ``[title, header cells, [body rows]]`` of each table that lies in no other; a cell is (text, span)."""
 
@@ -55,7 +62,7 @@ class _Tables(HTMLParser):
             elif self.row is not None and self.text is None and (tag in ("td", "th") or role in _CELL_ROLES):
                 kind, self.text = "cell", []
                 span = a.get("colspan") or "1"
-                self.span = max(1, min(int(span), MAX_CELLS)) if span.isdigit() else 1
+                self.span = columns_of(span)
                 self.head = self.head or tag == "th" or role in ("columnheader", "rowheader") or "scope" in a
         if tag == "br" and self.text is not None:
             self.text.append("\n")
@@ -77,6 +84,9 @@ class _Tables(HTMLParser):
             if name == tag:
                 return
 
+    def parse_marked_section(self, i, report=1):  # as browsers: a comment, where the library may raise
+        return self.parse_bogus_comment(i)
+
     def close_row(self, kinds):
         table, row, self.row = self.tables[-1], self.row, None
         if not row or "tfoot" in kinds:

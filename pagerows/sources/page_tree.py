@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .html_tables import _ENDS, _HIDDEN, _VOID, MAX_CELLS, align_cells
+from .html_tables import _ENDS, _HIDDEN, _VOID, MAX_CELLS, align_cells, columns_of
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str]
@@ -99,6 +100,9 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.now.parts.append(data)
 
+    def parse_marked_section(self, i, report=1):  # as browsers: a comment, where the library may raise
+        return self.parse_bogus_comment(i)
+
 
 def parse(html: str | None) -> Node:
     builder = _Builder()
@@ -308,7 +312,7 @@ class Page:
             cells: list[str] = []
             for c in self.cells(row)[:MAX_CELLS]:
                 span = c.attrs.get("colspan") or "1"
-                cells += [c.text(self.injected), *[""] * (max(1, min(int(span), MAX_CELLS)) - 1 if span.isdigit() else 0)]
+                cells += [c.text(self.injected), *[""] * (columns_of(span) - 1)]
             out.append(cells)
         return out
 
@@ -396,7 +400,7 @@ def page_pagers(pages: DataFrame, html: str = "html") -> DataFrame:
     def read(root):
         out = []
         for k, pager in enumerate(n for n in root.walk() if _PAGERS & n.classes or n.role == "navigation" and "paginat" in (n.attrs.get("aria-label") or "").lower()):
-            leaves = [n for n in pager.walk() if n.tag in ("li", "button", "a", "span") and n.text().strip().isdigit() and len(n.text().strip()) < 7]
+            leaves = [n for n in pager.walk() if n.tag in ("li", "button", "a", "span") and n.text().strip().isdecimal() and len(n.text().strip()) < 7]
             marked = [n for n in leaves if n.attrs.get("aria-current") in ("page", "true") or any(_ACTIVE.search(c) for p in n.up() if p.number > pager.number for c in p.classes)]
             out.append((k, int(marked[0].text()) if marked else None, sorted({int(n.text()) for n in leaves})))
         return out
@@ -473,7 +477,8 @@ _CODE = re.compile(r"```[\s\S]*?```|`[^`\n]*`")
 
 
 def _table_markdown(table: Node) -> str:
-    rows = [[c.text().strip().replace("|", "\\|") for c in r.walk() if c.tag in ("td", "th")] for r in table.walk() if r.tag == "tr"]
+    texts = {c.number: c.text().strip().replace("|", "\\|") for c in table.walk() if c.tag in ("td", "th")}  # cells of nested tables count for every row around them
+    rows = [[texts[c.number] for c in r.walk() if c.number in texts] for r in table.walk() if r.tag == "tr"]
     rows = [r for r in rows if r]
     if not rows:
         return ""
@@ -482,30 +487,53 @@ def _table_markdown(table: Node) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
 
-def _markdown(node: Node | str) -> str:
-    if isinstance(node, str):
-        return node
-    tag, inner = node.tag, lambda n=node: "".join(map(_markdown, n.parts))
-    if tag in _GONE:
-        return ""
+def _styled(node: Node, own: list[str]) -> str:
+    """An element around the Markdown of what it holds; a list is given the Markdown of each item."""
+    tag = node.tag
+    if tag in ("ul", "ol"):
+        return "\n" + "\n".join(f"{f'{k}.' if tag == 'ol' else '-'} {item.strip()}" for k, item in enumerate(own, 1)) + "\n"
+    inner = "".join(own)
     if tag in _AROUND:
-        return _AROUND[tag] + inner() + _AROUND[tag]
+        return _AROUND[tag] + inner + _AROUND[tag]
     if tag in ("p", "div"):
-        return f"\n\n{inner()}\n\n"
+        return f"\n\n{inner}\n\n"
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return f"\n\n{'#' * min(3, int(tag[1]))} {inner().strip()}\n\n"
+        return f"\n\n{'#' * min(3, int(tag[1]))} {inner.strip()}\n\n"
     if tag == "blockquote":
-        return "\n\n" + "\n".join(f"> {line}" for line in inner().strip().split("\n")) + "\n\n"
+        return "\n\n" + "\n".join(f"> {line}" for line in inner.strip().split("\n")) + "\n\n"
     if tag == "a":
         href = node.attrs.get("href", "")
-        label = inner().strip() or href
+        label = inner.strip() or href
         return f"[{label}]({href})" if re.match("https?://", href, re.I) else label
-    if tag in ("ul", "ol"):
-        items = [c for c in node.children if c.tag == "li"]
-        return "\n" + "\n".join(f"{f'{k}.' if tag == 'ol' else '-'} {inner(c).strip()}" for k, c in enumerate(items, 1)) + "\n"
-    fixed = {"br": lambda: "\n", "hr": lambda: "\n\n---\n\n", "pre": lambda: f"\n\n```\n{node.text().strip()}\n```\n\n", "code": lambda: f"`{node.text()}`"}
-    fixed |= {"img": lambda: node.attrs.get("alt", ""), "table": lambda: f"\n\n{_table_markdown(node)}\n\n"}
-    return fixed.get(tag, inner)()
+    return inner
+
+
+#: Elements that read as a whole.
+_WHOLE = {
+    "br": lambda n: "\n", "hr": lambda n: "\n\n---\n\n", "pre": lambda n: f"\n\n```\n{n.text().strip()}\n```\n\n", "code": lambda n: f"`{n.text()}`",
+    "img": lambda n: n.attrs.get("alt", ""), "table": lambda n: f"\n\n{_table_markdown(n)}\n\n",
+}
+
+
+def _markdown(parts: list) -> str:
+    """Elements of any depth: what is open stands on a list, not on the stack."""
+    top: list[str] = []
+    opened: list[tuple] = [(None, iter(parts), top)]
+    while opened:
+        node, rest, own = opened[-1]
+        part = next(rest, None)
+        if part is None:
+            opened.pop()
+            if node is not None:
+                opened[-1][2].append(_styled(node, own))
+        elif isinstance(part, str):
+            own.append(part)
+        elif part.tag in _WHOLE:
+            own.append(_WHOLE[part.tag](part))
+        elif part.tag not in _GONE:
+            held = [c for c in part.children if c.tag == "li"] if part.tag in ("ul", "ol") else part.parts
+            opened.append((part, iter(held), []))
+    return "".join(top)
 
 
 def to_markdown(text: str | None) -> str:
@@ -514,15 +542,17 @@ def to_markdown(text: str | None) -> str:
     if not _KNOWN.search(text):
         return text
     held: list[str] = []
+    plain_too = unescape(text)
+    mark = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in text and c not in plain_too)  # stands around a code's number
 
     def hold(found):
         held.append(found[0])
-        return f"{len(held) - 1}"
+        return f"{mark}{len(held) - 1}{mark}"
 
     root = parse(_CODE.sub(hold, text))
     body = next((n for n in root.walk() if n.tag == "body"), root)
-    plain = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(map(_markdown, body.parts)))).strip()
-    return re.sub("([0-9]+)", lambda m: held[int(m[1])] if int(m[1]) < len(held) else "", plain)
+    plain = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+\n", "\n", _markdown(body.parts))).strip()
+    return re.sub(f"{mark}([0-9]+){mark}", lambda m: held[int(m[1])], plain)
 
 
 def html_markdown(pages: DataFrame, html: str = "html") -> DataFrame:

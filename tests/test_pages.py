@@ -1,12 +1,13 @@
 """Pages, workbooks and answers: small cases of what the queries' texts don't hold."""
 
 import io
+import random
 import zipfile
 
 import pytest
 from pagerows.operators import binding, contexts, derive, matching, rows, store
 from pagerows.plans.file_queries import _book
-from pagerows.sources import page_tree, workbooks
+from pagerows.sources import html_tables, page_tree, workbooks
 from pagerows.streaming import answers
 from pyspark.sql import functions as F
 
@@ -157,3 +158,52 @@ def test_first_seen_rows(spark, limit):
     frame = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "b", 0), (2, None, 5), (2, None, 4)], "k int, v string, o int")
     got = rows.first_seen(frame, ["k"], F.coalesce("v", F.lit("")), [F.col("o")])
     assert sorted((r.k, r.o) for r in got.collect()) == [(1, 0), (1, 1), (2, 4)]
+
+
+def test_any_byte_of_a_workbook_may_be_damaged(spark):
+    whole = _book({"s": [["a", "b"], ["1", "x" * 40]], "t": [["c"]]})
+    files = [whole] + [whole[:i] + bytes([b ^ 0xFF]) + whole[i + 1 :] for i, b in enumerate(whole)] + [whole[:i] for i in range(0, len(whole), 7)]
+    frame = spark.createDataFrame(list(enumerate(files)), "k int, content binary")
+    found = workbooks.parse_workbooks(frame).groupBy("k").agg(F.count("error").alias("errors"), F.count("*").alias("n")).collect()
+    assert len(found) == len(files)  # a file gives rows, or one error
+    assert all(r.errors == 0 or r.n == 1 for r in found)
+    assert {r.k: (r.errors, r.n) for r in found}[0] == (0, 3)
+    assert sum(r.errors for r in found) > len(whole) // 2
+
+
+DEEP = 10_000
+
+
+def test_deep_and_broken_pages_beside_good_ones(spark):
+    pages = {
+        0: "<p>good <b>one</b></p><table><tr><th>h<tr><td>v</table>", 1: "<div>" * DEEP + "deep" + "</div>" * DEEP, 2: "<b>" * DEEP + "open", 3: "<ul><li>" * 1200 + "x",
+        4: "<![foo[ x ]]><p>y</p>", 5: "<table><tr><td colspan=²>a<td colspan=99999999999>b</table>", 6: "<p>" + " " * 200_000 + "z</p>", 7: "<blockquote>" * 1200 + "q", 8: None,
+        9: "<table><tr><td>" * 300 + "in",
+    }
+    frame = spark.createDataFrame([(k, "u", h) for k, h in pages.items()], "page_id int, url string, html string")
+    md = {r.page_id: r.markdown for r in page_tree.html_markdown(frame.select("page_id", "html")).collect()}
+    assert md[0] == "good **one**\n\n| h |\n| --- |\n| v |" and md[1] == "deep" and md[4] == "y" and md[8] == ""
+    assert md[2] == "**" * DEEP + "open" + "**" * DEEP and md[7].count(">") == 1200 and len(md) == len(pages)
+    outlines = page_tree.page_outlines(frame).select("page_id", "outline").collect()
+    texts = page_tree.page_texts(frame).select("page_id", "text").collect()
+    assert len(outlines) == len(texts) == len(pages)
+    tables_ = {r.page_id: r.rows for r in page_tree.page_tables(frame).collect() if r.table_index == 0}
+    assert tables_[0] == [["v"]] and 5 in tables_
+    assert html_tables.extract_table_rows(frame, "page_id").where("page_id = 0").count() == 1
+    for read in (page_tree.page_pagers, page_tree.page_tabs):
+        assert read(frame).count() >= 0
+
+
+def test_marks_of_held_code_may_stand_in_the_text():
+    md = page_tree.to_markdown
+    assert md("<b>0</b> `c` &#57344;0&#57344;") == "**0** `c` 0"
+
+
+def test_pages_of_any_marks_are_read():
+    rnd = random.Random(8)
+    bits = ["<table>", "</table>", "<tr>", "<td>", "</td>", "<th scope=col>", "<thead>", "<tfoot>", "<div role=row>", "<i role=gridcell>", "<b role=columnheader>", "</div>", "<caption>", "<li>", "<ul>", "</ul>", "<!--", "-->", "<![CDATA[", "]]>", "<!x", "<?p", "&#0;", "&#x110000;", "<a href=", ">", "t", "`", "<select><option>", "<td colspan=0 style='display:none'>", "<div class='ant-pagination'><li class=active>1", "<script>", "</script>", "<div class='_jt_row _jt_rh'>", "<div id=_jt_body>", "<div id=_jt_row_head>", "<svg/>", "\0"]
+    for _ in range(1500):
+        html = "".join(rnd.choices(bits, k=rnd.randrange(30)))
+        page_tree.to_markdown(html)
+        tables(html)
+        html_tables._Tables().feed(html)
