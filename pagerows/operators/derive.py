@@ -3,13 +3,13 @@ concludes is checked, cached and set beside every row with that content."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import cut
 from .catalog import validate_results
 from .folds import ordered_fold
 
@@ -135,23 +135,16 @@ def batches(pending: DataFrame, group: str, order: list, shards: int = 64) -> Da
     return numbered.withColumn("batch", F.concat_ws("\x1f", "__shard", F.col("__n").cast("string"))).drop("__shard", "__n")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def score_rows(pending: DataFrame, scorer: Scorer, attempt: int, shards: int = 64) -> DataFrame:
     """``(analysis, fingerprint, status, conclusion, truncated, needs_attention)`` of pending contents (analysis,
     fingerprint, content, first, method, max_chars, budget, most). The scorer gets a row for each batch (batch, rows,
     prompt, attempt) and returns (batch, answer). Its answers are written before they are used: it is asked once."""
-    placed = _cut(batches(pending, "analysis", ["first", "fingerprint"], shards))
+    placed = cut(batches(pending, "analysis", ["first", "fingerprint"], shards))
     row = F.struct("first", "fingerprint", "content")
     asked = placed.groupBy("batch", "analysis").agg(F.array_sort(F.collect_list(row)).alias("r"), F.first("method").alias("method"), F.first("max_chars").alias("max_chars"))
     rows = F.transform("r", lambda x: F.struct(x["fingerprint"].alias("fingerprint"), x["content"].alias("content")))
     asked = asked.select("batch", rows.alias("rows"), "method", "max_chars").withColumn("attempt", F.lit(attempt))
-    answers = _cut(scorer(asked.withColumn("prompt", derived_prompt(F.col("rows"), F.col("method"), F.col("max_chars")))).select("batch", "answer"))
+    answers = cut(scorer(asked.withColumn("prompt", derived_prompt(F.col("rows"), F.col("method"), F.col("max_chars")))).select("batch", "answer"))
     checked = validate_results(placed.select("batch", "fingerprint"), answers, "batch", "answer", max_chars=1000)
     known = placed.select("batch", "fingerprint", "analysis", "max_chars").join(checked.where("status not in ('unknown', 'duplicate')"), ["batch", "fingerprint"])
     cut = F.col("max_chars")
@@ -192,7 +185,7 @@ def derive_column(
     ready = contents(definitions, tables, rows)
     budget, most = batch_budget(F.col("method"), F.lit(window), F.lit(max_output), F.col("max_chars"))
     described = effective_method(F.col("method"), F.lit(DEFAULT_VERSION))["description"]
-    unique = _cut(
+    unique = cut(
         ready.where(~F.col("missing")).groupBy("analysis", "fingerprint")
         .agg(F.min("row_pos").alias("first"), F.first("content").alias("content"), F.first("method").alias("method"), F.first("max_chars").alias("max_chars"))
     )

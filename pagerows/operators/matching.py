@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_header
+from ..shared import shared_dir
 
 # fixed values: weights of a candidate's score, least coverages, least lead of the best
 _VISIBLE, _STABLE_SELECTOR, _SELECTOR, _INDEX = 0.03, 0.22, 0.08, 0.03
@@ -90,9 +90,7 @@ def frame_paths(frames: DataFrame, frame: str = "frame_id", parent: str = "paren
     with the same url (as ``normalize`` gives it) before it. Paths double in each round, so the number of rounds is the logarithm of the depth, which
     has no limit; each round is checkpointed. Frames on or below a cycle have no path: they are those left when no path
     ends any more though paths as long as there are frames would have. A parent that isn't there makes a root."""
-    sc = frames.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(frames.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_dir(frames.sparkSession)
     frames = frames if normalize is None else frames.withColumn(url, normalize(F.col(url)))
     index = F.row_number().over(Window.partitionBy(page, parent, url).orderBy(frame)) - 1
     part = F.concat(F.coalesce(url, F.lit("")), F.lit("#"), index.cast("string"))

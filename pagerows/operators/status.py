@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import ordered_fold
 
 #: States of a source, and what is shown for them.
 LABELS = {
@@ -147,23 +146,3 @@ def recent_result(requests: DataFrame, keys: list[str], ts: str, tie: str, withi
     w = Window.partitionBy(*keys).orderBy(ts, tie)
     past = F.unix_millis(F.lag(F.col(ts).cast("timestamp")).over(w))
     return requests.withColumn("reused", F.coalesce(F.unix_millis(F.col(ts).cast("timestamp")) - past <= within_ms, F.lit(False)))
-
-
-def catalog_apply(mutations: DataFrame, key: str, order: list, kind: str = "type", expected: str = "expected_revision") -> DataFrame:
-    """``outcome`` of each mutation of a saved analysis, in order: the new revision, ``deleted``, or the error that left
-    the catalog as it was. A task streams a key's mutations; its state is one number."""
-
-    def step(revision, what, wanted):
-        if what == "UPSERT_SKILL" and revision is None:
-            return (None, "SKILL_CONFLICT") if (wanted or 0) > 0 else (1, "1")
-        if what not in ("UPSERT_SKILL", "UPDATE_ANALYSIS_METHOD", "UPDATE_SOURCE_HEADERS", "LEARN_SOURCE_BUSINESS_TAB", "DELETE_SKILL"):
-            return revision, "UNKNOWN_SKILL_MUTATION"
-        if revision is None:
-            return None, "SKILL_NOT_FOUND"
-        if what == "LEARN_SOURCE_BUSINESS_TAB":  # fills in what is empty and isn't an edit
-            return revision, str(revision)
-        if wanted is not None and max(0, wanted) != revision:
-            return revision, "SKILL_CONFLICT"
-        return (None, "deleted") if what == "DELETE_SKILL" else (revision + 1, str(revision + 1))
-
-    return ordered_fold(mutations, key, order, {"what": F.col(kind), "wanted": F.col(expected).cast("long")}, "outcome", "string", lambda: None, step)

@@ -1,61 +1,12 @@
-"""What a catalog of saved analyses holds after a log of mutations, and results that come too late."""
+"""Results that come too late, readiness of tables, collections of pages."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import ordered_fold
 from .rows import first_seen
 
-STATE = "struct<revision:bigint,created_at:bigint,updated_at:bigint,name:string,method:string,headers:string,tab:string>"
-
-
-def since_cleared(mutations: DataFrame, order: str, kind: str = "type") -> DataFrame:
-    """Mutations after the last one that emptied the whole catalog; only its place reaches the driver."""
-    last = mutations.where(F.col(kind) == "DELETE_ALL_SKILLS").agg(F.max(order)).first()[0]
-    rest = mutations.where(F.col(kind) != "DELETE_ALL_SKILLS")
-    return rest if last is None else rest.where(F.col(order) > last)
-
-
-def catalog_state(mutations: DataFrame, key: str, order: str, kind: str = "type", expected: str = "expected_revision", value: str = "value", tab: str = "tab", now: str = "now") -> DataFrame:
-    """``(key, revision, created_at, updated_at, name, method, headers, tab)`` of the analyses that are left.
-
-    An UPSERT sets the name (``value``) and the tab, but a tab that was learned stays where it brings none; the UPDATEs set
-    method and headers; LEARN_SOURCE_BUSINESS_TAB fills an empty tab and is no edit. A wrong ``expected`` revision, an
-    analysis that isn't there, or a blank tab leaves all as it was. A task streams an analysis' mutations."""
-
-    def step(state, what, wanted, text, title, at):
-        if what == "UPSERT_SKILL":
-            if state is None:
-                if (wanted or 0) <= 0:
-                    state = {"revision": 1, "created_at": at, "updated_at": at, "name": text, "method": None, "headers": None, "tab": title or None}
-            elif wanted is None or max(0, wanted) == state["revision"]:
-                state = {**state, "revision": state["revision"] + 1, "updated_at": at, "name": text, "tab": title or state["tab"]}
-        elif state is not None and what == "LEARN_SOURCE_BUSINESS_TAB":
-            state = {**state, "tab": state["tab"] or (text or "").strip() or None}
-        elif state is not None and (wanted is None or max(0, wanted) == state["revision"]):
-            field = {"UPDATE_ANALYSIS_METHOD": "method", "UPDATE_SOURCE_HEADERS": "headers"}.get(what)
-            if what == "DELETE_SKILL":
-                state = None
-            elif field:
-                state = {**state, "revision": state["revision"] + 1, "updated_at": at, field: text}
-        return state, json.dumps(state) if state else ""
-
-    inputs = {"what": F.col(kind), "wanted": F.col(expected).cast("long"), "text": F.col(value), "title": F.col(tab), "at": F.col(now).cast("long")}
-    folded = ordered_fold(since_cleared(mutations, order, kind), key, [order], inputs, "__state", "string", lambda: None, step)
-    last = folded.groupBy(key).agg(F.max_by("__state", order).alias("__s")).where("__s <> ''")
-    return last.select(key, F.from_json("__s", STATE).alias("s")).select(key, "s.*")
-
-
-def catalog_page_names(mutations: DataFrame, order: str, page: str = "page_key", name: str = "value", kind: str = "type") -> DataFrame:
-    """``(page, name)``: the last name set for each page since the catalog was emptied; blank ones are refused."""
-    said = since_cleared(mutations, order, kind).where((F.col(kind) == "SET_PAGE_NAME") & (F.trim(F.coalesce(name, F.lit(""))) != "") & (F.coalesce(page, F.lit("")) != ""))
-    return said.groupBy(page).agg(F.trim(F.max_by(name, order)).alias("name"))
-
-
 def stale_results(results: DataFrame, sessions: DataFrame, key: str, analysis: str = "analysis_fp", seq: str = "session_seq") -> DataFrame:
     """Adds ``shown``: a result shows only while its analysis is its table's newest session; every result is cached."""
     newest = sessions.groupBy(key).agg(F.max_by(analysis, seq).alias("__now"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -12,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, definitions
+from ..operators import catalog, catalog_log, definitions
 from ..sources import page_tree, workbooks
 from ..streaming import answers, cache
+from ..shared import cut, new_folder
 from .page_queries import _pages
 from .registry import register, table
 
@@ -118,25 +117,53 @@ def read_catalog(spark, sf_dir):
 
 @register("src7_catalog_names", "select o_custkey, 'p' || o_custkey as page_key, min(o_orderpriority) as name from orders where o_custkey % 11 > 0 group by o_custkey")
 def catalog_names(spark, sf_dir):
-    return workbooks.catalog_names(_catalogs(spark, sf_dir).where("o_custkey % 11 > 0"))
+    return workbooks.catalog_names(_catalogs(spark, sf_dir))
 
 
-@register("job6_import_catalog", """with i as (select o_custkey, o_orderkey, o_orderstatus || '"' as content, o_orderkey % 5 > 0 as ok from orders where o_custkey % 11 > 0),
-    f as (select *, ok and o_orderkey = min(o_orderkey) filter (ok) over (partition by o_custkey, content) and not (o_custkey % 2 = 0 and content = 'P"') as new from i)
-    select o_custkey, count(*) as total, count(*) filter (new) as success, count(*) filter (ok and not new) as duplicate, count(*) filter (not ok) as failed from f group by o_custkey""")
+_IMPORT_SQL = """i as (select o_custkey, o_orderkey, o_orderstatus || '"' as content, o_orderkey % 5 > 0 as ok from orders where o_custkey % 11 > 0),
+    f as (select *, ok and o_orderkey = min(o_orderkey) filter (ok) over (partition by o_custkey, content) and not (o_custkey % 2 = 0 and content = 'P"') as new from i)"""
+
+
+@register("job6_import_catalog", f"""with {_IMPORT_SQL} select o_custkey, count(*) as total, count(*) filter (new) as success, count(*) filter (ok and not new) as duplicate, count(*) filter (not ok) as failed, cast(null as varchar) as error from f group by o_custkey
+    union all select distinct o_custkey, 0, 0, 0, 0, 'not JSON' from orders where o_custkey % 11 = 0""")
 def import_catalog(spark, sf_dir):
+    """A damaged catalog has its error and no items."""
     c = F.col
-    read = workbooks.read_catalog(_catalogs(spark, sf_dir), item="struct<id:string,name:string,content:string>").where("error is null")
-    items = read.select("o_custkey", "seq", "item.*").withColumn("bad", F.size(definitions.definition_errors(F.lit("table-analysis"), c("name"), F.lit(1), F.lit(0), F.lit(0))) > 0)
+    read = workbooks.read_catalog(_catalogs(spark, sf_dir), item="struct<id:string,name:string,content:string>")
+    items = read.where("error is null").select("o_custkey", "seq", "item.*").withColumn("bad", F.size(definitions.definition_errors(F.lit("table-analysis"), c("name"), F.lit(1), F.lit(0), F.lit(0))) > 0)
     fp = F.sha2(F.concat_ws("\x1f", c("o_custkey").cast("string"), "content"), 256)
     held = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.sha2(F.concat_ws("\x1f", c("c_custkey").cast("string"), F.lit('P"')), 256).alias("fp"))
     judged = catalog.import_dedupe(items.withColumn("fp", fp).withColumn("place", c("id").cast("long")), held, "fp", "place", ~c("bad"))
     n = lambda o: F.count_if(c("outcome") == o).alias(o)
-    return judged.groupBy("o_custkey").agg(F.count("*").alias("total"), n("success"), n("duplicate"), n("failed"))
+    counts = judged.groupBy("o_custkey").agg(F.count("*").alias("total"), n("success"), n("duplicate"), n("failed"))
+    damaged = read.where("error is not null").select("o_custkey", *(F.lit(0).cast("bigint").alias(k) for k in ("total", "success", "duplicate", "failed")), "error")
+    return counts.withColumn("error", F.lit(None).cast("string")).unionByName(damaged)
+
+
+@register("job6_import_applied", f"""with {_IMPORT_SQL}, h as (select o_custkey, count(*) as analyses from (select o_custkey from f where new union all select c_custkey from customer where c_custkey % 2 = 0) group by o_custkey),
+    k as (select o_custkey from orders union select c_custkey from customer where c_custkey % 2 = 0)
+    select k.o_custkey, coalesce(analyses, 0) as analyses, (select 'added ' || count(*) filter (new) from f where f.o_custkey = k.o_custkey having count(*) > 0) as outcome, (select min(o_orderpriority) from orders o where o.o_custkey = k.o_custkey and o.o_custkey % 11 > 0) as page_name from k left join h using (o_custkey)""")
+def import_applied(spark, sf_dir):
+    """What imports leave in catalogs that hold an analysis each or none: valid items of a file whose content is new, and the
+    file's page names. A damaged file leaves its catalog as it was."""
+    c = F.col
+    files = _catalogs(spark, sf_dir)
+    read = workbooks.read_catalog(files, item="struct<id:string,name:string,content:string>")
+    items = read.where("error is null").withColumn("bad", F.size(definitions.definition_errors(F.lit("table-analysis"), c("item.name"), F.lit(1), F.lit(0), F.lit(0))) > 0)
+    log = catalog_log.import_log(items.where("not bad").select(c("o_custkey").alias("catalog"), "seq", *(c(f"item.{k}").alias(k) for k in ("id", "name", "content"))), workbooks.catalog_names(files).withColumnRenamed("o_custkey", "catalog"), read.where("error is null").select(c("o_custkey").alias("catalog")).distinct())
+    owners = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(c("c_custkey").alias("catalog"), F.lit(0).alias("seq"), F.lit("own").alias("id"), F.lit("own").alias("name"), F.lit('P"').alias("content"))
+    held = catalog_log.compacted(catalog_log.import_log(owners, None, owners.select("catalog")))
+    done = cut(catalog_log.folded(log, held))
+    state = done.where("state is not null").select("catalog", "state")
+    left = catalog_log.skills_of(state).groupBy("catalog").agg(F.count("*").alias("analyses"))
+    names = catalog_log.names_of(state).groupBy("catalog").agg(F.min("name").alias("page_name"))
+    said = done.where("outcome is not null").select("catalog", "outcome")
+    everyone = files.select(c("o_custkey").alias("catalog")).union(owners.select("catalog")).distinct()
+    return everyone.join(left, "catalog", "left").join(names, "catalog", "left").join(said, "catalog", "left").select(c("catalog").alias("o_custkey"), F.coalesce("analyses", F.lit(0)).alias("analyses"), "outcome", "page_name")
 
 
 def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/files-{uuid.uuid4().hex}"
+    return new_folder(spark, "files")
 
 
 def _chunk_files(spark, sf_dir) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import render, rows
-from . import binding_queries, definition_queries, derive_queries, file_queries, fold_queries, match_queries, page_queries, prompt_queries, source_queries, status_queries, store_queries, stream_queries  # noqa: F401 (they register their queries)
+from . import binding_queries, catalog_queries, definition_queries, derive_queries, file_queries, fold_queries, match_queries, page_queries, prompt_queries, source_queries, status_queries, store_queries, stream_queries  # noqa: F401 (they register their queries)
 from .registry import oracle_sql, queries, register as _register, table as _t  # noqa: F401
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from ..functions import text as tx
 from ..operators import render
 from ..sources import delimited, html_tables, sse
 from ..streaming import cache
+from ..shared import new_folder
 from .registry import register, table
 
 
@@ -116,7 +115,7 @@ def cache_write(spark, sf_dir):
     """The events, read as a stream, are cached results; the newest of each user and type counts."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("conclusion", F.trim("props"))
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/cache-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "cache")
     cache.write_cache_stream(stream, f"{folder}/entries", f"{folder}/progress").awaitTermination()
     entries = spark.read.parquet(f"{folder}/entries")
     return cache.cache_latest(entries, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "conclusion")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import folds, status
+from ..operators import catalog_log, folds, status
 from .fold_queries import _CONTEXTS_SQL, _contexts
 from .registry import register, table
 
@@ -148,9 +148,16 @@ _KIND_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _
     when what like 'LEARN%' or wanted is null or wanted = f.revision then '' else 'SKILL_CONFLICT' end as error from f join c on c.user_id = f.user_id and c.k = f.k + 1))
     select user_id, event_id, outcome from f where k > 0""")
 def catalog_apply(spark, sf_dir):
-    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _KINDS.items()))
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("type"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 4).alias("expected_revision"))
-    return status.catalog_apply(events, "user_id", ["event_id"]).select("user_id", "event_id", "outcome")
+    """Catalogs of one analysis with one source."""
+    c, n = F.col, F.col("event_id")
+    kind = F.coalesce(*(F.when(c("event_type") == k, v) for k, v in _KINDS.items()))
+    source = F.struct(F.lit("a").alias("id"), *(F.lit(None).cast(t).alias(k) for k, t in (("place", "string"), ("headers", "array<string>"), ("tab", "string"), ("confirmed", "boolean"), ("captured_at", "bigint"))))
+    skill = F.struct(F.lit("s").alias("id"), *(F.lit(None).cast(t).alias(k) for k, t in (("name", "string"), ("revision", "bigint"), ("created_at", "bigint"), ("method", "string"), ("content", "string"), ("version", "int"))), F.array(source).alias("sources"))
+    events = table(spark, sf_dir, "events").select(
+        c("user_id").alias("catalog"), n.alias("seq"), kind.alias("type"), F.lit("s").alias("skill_id"), F.lit("a").alias("source_id"), F.when(n % 2 == 0, n % 4).alias("expected_revision"), n.alias("now"), F.lit(None).cast("string").alias("page_key"),
+        F.lit("v").alias("value"), F.lit(None).cast("array<string>").alias("headers"), F.array(skill).alias("skills"), F.lit(None).cast("map<string,string>").alias("page_names"),
+    )
+    return catalog_log.outcomes(events).select(c("catalog").alias("user_id"), c("seq").alias("event_id"), "outcome")
 
 
 @register("sf12_context_identity", """select p_partkey, case when p_size % 3 = 0 then '' when p_size % 3 = 1 then 'row-key:' || p_name else 'table-dom::' || p_type || '::' || p_brand || '::table-row::::' || p_name end as identity from part""")

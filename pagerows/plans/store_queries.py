@@ -1,4 +1,4 @@
-"""Queries of the catalog's state, of collections and readiness, and of rules that other queries use in passing."""
+"""Queries of collections and readiness, and of rules that other queries use in passing."""
 
 from __future__ import annotations
 
@@ -9,44 +9,7 @@ from ..functions import text as tx
 from ..operators import folds, matching, render, rows, status, store
 from .fold_queries import _contexts, _CONTEXTS_SQL
 from .registry import register, table
-from .status_queries import _KIND_SQL, _KINDS, _sources, _SOURCES_SQL
-
-
-def _mutations(spark, sf_dir) -> DataFrame:
-    c = F.col
-    n = c("event_id")
-    kind = F.coalesce(*(F.when(c("event_type") == k, v) for k, v in _KINDS.items()))
-    kind = F.when(n % 700 == 699, "DELETE_ALL_SKILLS").when(n % 11 == 5, "SET_PAGE_NAME").when(n % 13 == 7, "UPDATE_SOURCE_HEADERS").otherwise(kind)
-    return table(spark, sf_dir, "events").select(
-        "user_id", "event_id", kind.alias("type"), F.when(n % 2 == 0, n % 4).alias("expected_revision"), F.concat(F.when(n % 3 == 0, " ").otherwise("v"), F.when(n % 3 == 0, "").otherwise(n.cast("string"))).alias("value"),
-        F.when(n % 5 == 0, F.concat(F.lit("t"), n.cast("string"))).alias("tab"), (n * 10).alias("now"), F.concat(F.lit("p"), c("user_id").cast("string")).alias("page_key"),
-    )
-
-
-_MUTATIONS_SQL = f"""m as (select user_id, event_id, case when event_id % 700 = 699 then 'DELETE_ALL_SKILLS' when event_id % 11 = 5 then 'SET_PAGE_NAME' when event_id % 13 = 7 then 'UPDATE_SOURCE_HEADERS' else {_KIND_SQL} end as what,
-    case when event_id % 2 = 0 then event_id % 4 end as wanted, case when event_id % 3 = 0 then ' ' else 'v' || event_id end as value, case when event_id % 5 = 0 then 't' || event_id end as tab from events),
-    live as (select * from m where what <> 'DELETE_ALL_SKILLS' and event_id > coalesce((select max(event_id) from m where what = 'DELETE_ALL_SKILLS'), -1))"""
-
-
-@register("job3_catalog_state", f"""with recursive {_MUTATIONS_SQL}, c as (select *, row_number() over (partition by user_id order by event_id) as k, event_id * 10 as t from live),
-    f as (select distinct user_id, cast(0 as bigint) as k, cast(null as bigint) as revision, cast(null as bigint) as created_at, cast(null as bigint) as updated_at, cast(null as varchar) as name, cast(null as varchar) as method, cast(null as varchar) as headers, cast(null as varchar) as tab from c
-    union all select c.user_id, c.k,
-      case when new then 1 when edit then revision + 1 when gone then null else revision end, case when new then t when gone then null else created_at end, case when new or edit then t when gone then null else updated_at end,
-      case when new or edit and what = 'UPSERT_SKILL' then value when gone then null else name end, case when new or gone then null when edit and what = 'UPDATE_ANALYSIS_METHOD' then value else method end,
-      case when new or gone then null when edit and what = 'UPDATE_SOURCE_HEADERS' then value else headers end,
-      case when new then c.tab when gone then null when edit and what = 'UPSERT_SKILL' then coalesce(c.tab, x.tab) when what = 'LEARN_SOURCE_BUSINESS_TAB' and revision is not null then coalesce(x.tab, nullif(trim(value), '')) else x.tab end
-      from (select f.*, c2.what as w2, f.revision is null and c2.what = 'UPSERT_SKILL' and coalesce(c2.wanted, 0) <= 0 as new,
-        f.revision is not null and c2.what in ('UPSERT_SKILL', 'UPDATE_ANALYSIS_METHOD', 'UPDATE_SOURCE_HEADERS') and (c2.wanted is null or c2.wanted = f.revision) as edit,
-        f.revision is not null and c2.what = 'DELETE_SKILL' and (c2.wanted is null or c2.wanted = f.revision) as gone from f join c c2 on c2.user_id = f.user_id and c2.k = f.k + 1) x join c on c.user_id = x.user_id and c.k = x.k + 1)
-    select user_id, revision, created_at, updated_at, name, method, headers, tab from f where revision is not null qualify k = max(k) over (partition by user_id) and k = (select max(k) from c where c.user_id = f.user_id)""")
-def catalog_state(spark, sf_dir):
-    skills = _mutations(spark, sf_dir).where("type <> 'SET_PAGE_NAME' or true")
-    return store.catalog_state(skills, "user_id", "event_id")
-
-
-@register("job3_page_names", f"with {_MUTATIONS_SQL} select 'p' || user_id as page_key, max_by(trim(value), event_id) as name from live where what = 'SET_PAGE_NAME' and trim(value) <> '' group by user_id")
-def catalog_page_names(spark, sf_dir):
-    return store.catalog_page_names(_mutations(spark, sf_dir), "event_id")
+from .status_queries import _sources, _SOURCES_SQL
 
 
 @register("st11_stale_results", """select o_orderkey, o_orderpriority = (select max_by(b.o_orderpriority, b.o_orderkey) from orders b where b.o_custkey = a.o_custkey and b.o_orderkey % 3 = 0) and (select count(*) from orders b where b.o_custkey = a.o_custkey and b.o_orderkey % 3 = 0) > 0 as shown from orders a""".replace("select o_orderkey, o_orderpriority", "select o_orderkey, coalesce(o_orderpriority").replace("% 3 = 0) and (select", "% 3 = 0), false) and (select"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..streaming import state
+from ..shared import new_folder
 from .fold_queries import _DAY
 from .registry import oracle_sql, register, table
 
@@ -15,7 +14,7 @@ WAVES = 4
 
 
 def _folder(spark):
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _in_waves(spark, sf_dir, make):

@@ -25,14 +25,6 @@ def test_deleting_headers_and_last_rows(spark):
     assert left() == ["H1", "H2", "H3", "R1", "R2", "R3"]
 
 
-def test_mutations_of_one_analysis(spark):
-    kinds = ["DELETE_SKILL", "UPSERT_SKILL", "UPSERT_SKILL", "UPSERT_SKILL", "LEARN_SOURCE_BUSINESS_TAB", "DELETE_SKILL", "X"]
-    wanted = [None, None, 1, 1, 9, 2, None]
-    rows = spark.createDataFrame([("a", k, t, w) for k, (t, w) in enumerate(zip(kinds, wanted))], "id string, seq int, type string, expected_revision int")
-    got = [r["outcome"] for r in status.catalog_apply(rows, "id", ["seq"]).orderBy("seq").collect()]
-    assert got == ["SKILL_NOT_FOUND", "1", "2", "SKILL_CONFLICT", "2", "deleted", "UNKNOWN_SKILL_MUTATION"]
-
-
 def _stream(spark, folder, batches, schema):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
