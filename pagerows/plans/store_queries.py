@@ -52,14 +52,19 @@ _COLLECT_SQL = """s as (select user_id, event_id, 1 + row_number() over (partiti
     z as (select user_id, coalesce(reason, 'no-progress') as reason, coalesce(ended, pages) as pages, least(12, coalesce(at_end, seen)) as rows from e)"""
 
 
-def _collected(spark, sf_dir):
+def _collect_input(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n = F.col("event_id")
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     shots = table(spark, sf_dir, "events").select("user_id", "event_id", (1 + F.floor(k / 4)).alias("page"), F.concat_ws(tx.UNIT_SEPARATOR, "event_type", (F.floor("value").cast("int") % 6).cast("string")).alias("sig"))
     last = shots.groupBy("user_id", "page").agg(F.max("event_id").alias("event_id"))
     outcome = F.when(n % 31 == 0, "page-timeout").when(n % 37 == 0, "next-click-failed")
-    pages = last.select("user_id", "page", (n % 41 == 0).alias("stopped"), (n % 29 == 0).alias("is_last"), outcome.alias("outcome"))
-    return store.collect(shots, pages, "user_id", F.col("sig"), [F.col("page"), F.col("event_id")], max_rows=12, max_pages=8)
+    pages = last.select("user_id", "event_id", "page", (n % 41 == 0).alias("stopped"), (n % 29 == 0).alias("is_last"), outcome.alias("outcome"))
+    return shots, pages
+
+
+def _collected(spark, sf_dir):
+    shots, pages = _collect_input(spark, sf_dir)
+    return store.collect(shots, pages.drop("event_id"), "user_id", F.col("sig"), [F.col("page"), F.col("event_id")], max_rows=12, max_pages=8)
 
 
 @register("job1_collection_ends", f"with {_COLLECT_SQL} select user_id, reason, pages, rows, reason in ('row-limit', 'page-limit') as truncated from z")

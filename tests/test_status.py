@@ -1,8 +1,6 @@
 """Small cases of source states, deletions, the catalog's fold and stateful streams."""
 
-from pagerows.operators import folds, status
-from pagerows.streaming import state
-from pyspark.sql import functions as F
+from pagerows.operators import status
 
 
 def test_no_state_means_checking(spark):
@@ -23,30 +21,3 @@ def test_deleting_headers_and_last_rows(spark):
     assert left("R3") == ["H1", "H3", "R1", "R2"]
     assert left("R1") == ["H1", "H2", "H3", "R2", "R3"]
     assert left() == ["H1", "H2", "H3", "R1", "R2", "R3"]
-
-
-def _stream(spark, folder, batches, schema):
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
-
-
-def _rows(spark, folder, stream):
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
-    query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
-def test_request_limit_lasts_over_batches(spark, tmp_path):
-    schema, times = "key bigint, ts bigint, n bigint", [0, 10, 20, 30, 95, 200]
-    rows = [(1, t, k) for k, t in enumerate(times)]
-    stream = _stream(spark, str(tmp_path), [rows[:2], rows[2:3], rows[3:]], schema)
-    got = _rows(spark, str(tmp_path), state.rate_guard_stream(stream, "key", "ts", "n", 60, 2)).orderBy("n").collect()
-    whole = folds.rate_guard(spark.createDataFrame(rows, schema), "key", F.col("ts"), ["n"], 60, 2).orderBy("n").collect()
-    assert [r["outcome"] for r in got] == [r["outcome"] for r in whole] == ["allowed", "allowed", "limit", "cooldown", "allowed", "allowed"]
-
-
-def test_ready_after_equal_polls_over_batches(spark, tmp_path):
-    rows = [(1, 0, 0, "a"), (1, 1, 1, "b"), (1, 2, 2, "b"), (1, 3, 3, "b"), (1, 4, 4, "b"), (2, 0, 5, None)]
-    stream = _stream(spark, str(tmp_path), [rows[:3], rows[3:]], "key bigint, ts bigint, n bigint, v string")
-    assert [tuple(r) for r in _rows(spark, str(tmp_path), state.readiness_stream(stream, "key", "ts", "n", "v")).collect()] == [(1, 3)]
