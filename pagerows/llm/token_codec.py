@@ -3,10 +3,10 @@
 Ids are coded in blocks that reset all state, so each block stands alone and many blocks are coded side by side, one
 numpy lane each. Of each id, two things are coded:
 
-- Whether it is the candidate of the longest context that knows one: what followed the last two ids (order 2) or the
-  last id (order 1). The probability mixes the orders: each gives a logit by how sure it is and whether it agrees, order 0
-  by whether the candidate is the block's most frequent id; they are added, and all learn from the error. Without a
-  candidate this is left out.
+- Whether it is the candidate of the longest context that knows one: what followed the last two ids (order 2, by a hash
+  that is checked) or the last id (order 1, the whole id). Each order, 0 too, gives a logit by how often what it says has
+  come true and whether it agrees on the candidate; their sum by weights is the mixed prediction. Logits and weights
+  learn from its error, faster at a block's begin. Without a candidate this is left out.
 - If it isn't, which id it is, by the counts of the block's ids so far (order 0), which are renewed as the block grows;
   ids that these don't hold share an escape, as likely as there are different ids, and follow as 16 bits.
 
@@ -23,93 +23,126 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 1024
+BLOCK_IDS = 16_384
 #: Blocks coded side by side, enough to spread numpy's cost for each call, and those whose counts are made together,
 #: few enough that they stay in cache.
-GROUP, TILE = 6144, 256
+GROUP, TILE = 512, 16
 MAGIC = b"TIDC"
 _HEAD = struct.Struct("<4sIII")
-#: Contexts of a block's table: by the last id; each holds what followed it (order 1) and, by the id before, what
-#: followed both (order 2, in one of two places beside it).
-_SLOTS, _PLACES = 128, 4
+#: Contexts of a block: slots of order 1 and 2, as powers of two. A slot holds what followed (16 bits), what tells the
+#: context from others with its slot (14 bits; of order 1 three of them, as all of its 16 bits count), and how sure it is.
+_SLOTS1, _SLOTS2, _CHECK = 13, 14, (1 << 14) - 1
+_LAST1, _LAST2 = (1 << _SLOTS1) - 1, (1 << _SLOTS2) - 1
+_SURER = np.array([1, 2, 3, 3])
+#: Odd factors, so that equal products mean equal ids.
+_MIX1, _MIX2 = 40_503, 2_654_435_761
 _LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
 #: Logits are in units of 1/512; the probability of a hit in units of 1/65536, away from 0 and 1.
 _UNIT, _GRID = 512, 4096
 _SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-_GRID, _GRID) / _UNIT))), 64, 65472).astype("int64")
 #: First logits: by how sure order 2 is (0: knows nothing), by how sure order 1 is and whether it agrees with the
 #: candidate, by whether order 0 agrees.
-_START = np.array([-900, -500, 100, 500, -300, -300, -300, 0, -300, 300, -300, 600, 0, 100, 0, 0], "int32")
+_START = np.array([-900, -900, 0, 700, -300, -300, -500, -500, -400, 0, -300, 300, 0, 300, 0, 0], "int32")
 _AT1, _AT0 = 4, 12  # where order 1's and order 0's begin
-_RATE = 10  # errors move logits by 2 ** -_RATE of themselves
+_ONE = 1 << 12  # a weight of 1
 
 
 def _renewals(steps: int) -> list[int]:
-    """The steps before which order-0 counts are renewed: each time the block has grown by a third, or by 16."""
+    """The steps before which order-0 counts are renewed: each time the block has grown by a sixteenth, or by 16."""
     out, t = [], 16
     while t < steps:
         out.append(t)
-        t += max(16, t // 3)
+        t += max(16, t // 16)
     return out
 
 
 class _Model:
     """Shared by encoder and decoder: candidates, and how likely they are.
 
-    Lanes stand in order of falling length, so those still alive are the first ``n``. An entry of the table ``after`` is
-    four times the id that followed last, plus how sure it is (0: nothing followed yet, 1: once, 3: the same as before)."""
+    Lanes stand in order of falling length, so those still alive are the first ``n``. How sure a slot is: 1 (followed once)
+    to 3 (the same three times or more)."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
-        self.begin = lane * (_SLOTS * _PLACES)
+        self.begin1, self.begin2 = lane << _SLOTS1, lane << _SLOTS2
         self.of2 = lane * len(_START)
         self.of1, self.of0 = self.of2 + _AT1, self.of2 + _AT0
-        self.after = np.zeros(lanes * _SLOTS * _PLACES, "int32")
-        self.logits = np.tile(_START, lanes)
-        self.prev, self.place = np.zeros(lanes, "int64"), np.ones(lanes, "int64")
-        self.top = np.zeros(lanes, "int32")
+        self.after1, self.after2 = np.zeros(lanes << _SLOTS1, "uint32"), np.zeros(lanes << _SLOTS2, "uint32")
+        self.logits = np.tile(_START.astype("int64"), lanes)
+        self.weights = np.full((3, lanes), _ONE)
+        self.prev, self.before = np.zeros(lanes, "int64"), np.zeros(lanes, "int64")
+        self.top = np.zeros(lanes, "int64")
+        self.step = 0
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        top = self.top[:n]
-        self.i1 = (self.prev[:n] & (_SLOTS - 1)) * _PLACES
-        self.i1 += self.begin[:n]
-        self.i2 = self.i1 + self.place[:n]
-        self.e1, self.e2 = self.after.take(self.i1, mode="clip"), self.after.take(self.i2, mode="clip")
-        self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
-        sure1, sure2 = self.e1 & 3, self.e2 & 3
-        cand = np.where(sure2 > 0, self.c2, self.c1)  # what order 2 knows, order 1 knows
-        self.k2 = self.of2[:n] + sure2
-        sure1 <<= 1
-        sure1 += self.c1 == cand
-        self.k1 = self.of1[:n] + sure1
-        self.k0 = self.of0[:n] + (top == cand)
-        self.q2, self.q1, self.q0 = (self.logits.take(k, mode="clip") for k in (self.k2, self.k1, self.k0))
-        logit = self.q2 + self.q1
-        logit += self.q0
+        mixed = self.prev[:n] * _MIX1
+        mixed &= 0xFFFF
+        i1 = mixed & _LAST1
+        i1 += self.begin1[:n]
+        check1 = mixed >> _SLOTS1
+        pair = mixed << 16
+        pair |= self.before[:n]
+        pair *= _MIX2
+        pair >>= 18
+        i2 = pair & _LAST2
+        i2 += self.begin2[:n]
+        pair >>= _SLOTS2
+        pair &= _CHECK
+        held1, held2 = self.after1.take(i1, mode="clip").astype("int64"), self.after2.take(i2, mode="clip").astype("int64")
+        c1, c2 = held1 >> 16, held2 >> 16
+        sure1, sure2 = held1 & 3, held2 & 3
+        held1 >>= 2
+        held1 &= _CHECK
+        sure1 *= held1 == check1  # 0: the slot is another context's
+        held2 >>= 2
+        held2 &= _CHECK
+        sure2 *= held2 == pair
+        cand = np.where(sure2, c2, c1)
+        k2 = self.of2[:n] + sure2
+        k1 = self.of1[:n] + sure1
+        k1 += sure1
+        k1 += c1 == cand
+        k0 = self.of0[:n] + (self.top[:n] == cand)
+        logits, (w2, w1, w0) = self.logits, self.weights
+        q2, q1, q0 = logits.take(k2, mode="clip"), logits.take(k1, mode="clip"), logits.take(k0, mode="clip")
+        logit = q2 * w2[:n]
+        logit += q1 * w1[:n]
+        logit += q0 * w0[:n]
+        logit >>= 12
         logit += _GRID
         self.p = _SQUASH.take(logit, mode="clip")
-        self.p *= sure1 > 1
+        self.known = (sure1 | sure2) > 0
+        self.p *= self.known
+        self.orders = ((k2, q2, w2), (k1, q1, w1), (k0, q0, w0))
+        self.slots = ((self.after2, i2, c2, sure2, pair), (self.after1, i1, c1, sure1, check1))
         return cand, self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        """The ids just coded, as 32-bit numbers."""
-        n = len(ids)
-        error = hit.astype("int64") << 16
+        """The ids just coded, as 64-bit numbers."""
+        n, t = len(ids), self.step
+        self.step = t + 1
+        error = hit * 65536
         error -= self.p
-        error >>= _RATE
-        error = error.astype("int32")
-        for k, q in ((self.k2, self.q2), (self.k1, self.q1), (self.k0, self.q0)):
+        error *= self.known
+        error >>= 9 if t < 512 else 10 if t < 4096 else 11
+        for k, q, w in self.orders:
+            change = error * q
+            change >>= 10
+            w[:n] += change
             q += error
             self.logits[k] = q
-        fresh = ids << 2
-        fresh += 1
-        for i, c in ((self.i2, self.c2), (self.i1, self.c1)):
-            again = (c == ids).astype("int32")
-            again <<= 1
-            again += fresh
-            self.after[i] = again
-        place = self.place[:n]
-        np.bitwise_and(self.prev[:n], 2, out=place)
-        place += 1
+        if t & 63 == 63:
+            np.clip(self.logits, -2048, 2048, out=self.logits)
+            np.clip(self.weights, 0, 4 * _ONE, out=self.weights)
+        followed = ids << 16
+        for slots, i, c, sure, check in self.slots:
+            sure *= c == ids
+            held = _SURER.take(sure, mode="clip")
+            check <<= 2
+            held += check
+            held += followed
+            slots[i] = held.astype("uint32")
+        self.before[:n] = self.prev[:n]
         self.prev[:n] = ids
 
 
@@ -179,7 +212,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     steps = len(alive)
     if steps > 32_767:
         raise ValueError("blocks have at most 32,767 ids")
-    ids, counts = np.empty((steps, lanes), "int32"), []
+    ids, counts = np.empty((steps, lanes), "uint16"), []
     for first in range(0, lanes, TILE):
         rows = np.full((min(TILE, lanes - first), steps), 65535, "uint16")
         for k, b in enumerate(blocks[first : first + TILE]):
@@ -223,7 +256,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
                 own = slice(k * TILE, (k + 1) * TILE)
                 below[start:until, own], many[start:until, own], seen, model.top[own] = c.renew(before, start, until)
                 inverse[own] = _inverse(start + seen)
-        now = ids[t, :n]
+        now = ids[t, :n].astype("int64")
         cand, p = model.predict(n)
         hit = now == cand
         hit &= p > 0
@@ -352,11 +385,11 @@ def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
             found = np.where(known, packed.take(row[:n] + np.minimum(at, start - 1), mode="clip"), escape[:n])
             wide = np.where(hit, cost, unit * (found & 0x1FFFFF))
             part -= unit * (found >> 21 & 0x1FFFFF) * miss
-            now = np.where(hit, cand, (found >> 42).astype("int32"))
+            now = np.where(hit, cand, found >> 42)
             new = np.flatnonzero(miss & ~known)
         else:
             wide = np.where(hit, cost, rest)
-            now = cand
+            now = cand.copy()
             new = np.flatnonzero(miss)
         code[:n], width[:n] = part, wide
         settle(np.flatnonzero(wide <= _LOW32))
@@ -367,7 +400,7 @@ def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
             code[new] = part - fresh * unit
             width[new] = unit
             settle(new)
-            now[new] = fresh.astype("int32")
+            now[new] = fresh
         out[t, :n] = now
         model.update(now, hit)
     rows = np.ascontiguousarray(out.T)

@@ -22,7 +22,7 @@ from .token_codec import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
 from .tokenize import unit_encoder
 
 #: Ids of a segment, unless one document has more; blocks that are coded side by side at most.
-SEGMENT_IDS, LANES = 1 << 16, 6144
+SEGMENT_IDS, LANES = 1 << 16, 512
 SEGMENT = "part int, segment int, doc_ids array<bigint>, first bigint, lengths array<bigint>, payload binary"
 
 

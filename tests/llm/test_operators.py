@@ -84,9 +84,10 @@ def test_token_counts(docs, odd):
 
     lib = Tokenizer.from_file(WORDS)
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(both, WORDS, huge=2000).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(both, WORDS, window=500).collect())
     sizes = [(str(r.doc_id), len((r.text or "").encode()), len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in both.collect()]
     assert got == sorted((*s, s[2] > 2048) for s in sizes)
+    assert both.where("length(text) > 500").count() > 0.5 * both.count()  # most go through more than one window
 
 
 def test_splicing():
@@ -115,6 +116,29 @@ def test_codec():
         token_codec.decode_blocks([(n, crc ^ 1, words)])
 
 
+def test_codec_beats_order_0(docs):
+    """Fewer bits an id than one table of all ids, and than counts of the same block renewed at each id (both without a coder)."""
+    from pagerows.llm.tokenize import UnitEncoder
+
+    texts = pa.array([r.text for r in docs.orderBy("doc_id").collect()])
+    ids, counts = UnitEncoder(WORDS).batch(texts)
+    ids = np.insert(ids, np.cumsum(counts), 1).astype("uint16")
+    blocks = [ids[i : i + token_codec.BLOCK_IDS] for i in range(0, len(ids), token_codec.BLOCK_IDS)]
+    coded = token_codec.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, token_codec.decode_blocks([token_codec.split_blocks(c)[0] for c in coded])))
+    bits = 8 * sum(map(len, coded)) / len(ids)
+    share = np.bincount(ids) / len(ids)
+    static, adaptive = -(share[share > 0] * np.log2(share[share > 0])).sum(), 0.0
+    for b in blocks:
+        seen = {}
+        for t, i in enumerate(b.tolist()):
+            n = seen.get(i, 0)
+            adaptive -= np.log2(n / (t + len(seen))) if n else np.log2(max(1, len(seen)) / max(1, t + len(seen)) / 65536)
+            seen[i] = n + 1
+    print(bits, static, adaptive / len(ids))
+    assert bits < static and bits < adaptive / len(ids)
+
+
 def test_token_store(spark, docs, odd):
     from tokenizers import Tokenizer
 
