@@ -26,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` -> ``(node, root)`` for every node that has an edge to another one; ``root`` is the least id
     reachable. Null ends, loops and repeated edges are ignored; no edges give no rows. Each round is checkpointed in
     the shared folder; the links never leave the executors."""
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
-    for _ in range(rounds):
+    while True:  # as many rounds as it takes; each leaves fewer or lower links
         now = cut(_star(_star(now, True), False))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
@@ -44,4 +44,3 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = mark
-    raise RuntimeError(f"no stable components after {rounds} rounds")

@@ -1,6 +1,6 @@
-"""Token counts of whole texts; huge ones by overlap resynchronisation.
+"""Token counts of whole texts by overlap resynchronisation.
 
-A huge text is encoded in overlapping windows with offsets. Two neighbours are spliced at a place in their overlap
+A text of more than one window is encoded in overlapping windows with offsets. Two neighbours are spliced at a place in their overlap
 that both have as a token boundary and that is proven stable: it lies at white space, which this kind of tokenizer
 never joins across, so neither window's cut ends can have changed the tokens on the other side. Where an overlap has
 no such place it is doubled, up to the whole rest of the text.
@@ -19,9 +19,8 @@ from pyspark.sql import types as T
 from .base import map_texts
 from .tokenize import UnitEncoder
 
-#: Texts of more characters than this are encoded in windows.
-HUGE_CHARS = 65_536
-WINDOW_CHARS = 16_384
+#: Characters of a window, the only length that matters: a text of more is spliced.
+WINDOW_CHARS = 8192
 OVERLAP_CHARS = 128
 
 #: Characters at which the tokenizer surely cuts.
@@ -60,7 +59,7 @@ def spliced(text: str, encode: Callable[[str], tuple[list[int], list[tuple[int,
         start = done = cut
 
 
-def count_tokens(documents: DataFrame, path: str, text_col: str = "text", keep: list[str] = ("doc_id",), limit: int = 2048, huge: int = HUGE_CHARS) -> DataFrame:
+def count_tokens(documents: DataFrame, path: str, text_col: str = "text", keep: list[str] = ("doc_id",), limit: int = 2048, window: int = WINDOW_CHARS) -> DataFrame:
     """``keep`` columns, ``n_bytes, n_tokens, over_limit``, a row for each document; no shuffle.
 
     Null and empty texts have no bytes and no tokens. A text without white space is encoded whole, however long.
@@ -75,10 +74,10 @@ def count_tokens(documents: DataFrame, path: str, text_col: str = "text", keep:
 
         def work(texts):
             texts = pc.fill_null(texts, "")
-            big = pc.greater(pc.utf8_length(texts), huge)
+            big = pc.greater(pc.utf8_length(texts), window)
             _, counts = encoder.batch(pc.if_else(big, "", texts), counts_only=True)
             for k in np.flatnonzero(big.to_numpy(zero_copy_only=False)):
-                counts[k] = len(spliced(texts[int(k)].as_py(), encode))
+                counts[k] = len(spliced(texts[int(k)].as_py(), encode, window))
             return pc.binary_length(texts).cast("int64"), counts
 
         return work
