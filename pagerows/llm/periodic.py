@@ -159,6 +159,9 @@ def _tiles(documents: DataFrame, order: Order | None, id_col: str, text_col: str
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             begin, codes, distinct = split_words(texts)
+            if "" in distinct:  # stands where a text is empty, or begins or ends with white space
+                words = codes != distinct.index("")
+                begin, codes = np.concatenate([[0], np.cumsum(words)])[begin], codes[words]
             lengths = np.diff(begin)
             codes = codes.astype("int64")
             for k, (d, n) in enumerate(zip(ids, lengths.tolist())):
