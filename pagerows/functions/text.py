@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it: an expression inside a lambda would be
+    evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def business_text(c: Column) -> Column:
     """No-break spaces become spaces, zero-width characters go, white space shrinks to one space, ends are trimmed."""
     plain = F.regexp_replace(F.regexp_replace(_text(c), r"\x{00A0}", " "), r"[\x{200B}-\x{200D}\x{FEFF}]", "")
@@ -162,9 +170,13 @@ def page_key(url: Column) -> Column:
 
 def coverage(expected: Column, actual: Column) -> Column:
     """Share of the distinct normalised expected headers that are there; 1 if none is expected, 0 if there are none."""
-    want = F.array_distinct(F.filter(F.transform(expected, norm_header), lambda h: h != ""))
-    have = F.array_distinct(F.transform(actual, norm_header))
-    return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(want, have)) / F.size(want))
+    return coverage_of(F.transform(expected, norm_header), F.transform(actual, norm_header))
+
+
+def coverage_of(expected: Column, actual: Column) -> Column:
+    """The same of headers that are normalised."""
+    want = F.array_distinct(F.filter(expected, lambda h: h != ""))
+    return let(want, lambda w: F.when(F.size(w) == 0, 1.0).otherwise(F.size(F.array_intersect(w, actual)) / F.size(w)))
 
 
 def context_identity(row_key: Column, url: Column, table: Column, kind: Column, anchor: Column, text: Column) -> Column:

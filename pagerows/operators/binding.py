@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import matching
-from .derive import distinct_selections, selected_indexes
+from .derive import distinct_selections, places_among
 from .status import LABELS
 
 
 def selected_coverage(selected: Column, headers: Column) -> Column:
     """``(total, matched, ratio, missing)`` of selected columns among headers; ratio 0 where none is selected."""
-    wanted = distinct_selections(selected)
-    places = selected_indexes(wanted, headers)
-    absent = F.filter(F.zip_with(wanted, places, lambda s, i: F.when(i.isNull(), F.concat(s["name"], F.lit("#"), s["occurrence"].cast("string")))), lambda x: x.isNotNull())
-    total, matched = F.size(wanted), F.size(wanted) - F.size(absent)
-    return F.struct(total.alias("total"), matched.alias("matched"), F.when(total > 0, matched / total).otherwise(0.0).alias("ratio"), absent.alias("missing"))
+    return tx.let(distinct_selections(selected), lambda wanted: coverage_among(wanted, F.transform(headers, tx.norm_header)))
+
+
+def coverage_among(wanted: Column, names: Column) -> Column:
+    """The same of distinct selections and normalised headers."""
+
+    def found(places):
+        absent = F.filter(F.zip_with(wanted, places, lambda s, i: F.when(i.isNull(), F.concat(s["name"], F.lit("#"), s["occurrence"].cast("string")))), lambda x: x.isNotNull())
+        return tx.let(absent, summed)
+
+    def summed(absent):
+        total, matched = F.size(wanted), F.size(wanted) - F.size(absent)
+        return F.struct(total.alias("total"), matched.alias("matched"), F.when(total > 0, matched / total).otherwise(0.0).alias("ratio"), absent.alias("missing"))
+
+    return tx.let(places_among(wanted, names), found)
 
 
 def score_candidates(bindings: DataFrame, candidates: DataFrame, binding: str = "binding", page: str = "page_key") -> DataFrame:
@@ -26,16 +36,18 @@ def score_candidates(bindings: DataFrame, candidates: DataFrame, binding: str =
     selector, visible; candidates count from 0 in the page's order) and how well they fit."""
     c = F.col
     named = lambda x: F.lower(tx.one_line(x))
+    # headers and selections are normalised once for each side, before the join
+    norm = lambda x: F.transform(x, tx.norm_header)
     shown = candidates.select(
-        page, "candidate", c("headers").alias("__h"), c("component_type").alias("__type"), tx.one_line(c("container_signature")).alias("__sig"), named(c("title")).alias("__title"), c("selector").alias("__sel"),
+        page, "candidate", norm(c("headers")).alias("__h"), c("component_type").alias("__type"), tx.one_line(c("container_signature")).alias("__sig"), named(c("title")).alias("__title"), c("selector").alias("__sel"),
         F.coalesce("visible", F.lit(True)).alias("__visible"),
     )
-    both = bindings.join(shown, page)
-    norm = lambda x: F.transform(x, tx.norm_header)
+    ready = bindings.withColumn("__stored", norm(c("headers"))).withColumn("__wanted", distinct_selections(c("selected")))
+    both = ready.join(shown, page)
     stored = F.coalesce(F.size("headers"), F.lit(0)) > 0
     signature, title = tx.one_line(c("container_signature")), named(c("title"))
-    both = both.withColumn("__selects", F.size(distinct_selections(c("selected"))) > 0).withColumn("__cover", F.when(stored, tx.coverage(c("headers"), c("__h"))).otherwise(0.0)).withColumn("__picked", selected_coverage(c("selected"), c("__h"))["ratio"])
-    exact = stored & (norm(c("headers")) == norm(c("__h")))
+    both = both.withColumn("__selects", F.size("__wanted") > 0).withColumn("__cover", F.when(stored, tx.coverage_of(c("__stored"), c("__h"))).otherwise(0.0)).withColumn("__picked", coverage_among(c("__wanted"), c("__h"))["ratio"])
+    exact = stored & (c("__stored") == c("__h"))
     selector = F.coalesce((c("selector") == c("__sel")) & (c("selector") != ""), F.lit(False))
     indexed = F.coalesce(c("table_index") == c("candidate"), F.lit(False))
     same_type = (F.coalesce("component_type", F.lit("")) == "") | (c("component_type") == c("__type"))

@@ -41,17 +41,20 @@ def distinct_selections(columns: Column) -> Column:
             tx.one_line(s["header"]).alias("header"), tx.norm_header(s["header"]).alias("name"), F.when(s["occurrence"] > 0, s["occurrence"].cast("int")).otherwise(1).alias("occurrence")
         ),
     )
-    filled = F.filter(named, lambda s: s["name"] != "")
     key = lambda s: F.struct(s["name"], s["occurrence"])
-    keys = F.transform(filled, key)
-    first = F.filter(filled, lambda s, i: F.array_position(keys, key(s)) == i + 1)
-    return F.slice(first, 1, MOST_COLUMNS)
+    first = lambda filled: tx.let(F.transform(filled, key), lambda keys: F.filter(filled, lambda s, i: F.array_position(keys, key(s)) == i + 1))
+    return F.slice(tx.let(F.filter(named, lambda s: s["name"] != ""), first), 1, MOST_COLUMNS)
 
 
 def selected_indexes(selected: Column, headers: Column) -> Column:
     """Where each selection (name, occurrence) stands among the headers; null where it is missing."""
-    places = F.transform(headers, lambda h, i: F.struct(tx.norm_header(h).alias("name"), i.alias("i")))
-    return F.transform(selected, lambda s: F.get(F.filter(places, lambda p: p["name"] == s["name"]), s["occurrence"] - 1)["i"])
+    return places_among(selected, F.transform(headers, tx.norm_header))
+
+
+def places_among(selected: Column, names: Column) -> Column:
+    """The same among headers that are normalised."""
+    places = F.transform(names, lambda h, i: F.struct(h.alias("name"), i.alias("i")))
+    return tx.let(places, lambda all_: F.transform(selected, lambda s: F.get(F.filter(all_, lambda p: p["name"] == s["name"]), s["occurrence"] - 1)["i"]))
 
 
 def effective_method(method: Column, version: Column) -> Column:
@@ -147,9 +150,9 @@ def score_rows(pending: DataFrame, scorer: Scorer, attempt: int, shards: int = 6
     answers = cut(scorer(asked.withColumn("prompt", derived_prompt(F.col("rows"), F.col("method"), F.col("max_chars")))).select("batch", "answer"))
     checked = validate_results(placed.select("batch", "fingerprint"), answers, "batch", "answer", max_chars=1000)
     known = placed.select("batch", "fingerprint", "analysis", "max_chars").join(checked.where("status not in ('unknown', 'duplicate')"), ["batch", "fingerprint"])
-    cut = F.col("max_chars")
+    most = F.col("max_chars")
     return known.select(
-        "analysis", "fingerprint", "status", F.left("conclusion", cut).alias("conclusion"), (F.col("truncated") | (F.length("conclusion") > cut)).alias("truncated"), "needs_attention"
+        "analysis", "fingerprint", "status", F.left("conclusion", most).alias("conclusion"), (F.col("truncated") | (F.length("conclusion") > most)).alias("truncated"), "needs_attention"
     )
 
 

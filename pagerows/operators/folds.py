@@ -58,6 +58,24 @@ def select_within_budget(items: DataFrame, key: str, order: list, header: Column
     return done.where("__taken").drop("__taken", "__cost", "__head")
 
 
+def select_while_budget(items: DataFrame, key: str, budget: str, kind: str = "kind", seq: str = "seq", ref: str = "ref", text: str = "text") -> DataFrame:
+    """As ``select_within_budget``, where each key has a budget of its own (a column): headers first, then the newest
+    (least ``seq``); what no longer fits is skipped, of one ``ref`` the first that fits is taken."""
+    cost = estimate_tokens(F.coalesce(text, F.lit(""))) + 24
+    able = items.withColumn("__cost", cost).where(F.col("__cost") <= F.col(budget)).withColumn("__row", F.col(kind) != "table-header")
+
+    def step(state, price, name, most):
+        left, taken = state if state else (most, set())
+        if price > left or name in taken:
+            return (left, taken), False
+        taken.add(name)
+        return (left - price, taken), True
+
+    inputs = {"price": F.col("__cost"), "name": F.col(ref), "budget": F.col(budget).cast("long")}
+    done = ordered_fold(able, key, ["__row", seq], inputs, "__taken", "bool", lambda: None, step)
+    return done.where("__taken").drop("__taken", "__cost", "__row")
+
+
 def rate_guard(requests: DataFrame, key: str, ts_ms: Column, order: list, window_ms: int = 60_000, most: int = 5) -> DataFrame:
     """``outcome`` of each request: ``allowed``, ``limit`` (as many allowed ones lie in the window, both ends counted) or
     ``cooldown`` (the oldest of them hasn't left since the limit was met). Only allowed requests count."""

@@ -176,7 +176,7 @@ def budgeted_messages(messages: DataFrame, contexts: DataFrame, key: str, window
     """``(key, history, available, n_images, n_contexts)``: what a request of each conversation may hold. The history is its
     recent rounds; images cost a flat price; contexts (key, seq, kind, ref, text) are taken while they fit, headers first.
     A conversation's contexts stream through one task, as each decision hangs on those before."""
-    from .folds import ordered_fold
+    from .folds import select_while_budget
 
     recent = recent_rounds(messages, key, "turn")
     history = recent.groupBy(key).agg((F.sum(tx.estimate_tokens(F.coalesce("text", F.lit(""))) + 4) + 2).alias("history"))
@@ -184,24 +184,50 @@ def budgeted_messages(messages: DataFrame, contexts: DataFrame, key: str, window
     base = messages.select(key).distinct().join(history, key, "left").join(images, key, "left").select(key, F.coalesce("history", F.lit(2)).alias("history"), F.coalesce("n_images", F.lit(0)).alias("n_images"))
     free = F.greatest(F.lit(0), tx.context_budget(F.lit(max(8192, window)), F.lit(max(256, max_output)), F.col("history")) - image_tokens * F.col("n_images"))
     base = base.withColumn("available", free)
-    # an item beyond the whole budget can never be taken, and one name is taken once
-    cost = tx.estimate_tokens(F.coalesce("text", F.lit(""))) + 24
-    items = contexts.where("kind <> 'screenshot'").join(base.select(key, "available"), key).withColumn("__cost", cost).where("__cost <= available")
-    items = items.withColumn("__row", F.col("kind") != "table-header")
-
-    def step(state, price, name, budget):
-        left, taken = state if state else (budget, set())
-        if price > left or name in taken:
-            return (left, taken), False
-        taken.add(name)
-        return (left - price, taken), True
-
-    inputs = {"price": F.col("__cost"), "name": F.col("ref"), "budget": F.col("available").cast("long")}
-    taken = ordered_fold(items, key, ["__row", "seq"], inputs, "__taken", "bool", lambda: None, step)
-    counted = taken.where("__taken").groupBy(key).agg(F.count("*").alias("n_contexts"))
+    items = contexts.where("kind <> 'screenshot'").join(base.select(key, "available"), key)
+    taken = select_while_budget(items, key, "available")
+    counted = taken.groupBy(key).agg(F.count("*").alias("n_contexts"))
     return base.join(counted, key, "left").select(key, "history", "available", "n_images", F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"))
 
 
+_PART = "struct<type:string,text:string,image:string>"
+
+
+def request_messages(messages: DataFrame, contexts: DataFrame, key: str, window: int = 64_000, max_output: int = 4096, image_tokens: int = 1200) -> DataFrame:
+    """``(key, messages)``: the request itself, an array of (role, parts), parts being (type ``text``, text) or (``image_url``, image).
+
+    First the block of the contexts that fit (a system message, in short form from the second message on), then the recent
+    rounds in order; the newest user's message is marked as the input and brings the five newest screenshots. Messages
+    are (key, turn, role, text), contexts as in ``context_block`` with (key, image); blank rounds give no message, and a
+    conversation with neither an empty array. What fits is decided as in ``budgeted_messages``, the history counted as it is sent."""
+    from .folds import select_while_budget
+
+    c = F.col
+    sizes = messages.groupBy(key).agg(F.count("*").alias("__n"), F.max(F.when(c("role") == "user", c("turn"))).alias("__latest"))
+    recent = recent_rounds(messages.join(sizes, key), key, "turn")
+    newest = F.coalesce((c("role") == "user") & (c("turn") == c("__latest")), F.lit(False))
+    sent = recent.withColumn("__said", F.concat(F.when(newest, F.lit("USER_INPUT:\n")).otherwise(""), F.coalesce("text", F.lit("")))).withColumn("__newest", newest)
+    history = sent.groupBy(key).agg((F.sum(tx.estimate_tokens(c("__said")) + 4) + 2).alias("__history"))
+    shots = recent_images(contexts, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "image"))), lambda s: s["image"]).alias("__images"))
+    base = sizes.join(history, key, "left").join(shots, key, "left")
+    n_images = F.coalesce(F.size("__images"), F.lit(0))
+    n_images = F.when(n_images > 0, n_images).otherwise(0)
+    free = tx.context_budget(F.lit(max(8192, window)), F.lit(max(256, max_output)), F.coalesce("__history", F.lit(2))) - image_tokens * n_images
+    base = base.withColumn("__free", F.greatest(F.lit(0), free).cast("long"))
+    items = contexts.where("kind <> 'screenshot'").join(base.select(key, "__free", "__n"), key)
+    taken = select_while_budget(items, key, "__free").withColumnRenamed(key, "session")
+    blocks = context_block(taken.where("__n <= 1")).unionByName(context_block(taken.where("__n > 1"), compact=True)).withColumnRenamed("session", key)
+    none = lambda kind: F.lit(None).cast(kind)
+    words = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), none("string").alias("image"))
+    pictures = F.transform(F.coalesce("__images", F.array().cast("array<string>")), lambda i: F.struct(F.lit("image_url").alias("type"), none("string").alias("text"), i.alias("image")))
+    said = sent.join(base.select(key, "__images"), key).select(key, c("turn").cast("long").alias("at"), "role", F.when(c("__newest"), F.concat(F.array(words(c("__said"))), pictures)).otherwise(F.array(words(c("__said")))).alias("parts"))
+    system = blocks.select(key, F.lit(None).cast("long").alias("at"), F.lit("system").alias("role"), F.array(words(c("block"))).alias("parts"))
+    # a system message has no place in the history and comes before it
+    listed = said.unionByName(system).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "role", "parts"))).alias("__l"))
+    empty = F.array().cast(f"array<struct<role:string,parts:array<{_PART}>>>")
+    return sizes.select(key).join(listed, key, "left").select(key, F.coalesce(F.transform("__l", lambda m: F.struct(m["role"], m["parts"])), empty).alias("messages"))
+
+
 def analysis_report(runs: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """``(key, report)``: a run (key, name, run_at, method, response) with how many of its sources hold data, and rows."""
     rows = F.coalesce("total_row_count", "row_count", F.lit(0))

@@ -15,7 +15,7 @@ from ..sources import page_tree, workbooks
 from ..streaming import answers, cache
 from ..shared import cut, new_folder
 from .page_queries import _pages
-from .registry import register, table
+from .registry import register, spread_table, table
 
 
 def _book(sheets: dict[str, list[list[str]]]) -> bytes:
@@ -244,7 +244,7 @@ def html_markdown(spark, sf_dir):
     html = F.format_string(
         "<h2>%s</h2><div>a <b>%s</b> <a href=http://h/%d>x</a> <a href='javascript:1'>js</a><script>no</script></div><ul><li>1<li><i>2</i></ul><p></p><table><tr><th>k<th>v<tr><td>%d|</table>`<b>`", "o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey"
     )
-    return page_tree.html_markdown(table(spark, sf_dir, "orders").select("o_orderkey", html.alias("html")))
+    return page_tree.html_markdown(spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").select("o_orderkey", html.alias("html")))
 
 
 @register("ex16_page_outlines", """select o_orderkey, 'PAGE_SNAPSHOT v1' || chr(10) || 'Title: T ' || o_custkey || chr(10) || 'URL: u' || chr(10) || chr(10) || 'HEADINGS:' || chr(10) || '- ' || o_orderpriority || chr(10) || chr(10) || 'ACTIONS_AND_FIELDS:' || chr(10) || '- a: go' || chr(10) || '- input[type=text] disabled: find ' || o_orderstatus || chr(10) || '- div[role=button]: (no text)' ||
@@ -253,7 +253,7 @@ def page_outlines(spark, sf_dir):
     html = F.format_string(
         "<title>T  %d</title><body><h2> %s</h2><h2></h2><a>go</a><a>go</a><input type=text placeholder='find %s' disabled><div role=button></div><table><thead><tr><th>k<th>v<tbody><tr><td>%d<td><tr><td>2<td>x</table><table></table><main>long text %d</main><script>x</script>", "o_custkey", "o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey"
     )
-    pages = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("u").alias("url"), html.alias("html"))
+    pages = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").select("o_orderkey", F.lit("u").alias("url"), html.alias("html"))
     return page_tree.page_outlines(pages).select("o_orderkey", "outline")
 
 
@@ -269,4 +269,4 @@ def upsert_cache(spark, sf_dir):
 @register("ex17_pages_markdown", None)
 def pages_markdown(spark, sf_dir):
     """The given pages; held against a plain reading in the tests."""
-    return page_tree.html_markdown(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return page_tree.html_markdown(spread_table(spark, sf_dir, "pages", "page_id", "html"))

@@ -23,7 +23,10 @@ def _pages(spark, sf_dir) -> DataFrame:
         .otherwise(row("<div class='_jt_row _jt_rh' index=1><div class=_jt_cell_index>9</div><div>%d</div><div style='display: none'>h</div><div>%s</div><div>%s</div></div>"))
     )
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda s: s["l"]), "")
-    made = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(rows.alias("r"), F.count("*").alias("n"))
+    # pages are parsed where they are made: as many tasks as there are cores, though Spark would join small partitions
+    cores = spark.sparkContext.defaultParallelism
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    made = orders.repartition(max(cores, orders.rdd.getNumPartitions()), "o_custkey").groupBy("o_custkey").agg(rows.alias("r"), F.count("*").alias("n"))
     key, r, kind = c("o_custkey"), c("r"), c("o_custkey") % 4
     heads = {
         0: ("<div id=a{k}><h3> Orders&#32; </h3><div class=ant-table-wrapper><table><thead class=ant-table-thead><tr><th> <th>Key<th>State</thead><tbody>", "</tbody><tfoot><tr><td>sum</td></tr></tfoot></table></div></div>"),

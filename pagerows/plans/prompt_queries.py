@@ -166,6 +166,35 @@ def budgeted_messages(spark, sf_dir):
     return found.select("conv_id", "history", c("available").cast("long").alias("available"), "n_images", "n_contexts")
 
 
+_SAID = "case when role = 'user' and turn = (select max(turn) from conversations u where u.conv_id = {0}.conv_id and u.role = 'user') then 'USER_INPUT:' || chr(10) else '' end || text"
+_SNIPPET_SQL = "'" + prompts._SNIPPETS.replace("\n", "' || chr(10) || '") + "'"
+
+
+@register("tx6_request_messages", f"""with recursive m as (select conv_id, turn, role, text, case when role = 'user' or role = 'assistant' and coalesce(lag(role) over (partition by conv_id order by turn), '') <> 'user' then 1 else 0 end as b from conversations where trim(text) <> ''),
+    a as (select *, sum(b) over (partition by conv_id order by turn) as n from (select * from m where role in ('user', 'assistant'))),
+    sent as (select conv_id, turn, role, {_SAID.format("r")} as said from (select * from a qualify n > max(n) over (partition by conv_id) - 3) r),
+    hist as (select conv_id, cast(sum({TOKENS.format("said")} + 4) + 2 as bigint) as history from sent group by conv_id),
+    base as (select conv_id, n, greatest(0, greatest(0, 8192 - 7000 - coalesce(history, 2) - 512) - 150 * (conv_id % 3)) as available from (select conv_id, count(*) as n from conversations group by conv_id) left join hist using (conv_id)),
+    i as (select c.conv_id, turn, text, n, cost, available, row_number() over (partition by c.conv_id order by turn desc) as k from (select *, {TOKENS.format("coalesce(text, '')")} + 24 as cost from conversations) c join base using (conv_id) where cost <= available),
+    f as (select conv_id, k, turn, text, n, available - cost as free, true as took from i where k = 1 union all select i.conv_id, i.k, i.turn, i.text, i.n, f.free - case when i.cost <= f.free then i.cost else 0 end, i.cost <= f.free from f join i on i.conv_id = f.conv_id and i.k = f.k + 1),
+    blocks as (select conv_id, -1 as turn, 'system' as role, {_SNIPPET_SQL} || string_agg(case when n <= 1 then '[[r' || turn || ']] SELECTION | (no title) | ' || chr(10) else '' end || coalesce(text, ''), {_BREAK} order by turn desc) as said from f where took group by conv_id),
+    z as (select * from blocks union all select conv_id, turn, role, said || case when starts_with(said, 'USER_INPUT:') then repeat('', 0) || case conv_id % 3 when 1 then '+img1' when 2 then '+img1+img2' else '' end else '' end from sent),
+    t as (select conv_id, count(*) as n, md5(string_agg(role || '=' || said, chr(29) order by turn)) as digest from z group by conv_id)
+    select conv_id, coalesce(n, 0) as n_messages, coalesce(digest, md5('')) as digest from (select distinct conv_id from conversations) left join t using (conv_id)""")
+def request_messages(spark, sf_dir):
+    """What is sent for each conversation, as a digest."""
+    said = table(spark, sf_dir, "conversations")
+    c = F.col
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = {"group_id": none("string"), "table_number": none("int"), "title": none("string"), "url": none("string"), "first_line": none("int"), "last_line": none("int")}
+    items = said.select("conv_id", (-c("turn")).alias("seq"), F.lit("selection").alias("kind"), F.concat(F.lit("r"), c("turn").cast("string")).alias("ref"), "text", none("string").alias("image"))
+    shots = said.select("conv_id").distinct().where("conv_id % 3 > 0").select("conv_id", F.explode(F.sequence(F.lit(1), (c("conv_id") % 3).cast("int"))).alias("s"))
+    images = shots.select("conv_id", c("s").cast("bigint").alias("seq"), F.lit("screenshot").alias("kind"), F.lit("i").alias("ref"), F.lit("").alias("text"), F.concat(F.lit("img"), c("s").cast("string")).alias("image"))
+    found = prompts.request_messages(said, items.unionByName(images).withColumns(rest), "conv_id", window=8192, max_output=7000, image_tokens=150)
+    flat = lambda m: F.concat(m["role"], F.lit("="), F.array_join(F.transform(m["parts"], lambda p: F.coalesce(p["text"], p["image"])), "+"))
+    return found.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), F.md5(F.array_join(F.transform("messages", flat), "\x1d")).alias("digest"))
+
+
 @register("snk4_analysis_report", f"""with s as (select o_custkey, count(*) filter (o_orderkey % 3 > 0) as n, sum(case when o_orderkey % 2 = 0 then o_orderkey % 50 when o_orderkey % 3 > 0 then o_orderkey % 20 else 0 end) as r from orders group by o_custkey)
     select c_custkey, '# ' || c_name || {_NL} || '- 执行时间：2024-01-01' || {_NL} || '- 已载入数据源：' || coalesce(n, 0) || ' 个，共 ' || coalesce(r, 0) || ' 行' || {_NL} || {_NL} || '## 分析方法' || {_NL} || {_NL} || 'sum' || {_NL} || {_NL} || 'up' || {_NL} || {_NL} || '## 实际分析结果' || {_NL} || {_NL} || c_mktsegment as report
     from customer left join s on o_custkey = c_custkey""")

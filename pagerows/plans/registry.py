@@ -31,3 +31,11 @@ def oracle_sql() -> dict[str, str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Narrow columns of a table for work that is bound by CPU: a table of fewer partitions than the session has cores (one
+    row group, say) is dealt over all of them; a larger one stays as it is read."""
+    found = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
