@@ -30,8 +30,8 @@ GROUP, TILE = 512, 16
 MAGIC = b"TIDC"
 _HEAD = struct.Struct("<4sIII")
 #: Contexts of a block: slots of order 1 and 2, as powers of two. A slot holds what followed (16 bits), what tells the
-#: context from others with its slot (14 bits; of order 1 three of them, as all of its 16 bits count), and how sure it is.
-_SLOTS1, _SLOTS2, _CHECK = 13, 14, (1 << 14) - 1
+#: context from others with its slot (14 bits; of order 1 four of them, as all of its 16 bits count), and how sure it is.
+_SLOTS1, _SLOTS2, _CHECK = 12, 13, (1 << 14) - 1
 _LAST1, _LAST2 = (1 << _SLOTS1) - 1, (1 << _SLOTS2) - 1
 _SURER = np.array([1, 2, 3, 3])
 #: Odd factors, so that equal products mean equal ids.
@@ -364,6 +364,7 @@ def _decode(blocks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
         n = int(alive[t])
         if t == until:
             start, until = until, next(renewals)
+            packed = None  # before its larger heir is made
             packed, escape = np.empty(n * start, "int64"), np.zeros(n, "int64")
             for first in range(0, n, TILE):
                 some = slice(first, min(first + TILE, n))
