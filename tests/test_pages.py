@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pagerows.operators import binding, contexts, derive, matching, rows, store
 from pagerows.plans.file_queries import _book
-from pagerows.sources import html_tables, page_tree, workbooks
+from pagerows.sources import html_tables, page_tree, workbook_source, workbooks
 from pagerows.streaming import answers
 from pyspark.sql import functions as F
 
@@ -207,3 +207,25 @@ def test_pages_of_any_marks_are_read():
         page_tree.to_markdown(html)
         tables(html)
         html_tables._Tables().feed(html)
+
+
+def test_a_folder_of_workbooks_as_a_source(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    whole = _book({"s": [["a", "b"], ["1", "x" * 40]], "t": [["c"]]})
+    for k in range(12):
+        (tmp_path / f"{k}.xlsx").write_bytes(whole)
+        (tmp_path / "in" / f"bad{k}.XLSX").write_bytes(whole[: 40 * k] + b"?" * 9 + whole[40 * k + 9 :])
+    (tmp_path / "note.txt").write_text("no workbook")
+    (tmp_path / "large.xlsx").write_bytes(b"0" * (workbooks.MAX_FILE + 1))
+    workbook_source.register(spark)
+    read = spark.read.format("workbooks").option("partitionBytes", 1 << 20).load(str(tmp_path))
+    assert read.rdd.getNumPartitions() > 3
+    name = F.regexp_replace("path", "^(file:)?/+", "")
+    want = workbooks.read_workbooks(spark, [f"{tmp_path}/*.xlsx", f"{tmp_path}/in/*"])
+    text = lambda df: sorted(map(str, df.withColumn("path", name).select(*read.columns).collect()))
+    assert text(read) == text(want)
+    assert read.where("error is not null").count() >= 10 and read.where("path like '%/3.xlsx' and error is null").count() == 3
+    with pytest.raises(Exception, match="which folder"):
+        spark.read.format("workbooks").load().count()
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("workbooks").load(str(tmp_path / "none")).count() == 0
