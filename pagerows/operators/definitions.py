@@ -45,6 +45,25 @@ def normalize_definition(kind: Column, output: Column, max_rows: Column, max_bat
     )
 
 
+#: Fixed value: when a derived column runs.
+TRIGGER = "page-load"
+
+
+def normalize_trigger(mode: Column, auto_run: Column) -> Column:
+    """``(mode, auto_run_enabled)``: there is one mode, and only a true says that it runs by itself."""
+    return F.struct(F.when(mode == TRIGGER, mode).otherwise(TRIGGER).alias("mode"), F.coalesce(auto_run, F.lit(False)).alias("auto_run_enabled"))
+
+
+def normalize_method(stored: Column) -> Column:
+    """The description of a method that is stored as a text, or as JSON of one or of an object: without white space around; an
+    object's line ends are one kind, and one without description is blank."""
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|(?<!\s)\s+$", "")
+    body = clean(stored)
+    inner = F.regexp_replace(F.get_json_object(body, "$.description"), "\r\n?", "\n")
+    text = F.get(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>"), 0)
+    return clean(F.when(body.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(body).isNotNull(), inner).when(body.rlike('(?s)^".*"$') & F.try_parse_json(body).isNotNull(), text).otherwise(stored))
+
+
 def merge_legacy_method(description: Column, sections: dict[str, Column]) -> Column:
     """The description; where it is blank, the filled legacy sections as ``title：text``, one a line."""
     lines = [F.when(_filled(sections[k]).isNotNull(), F.concat(F.lit(f"{title}："), F.trim(sections[k]))) for k, title in SECTIONS if k in sections]
@@ -72,6 +91,24 @@ def normalize_sources(sources: DataFrame, skill: str = "skill", order: str = "se
     return named.withColumn("__page", page).withColumn("page_url", url).withColumn("page_key", F.col("__page")).drop("__k", "__page")
 
 
+def stored_sources(skills: DataFrame, sources: DataFrame, skill: str = "skill", order: str = "seq") -> DataFrame:
+    """Sources as ``normalize_sources`` takes them, with ``id``, of stored analyses ``skills`` (skill, page_key, page_url): a source
+    without an id is named after its analysis and place, and one of that name is a legacy one, which has the analysis'
+    own page where that is known. Adds ``main_page``: the analysis' page, or its first source's if none of them lies there."""
+    c = F.col
+    place = F.row_number().over(Window.partitionBy(skill).orderBy(order))
+    made = F.concat(F.lit("source_"), c(skill).cast("string"), F.lit("_"), place.cast("string"))
+    named = sources.withColumn("__made", made).withColumn("id", F.coalesce(_filled(c("id")), "__made"))
+    read = normalize_sources(named, skill, order).withColumn("legacy", F.coalesce(c("id") == c("__made"), F.lit(False)))
+    own = skills.select(skill, c("page_key").alias("__page"), c("page_url").alias("__url"))
+    placed = read.join(own, skill)
+    for name, stored in (("page_key", "__page"), ("page_url", "__url")):
+        placed = placed.withColumn(name, F.when(c("legacy"), F.coalesce(_filled(c(stored)), c(name))).otherwise(c(name)))
+    pages = placed.groupBy(skill).agg(F.min_by("page_key", order).alias("__first"), F.bool_or(F.coalesce(c("page_key") == c("__page"), F.lit(False))).alias("__held"))
+    moved = (F.coalesce("__first", F.lit("")) != "") & ~(c("__held") & (F.coalesce("__page", F.lit("")) != ""))
+    return placed.join(pages, skill).withColumn("main_page", F.when(moved, c("__first")).otherwise(c("__page"))).drop("__made", "__page", "__url", "__first", "__held")
+
+
 def definition_errors(kind: Column, name: Column, n_sources: Column, n_bad_sources: Column, n_columns: Column) -> Column:
     """Why a definition can't be used, in order; empty for a good one. A source is bad without a page, headers, or a
     selector or index."""

@@ -154,6 +154,36 @@ def parse_suggestions(answer: Column) -> Column:
     return F.when(F.size(good) > 0, good)
 
 
+# fixed texts of a beginning without the model
+_FALLBACK = {"welcome": "数据已经准备好了", "hint": "点击一个方向开始，或直接输入你想了解的问题。"}
+_FALLBACK_SUMMARY = ("已选择 ", " 张表、", " 行数据。可以先快速了解整体情况，也可以直接提出具体问题。")
+_FALLBACK_SUGGESTIONS = (
+    ("快速看概览", "请概括这些数据的主要内容和关键发现。", "快速理解数据全貌"),
+    ("查找异常", "请找出这些数据中值得关注的异常、缺失或不一致之处。", "发现潜在问题"),
+    ("生成摘要", "请把这些数据整理成一份简洁的业务摘要。", "便于汇报和分享"),
+)
+_WELCOME, _HINT = "数据已经准备好了", "也可以直接输入你想了解的问题。"
+
+
+def onboarding(answer: Column, tables: Column, rows: Column) -> Column:
+    """``(welcome, summary, suggestions, freeInputHint, fallback)`` of a model's answer; one without a good suggestion gives
+    way to what needs no model: the numbers of tables and rows, and three suggestions that fit any data."""
+    found = F.from_json(F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)(\{.*\})", 1), ONBOARDING)
+    short = lambda c, n, other: _or(tx.one_line(c, n), other)
+    listed = F.array(*(F.struct(*(F.lit(t).alias(k) for t, k in zip(s, PARTS))) for s in _FALLBACK_SUGGESTIONS))
+    summary = F.concat(F.lit(_FALLBACK_SUMMARY[0]), tables.cast("string"), F.lit(_FALLBACK_SUMMARY[1]), rows.cast("string"), F.lit(_FALLBACK_SUMMARY[2]))
+    own = F.struct(F.lit(_FALLBACK["welcome"]).alias("welcome"), summary.alias("summary"), listed.alias("suggestions"), F.lit(_FALLBACK["hint"]).alias("freeInputHint"), F.lit(True).alias("fallback"))
+
+    def given(suggestions):
+        read = F.struct(
+            short(found["welcome"], 80, _WELCOME).alias("welcome"), tx.one_line(found["summary"], 300).alias("summary"), suggestions.alias("suggestions"),
+            short(found["freeInputHint"], 100, _HINT).alias("freeInputHint"), F.lit(False).alias("fallback"),
+        )
+        return F.when(suggestions.isNotNull(), read).otherwise(own)
+
+    return tx.let(parse_suggestions(answer), given)
+
+
 def header_guide(tables: DataFrame) -> DataFrame:
     """``(session, guide)``: the columns of each table with headers, numbered, with the first sample. Tables as from
     ``table_samples``; the number shown counts those with headers, newest first."""

@@ -23,7 +23,14 @@ def message_stats(messages: DataFrame, key: str, role: str = "role", text: str =
     return messages.groupBy(key).agg(F.count("*").alias("messages"), F.sum(F.length(F.coalesce(text, F.lit("")))).alias("chars"), *counts, *more)
 
 
-def history_tokens(messages: DataFrame, key: str, text: str = "text") -> DataFrame:
+def history_tokens(messages: DataFrame, key: str, text: str = "text", parts: str | None = None) -> DataFrame:
+    """Tokens of each conversation. A message of several ``parts`` (type, text), where it has them, costs what those of type
+    ``text`` do, each rounded up by itself."""
+    if parts is not None:
+        told = F.filter(parts, lambda p: F.coalesce(p["type"] == "text", F.lit(False)))
+        several = F.aggregate(F.transform(told, lambda p: estimate_tokens(F.coalesce(p["text"], F.lit("")))), F.lit(0).cast("long"), lambda a, x: a + x)
+        cost = F.when(F.col(parts).isNotNull(), several).otherwise(estimate_tokens(F.coalesce(text, F.lit(""))))
+        return messages.groupBy(key).agg((F.sum(cost + 4) + 2).alias("tokens"))
     return messages.groupBy(key).agg((F.sum(estimate_tokens(F.coalesce(text, F.lit(""))) + 4) + 2).alias("tokens"))
 
 
@@ -104,6 +111,19 @@ def merge_queue(queued: DataFrame, current: DataFrame, done: DataFrame, key: str
     return once.orderBy("__from", order, key).limit(n).drop("__from")
 
 
+def merge_instances(queued: DataFrame, current: DataFrame, done: DataFrame, key: str, order: str, instances: str, n: int = 1000, queued_first: bool = False) -> DataFrame:
+    """Current rows before queued ones, or the other way round: each key once with all columns of its first row, without those
+    done or blank, the first ``n``; the ``instances`` (an array) of a key's rows follow each other in the same order."""
+    places = (0, 1) if queued_first else (1, 0)
+    both = queued.withColumn("__from", F.lit(places[0])).unionByName(current.withColumn("__from", F.lit(places[1])))
+    live = both.where(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "").join(done.select(key).distinct(), key, "left_anti")
+    at = F.struct("__from", order)
+    names = [c for c in both.columns if c not in (key, instances, "__from")]
+    shown = F.coalesce(F.col(instances), F.array().cast(both.schema[instances].dataType))
+    once = live.groupBy(key).agg(F.min_by(F.struct(*names), at).alias("__r"), F.min(at).alias("__at"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__from", order, shown.alias("__i")))), lambda x: x["__i"])).alias(instances))
+    return once.orderBy("__at", key).limit(n).select(key, "__r.*", instances)
+
+
 def content_changed(polls: DataFrame, key: str, ts: list, value: str) -> DataFrame:
     """Polls whose value differs from the one before, both being there."""
     w = Window.partitionBy(key).orderBy(*ts)

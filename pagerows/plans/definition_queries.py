@@ -59,6 +59,35 @@ def normalize_sources(spark, sf_dir):
     return d.normalize_sources(_sources(spark, sf_dir)).select("skill", "seq", "page_url", "page_key", "name")
 
 
+@register("f13_stored_sources", """with s as (select o_custkey as skill, o_orderkey as seq, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as n, 'https://Shop.example:443/p' || (o_custkey % 50) as page, * from orders),
+    r as (select *, k % 2 = 0 and k % 11 <> 0 and k % 3 > 0 as repair, case when k % 3 > 0 then page || '/f?x=1#y' end as frame, case when k % 7 = 0 then page || '?z' end as url from s),
+    u as (select *, case when repair then frame else coalesce(url, frame, '') end as page_url from r),
+    v as (select *, case when repair then 'https://shop.example/p' || (o_custkey % 50) || '/f' when k % 5 <> 0 then 'https://old.example/q' when page_url = '' then ''
+      else 'https://shop.example/p' || (o_custkey % 50) || case when page_url like '%/f?%' then '/f' else '' end end as page_key from u),
+    w as (select *, k % 4 > 0 as made, case when skill % 3 = 0 then 'https://old.example/q' when skill % 3 = 1 then 'https://own.example/' end as own from v),
+    x as (select skill, seq, n, case when made then 'source_' || skill || '_' || n else 'id' || k end as id, own, case when made and own is not null then own else page_key end as page_key from w)
+    select skill, seq, id, page_key, case when coalesce(min_by(page_key, seq) over y, '') <> '' and not coalesce(bool_or(page_key = own) over y, false) then min_by(page_key, seq) over y else own end as main_page from x window y as (partition by skill)""")
+def stored_sources(spark, sf_dir):
+    """Some sources have ids of their own, the others those that a migration made."""
+    c = F.col
+    sources = _sources(spark, sf_dir).withColumn("id", F.when(c("seq") % 4 == 0, F.concat(F.lit("id"), c("seq").cast("string"))))
+    own = F.when(c("skill") % 3 == 0, "https://old.example/q").when(c("skill") % 3 == 1, "https://own.example/")
+    skills = sources.select("skill").distinct().select("skill", own.alias("page_key"), F.lit("").alias("page_url"))
+    return d.stored_sources(skills, sources).select("skill", "seq", "id", "page_key", "main_page")
+
+
+@register("f12_method_and_trigger", """select o_orderkey, case o_orderkey % 6 when 0 then o_orderpriority when 1 then 'a' || chr(10) || o_orderpriority when 2 then '' when 3 then '{x' when 4 then 'q "1"' else '' end as method, 'page-load' as mode, o_orderkey % 5 = 0 as auto_run_enabled from orders""")
+def method_and_trigger(spark, sf_dir):
+    c, lit = F.col, F.lit
+    k = c("o_orderkey")
+    stored = (
+        F.when(k % 6 == 0, F.concat(lit(" \n"), "o_orderpriority", lit(" "))).when(k % 6 == 1, F.to_json(F.struct(F.concat(lit(" a\r\n"), "o_orderpriority").alias("description"))))
+        .when(k % 6 == 2, '{"other": 1}').when(k % 6 == 3, "{x ").when(k % 6 == 4, '" q \\"1\\" "')
+    )
+    trigger = d.normalize_trigger(F.when(k % 2 == 0, "page-load").when(k % 3 == 0, "never"), F.when(k % 5 == 0, True).when(k % 5 == 1, False))
+    return table(spark, sf_dir, "orders").select("o_orderkey", d.normalize_method(stored).alias("method"), trigger.alias("t")).select("o_orderkey", "method", "t.*")
+
+
 @register("f11_valid_definition", """with s as (select o_custkey, count(*) filter (o_orderkey % 9 = 0) as bad, count(*) as n from orders group by o_custkey)
     select c_custkey, array_to_string(list_filter([case when c_custkey % 6 = 0 then '缺少技能名称' end, case when n is null then '没有数据源' end, case when bad > 0 then '包含无效的数据源绑定' end,
     case when c_custkey % 2 = 0 and c_custkey % 13 = 0 then '请至少选择一列' end, case when c_custkey % 2 = 0 and c_custkey % 13 > 10 then '最多选择 10 列' end], lambda x: x is not null), ',') as errors from customer left join s on o_custkey = c_custkey""")

@@ -136,6 +136,19 @@ def suggestions(spark, sf_dir):
     return found.select("o_orderkey", F.array_join(F.transform("s", lambda x: F.concat_ws("/", x["label"], x["prompt"], x["reason"])), ";").alias("suggestions"))
 
 
+@register("tx4_onboarding", """select o_orderkey, case when o_orderkey % 3 = 0 then '数据已经准备好了|已选择 ' || o_custkey % 5 || ' 张表、' || o_custkey || ' 行数据。可以先快速了解整体情况，也可以直接提出具体问题。|快速看概览/请概括这些数据的主要内容和关键发现。/快速理解数据全貌;查找异常/请找出这些数据中值得关注的异常、缺失或不一致之处。/发现潜在问题;生成摘要/请把这些数据整理成一份简洁的业务摘要。/便于汇报和分享|点击一个方向开始，或直接输入你想了解的问题。'
+    else case when o_orderkey % 3 = 1 then 'hi' else '数据已经准备好了' end || '|' || o_orderpriority || '|a/b/c|也可以直接输入你想了解的问题。' end as shown, o_orderkey % 3 = 0 as fallback from orders""")
+def onboarding(spark, sf_dir):
+    c, lit = F.col, F.lit
+    k = c("o_orderkey") % 3
+    one = F.struct(lit("a").alias("label"), F.when(k > 0, lit("b")).otherwise(" ").alias("prompt"), lit("c").alias("reason"))
+    answer = F.to_json(F.struct(F.when(k == 1, lit(" hi ")).otherwise(" ").alias("welcome"), F.concat("o_orderpriority", lit("\n")).alias("summary"), F.array(one).alias("suggestions")))
+    said = F.when((k == 0) & (c("o_orderkey") % 2 == 0), lit("no JSON")).otherwise(answer)
+    found = table(spark, sf_dir, "orders").select("o_orderkey", prompts.onboarding(said, c("o_custkey") % 5, c("o_custkey")).alias("o"))
+    listed = F.array_join(F.transform("o.suggestions", lambda x: F.concat_ws("/", x["label"], x["prompt"], x["reason"])), ";")
+    return found.select("o_orderkey", F.concat_ws("|", "o.welcome", "o.summary", listed, "o.freeInputHint").alias("shown"), "o.fallback")
+
+
 @register("tx5_header_guide", f"""with {_SAMPLES_SQL}, k as (select *, row_number() over (partition by session order by table_number desc) as k from z where header is not null)
     select session, string_agg('表格 ' || k || ' 的列：' || {_NL} || '  1. ' || string_split(header, ' ||| ')[1] || {_NL} || '  2. ' || string_split(header, ' ||| ')[2] || coalesce({_NL} || '数据样例（第一行）：' || samples[1], ''), {_NL} || {_NL} order by k) as guide from k group by session""")
 def header_guide(spark, sf_dir):

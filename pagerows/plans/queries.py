@@ -151,6 +151,42 @@ def merge_queue(spark, sf_dir):
     return rows.merge_queue(pick("O"), pick("F"), done, "k", "pos", 1000)
 
 
+def _merged_sql(first: str) -> str:
+    return f"""with u as (select o_custkey as k, case when o_orderstatus = '{first}' then 0 else 1 end as f, o_orderkey as pos, o_orderpriority as p from orders where o_orderstatus in ('O', 'F') and o_custkey % 7 > 0),
+    d as (select k, min((f, pos)) as place, min_by(p, (f, pos)) as content, string_agg(pos || '/' || (pos + 1), '/' order by f, pos) as instances from u where k not in (select c_custkey from customer where c_acctbal < 0) group by k)
+    select k, content, instances from d order by place, k limit 1000"""
+
+
+def _merged(spark, sf_dir, queued_first: bool) -> DataFrame:
+    pos = F.col("o_orderkey")
+    orders = _t(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).alias("k"), pos.alias("pos"), F.col("o_orderpriority").alias("content"), F.array(pos, pos + 1).alias("instances"), "o_orderstatus")
+    pick = lambda s: orders.where(F.col("o_orderstatus") == s).drop("o_orderstatus")
+    done = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    found = rows.merge_instances(pick("O"), pick("F"), done, "k", "pos", "instances", 1000, queued_first)
+    return found.select("k", "content", F.array_join(F.col("instances").cast("array<string>"), "/").alias("instances"))
+
+
+@_register("so1_merge_queued_first", _merged_sql("O"))
+def merge_queued_first(spark, sf_dir):
+    """Rows that wait and rows of the window, with where they show; a limit is the queue's own."""
+    return _merged(spark, sf_dir, True)
+
+
+@_register("so1_merge_current_first", _merged_sql("F"))
+def merge_current_first(spark, sf_dir):
+    return _merged(spark, sf_dir, False)
+
+
+@_register("ag3_part_tokens", f"""select conv_id, cast(sum(case turn % 3 when 0 then {_TOKENS.format("coalesce(text, '')")} when 1 then 2 * {_TOKENS.format("coalesce(text, '')")} + 1 else 0 end + 4) + 2 as bigint) as tokens from conversations group by conv_id""")
+def part_tokens(spark, sf_dir):
+    """Messages of one text, of three texts and an image, and of an image alone."""
+    c = F.col
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    image, text = part("image_url", c("text")), part("text", c("text"))
+    parts = F.when(c("turn") % 3 == 1, F.array(text, image, text, part("text", F.lit("abc")))).when(c("turn") % 3 == 2, F.array(image))
+    return rows.history_tokens(_t(spark, sf_dir, "conversations").withColumn("parts", parts), "conv_id", parts="parts")
+
+
 @_register("sf7_row_fingerprint", """select o_orderkey, 'sha256:' || sha256(o_orderstatus || chr(9247) || o_orderpriority || chr(9247) || cast(o_custkey as varchar)) as fingerprint from orders""")
 def row_fingerprint(spark, sf_dir):
     cells = F.array("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string"))
