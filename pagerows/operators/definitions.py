@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import cut
 from .derive import distinct_selections
 
 #: Types, output defaults and positions, execution bounds, headers that name no source, legacy sections.
@@ -184,15 +185,15 @@ def deferred_status(status: Column, source_page: Column, current_page: Column) -
     return F.when(source_page != current_page, "deferred").otherwise(F.coalesce(F.nullif(status, F.lit("")), F.lit("checking")))
 
 
-def global_numbers(skills: DataFrame, order: str, part: int = 1 << 20) -> DataFrame:
-    """Adds ``number``, 1-based in the catalog's order (a whole number column), whatever is shown later. Ranges of the
-    order are counted first, so that no task sorts the whole catalog."""
-    placed = skills.withColumn("__part", F.floor(F.col(order) / part))
-    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+def global_numbers(skills: DataFrame, order: str) -> DataFrame:
+    """Adds ``number``, 1-based in the catalog's order, whatever is shown later. Rows are dealt by ranges of a sample of the order,
+    however sparse it is, and sorted there; what is summed up over the whole is one count for each range."""
+    placed = cut(skills.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))  # as many as partitions
     base = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    joined = placed.join(counts.withColumn("__base", base).select("__part", "__base"), "__part")
-    return joined.withColumn("number", F.col("__base") + within).drop("__part", "__base")
+    shift = counts.select("__part", (base - F.col("__first") + 1).alias("__shift"))
+    return placed.join(F.broadcast(shift), "__part").withColumn("number", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
 def page_catalog(skills: DataFrame, sources: DataFrame, current: str | None = None) -> DataFrame:

@@ -179,9 +179,11 @@ def dup_source(spark, sf_dir):
     return d.duplicate_sources(lines, bound).select("l_orderkey", "l_linenumber")
 
 
-@register("w11_global_numbers", "select o_orderkey, row_number() over (order by o_orderkey) as number from orders where o_orderkey % 7 > 1")
+@register("w11_global_numbers", "select o_orderkey, row_number() over (order by hash_key, o_orderkey) as number from (select o_orderkey, o_orderkey * 1000003 % 9999991 as hash_key from orders)")
 def global_numbers(spark, sf_dir):
-    return d.global_numbers(table(spark, sf_dir, "orders").where("o_orderkey % 7 > 1").select("o_orderkey"), "o_orderkey", part=1 << 12)
+    """The catalog's order is sparse and not the key's."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.struct((F.col("o_orderkey") * 1000003 % 9999991).alias("h"), "o_orderkey").alias("place"))
+    return d.global_numbers(orders, "place").select("o_orderkey", "number")
 
 
 @register("ag10_page_catalog", """with s as (select o_custkey as skill, o_orderkey as pos, case when o_custkey % 5 = 0 and o_orderkey % 4 = 0 then 'tab:tab ' || (o_orderkey % 9) when o_orderkey % 6 > 0 then 'p' || (o_orderkey % 40) end as g,
