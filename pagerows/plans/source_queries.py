@@ -46,6 +46,18 @@ def normalize_sheet(spark, sf_dir):
     return sheet.select("page", join("headers"), "total_rows", F.col("row").cast("long").alias("row"), join("cells"))
 
 
+@register("src5_large_sheets", """with l as (select *, l_orderkey // 3000 as page, row_number() over (partition by l_orderkey // 3000 order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as row from lineitem)
+    select page, count(*) as total_rows, count(*) filter (row <= 10000) as kept, cast(sum(l_orderkey * 7 + l_partkey) filter (row <= 10000) as bigint) as keys, cast(max(l_orderkey) filter (row <= 10000) as bigint) as last_key from l group by page""")
+def large_sheets(spark, sf_dir):
+    """Sheets of some 12,000 lines each, of which 10,000 count."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    lines = table(spark, sf_dir, "lineitem").select(*order, F.floor(F.col("l_orderkey") / 3000).alias("page"))
+    files = render.to_csv_text(lines, "page", order, F.array(*(F.col(c).cast("string") for c in order[:3])), ["order", "line", "part"])
+    sheet = delimited.normalize_sheet(delimited.parse_delimited(files, "csv"), "page")
+    cell = lambda k: F.get("cells", k).cast("bigint")
+    return sheet.groupBy("page", "total_rows").agg(F.count("row").alias("kept"), F.sum(cell(0) * 7 + cell(2)).alias("keys"), F.max(cell(0)).alias("last_key"))
+
+
 def _chunks(events: DataFrame, size: int = 50) -> DataFrame:
     """(conv_id, turn, body) cut into pieces that don't end where lines end."""
     pieces = events.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("body", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("p", "chunk"))
