@@ -53,13 +53,19 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def split_words(texts: pa.Array, at: str | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As ``split_arrow``, with the distinct words as a list."""
+    begin, codes, words = split_arrow(texts, at)
+    return begin, codes, words.to_numpy(zero_copy_only=False).tolist()
+
+
+def split_arrow(texts: pa.Array, at: str | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Where each text's words begin (one entry more than texts), the words as numbers, and the distinct words.
     Words lie between ASCII white space, or between single ``at``; empty ones occur. A null text has no words."""
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(texts) if at is None else pc.split_pattern(texts, at)
     begin = lists.offsets.to_numpy().astype("int64")
     coded = lists.flatten().dictionary_encode()
-    return begin - begin[0], coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return begin - begin[0], coded.indices.to_numpy(), coded.dictionary
 
 
 def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:

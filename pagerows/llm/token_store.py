@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import shared_dir, small_batches, tidy
-from .token_codec import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
+from .token_codec import BLOCK_IDS, GROUP, decode_blocks, encode_blocks, split_blocks
 from .tokenize import unit_encoder
 
-#: Ids of a segment, unless one document has more; blocks that are coded side by side at most.
-SEGMENT_IDS, LANES = 1 << 16, 512
+#: Ids of a segment, unless one document has more: one block.
+SEGMENT_IDS = BLOCK_IDS
 SEGMENT = "part int, segment int, doc_ids array<bigint>, first bigint, lengths array<bigint>, payload binary"
 
 
@@ -72,7 +72,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 1,
             for d, s, e in zip(batch.column(0).to_pylist(), starts.tolist(), ends.tolist()):
                 if docs and size + e - s > SEGMENT_IDS:
                     close()
-                    if waiting >= LANES:
+                    if waiting >= GROUP:
                         yield emit()
                 docs.append(d)
                 lengths.append(e - s)
@@ -108,7 +108,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             for k in range(batch.num_rows):
                 todo.append(k)
                 blocks.append(split_blocks(payloads[k].as_py()))
-                if sum(map(len, blocks)) >= LANES or k == batch.num_rows - 1:
+                if sum(map(len, blocks)) >= GROUP or k == batch.num_rows - 1:
                     yield decoded(batch, todo, blocks)
                     todo, blocks = [], []
         tidy()

@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .base import split_words, sums
+from .base import split_arrow, sums
 
 #: Units kept by a worker. Of more, the older half stays (frequent ones come early); results don't depend on it.
 CACHE_UNITS = 700_000
@@ -26,6 +27,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: pattern as it reads for these characters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Of these characters alone, a word of letters with marks after it has two pre-tokens, the word and the marks; "<" may begin
+#: a special token.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "<")
+_EACH = "".join(c for c in map(chr, range(65, 256)) if re.match(f"[{_LETTERS}]", c))
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from U+0100 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _BYTES = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
@@ -49,6 +54,7 @@ class UnitEncoder:
 
     def __init__(self, path: str, limit: int = CACHE_UNITS):
         self.tokenizer, self.limit, self.cache, self.pieces = load(path), limit, {}, {}
+        self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536:
             raise ValueError("ids need 16 bits")
         parts = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -58,13 +64,12 @@ class UnitEncoder:
     def piece(self, piece: str) -> bytes:
         """Ids of one pre-token in lower case, from the library's model."""
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-        self.pieces[piece] = ids = array("H", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        self.pieces[piece] = ids = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return ids
 
     def learn(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, which are kept."""
         trim(self.cache, self.limit)
-        trim(self.pieces, self.limit)
         cache, pieces, others = self.cache, self.pieces, []
         own = list(map(cache.get, units))
         new = [k for k, ids in enumerate(own) if ids is None]
@@ -83,16 +88,41 @@ class UnitEncoder:
             own[k] = cache[units[k]]
         return own
 
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token in lower case, which are kept."""
+        own = list(map(self.pieces.get, pieces))
+        for k, ids in enumerate(own):
+            if ids is None:
+                own[k] = self.piece(pieces[k])
+        return own
+
+    def units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, and each unit's number of ids."""
+        trim(self.pieces, self.limit)
+        bare = pc.ascii_rtrim(units, characters=_MARKS)
+        plain = pc.match_substring_regex(bare, f"^[{_LETTERS}]+$") if self.cuts else pa.array(np.zeros(len(units), bool))
+        others = pc.invert(plain)
+        words = pc.utf8_lower(bare.filter(plain)).dictionary_encode()
+        marks = pc.utf8_ltrim(units.filter(plain), characters=_EACH).dictionary_encode()
+        own, runs = [b""], np.zeros((len(units), 2), "int64")
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        for k, part in enumerate((words, marks)):
+            runs[at, k] = part.indices.to_numpy() + len(own)
+            own += self.words(part.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = np.flatnonzero(others.to_numpy(zero_copy_only=False))
+        runs[at, 0] = np.arange(len(own), len(own) + len(at))
+        own += self.learn(units.filter(others).to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, own), "int64", len(own)) // 2
+        return gather(np.frombuffer(b"".join(own), "<u2"), lengths, runs.ravel()), lengths[runs].sum(axis=1)
+
     def batch(self, texts: pa.Array, counts_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
         """All ids in a row, and each text's number of ids."""
-        begin, codes, units = split_words(texts)
-        own = self.learn(units)
-        lengths = np.fromiter(map(len, own), "int64", len(own)) // 2
-        per_unit = lengths[codes]
-        counts = sums(per_unit, begin)
+        begin, codes, units = split_arrow(texts)
+        flat, lengths = self.units(units)
+        counts = sums(lengths[codes], begin)
         if counts_only:
             return None, counts
-        return gather(np.frombuffer(b"".join(own), "<u2"), lengths, codes), counts
+        return gather(flat, lengths, codes), counts
 
 
 def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:

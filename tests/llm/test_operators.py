@@ -139,6 +139,33 @@ def test_codec_beats_order_0(docs):
     assert bits < static and bits < adaptive / len(ids)
 
 
+def test_codec_time_and_blocks():
+    """Blocks stand alone, whatever they were coded with; coding and decoding take a bounded time for each id."""
+    rnd = np.random.default_rng(2)
+    ids = rnd.zipf(1.15, 3_000_000) % 49_000
+    ids[1::5] = ids[::5][: len(ids[1::5])] * 7 % 49_000  # what follows an id is often the same
+    ids = ids.astype("uint16")
+    sizes = [0, 1, 15, 16, 17, 5_000, *[token_codec.BLOCK_IDS] * ((len(ids) - 6_000) // token_codec.BLOCK_IDS)]
+    blocks = np.split(ids, np.cumsum(sizes))[:-1]
+    usual = min(_spin() for _ in range(50))
+    begun = time.thread_time()
+    coded = token_codec.encode_blocks(blocks)
+    back = token_codec.decode_blocks([token_codec.split_blocks(c)[0] for c in coded])
+    took = (time.thread_time() - begun) / sum(sizes)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back))
+    for k in (0, 1, 2, 3, 4, 5, len(blocks) - 1):
+        assert (token_codec.decode_blocks([token_codec.split_blocks(coded[k])[0]])[0] == blocks[k]).all()
+        assert token_codec.encode_blocks([blocks[k]])[0] == coded[k]
+    print(took * 1e9, took / usual)
+    assert took < 1.1e-3 * usual
+
+
+def _spin() -> float:
+    begun = time.thread_time()
+    sum(range(50_000))
+    return time.thread_time() - begun
+
+
 def test_token_store(spark, docs, odd):
     from tokenizers import Tokenizer
 
