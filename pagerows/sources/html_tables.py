@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import UNIT_SEPARATOR, business_text
+from ..functions.text import UNIT_SEPARATOR, business_text, let
 from ..operators.rows import first_seen
 
 #: Cells of a row at most (a fixed value).
@@ -152,12 +152,15 @@ def extract_tables(pages: DataFrame, html: str = "html") -> DataFrame:
 def align_cells(cells: Column, width: Column) -> Column:
     """Cells as wide as the headers: while too many, blank ones at the front go, then those at the end; what is still
     too long is cut, what is too short gets empty cells."""
-    blank = F.transform(cells, lambda c: c == "")
-    extra = F.greatest(F.size(cells) - width, F.lit(0))
-    lead = F.coalesce(F.nullif(F.array_position(blank, False), F.lit(0)) - 1, F.size(cells)).cast("int")
-    from_front = F.slice(cells, F.least(lead, extra) + 1, F.greatest(F.size(cells), F.lit(1)))
-    padded = F.concat(from_front, F.array_repeat(F.lit(""), F.greatest(width - F.size(from_front), F.lit(0))))
-    return F.when(width > 0, F.slice(padded, F.lit(1), F.greatest(width, F.lit(1)))).otherwise(cells)
+
+    def aligned(held: Column) -> Column:
+        extra = F.greatest(F.size(held) - width, F.lit(0))
+        lead = F.coalesce(F.nullif(F.array_position(F.transform(held, lambda c: c == ""), False), F.lit(0)) - 1, F.size(held)).cast("int")
+        from_front = F.slice(held, F.least(lead, extra) + 1, F.greatest(F.size(held), F.lit(1)))
+        padded = lambda f: F.concat(f, F.array_repeat(F.lit(""), F.greatest(width - F.size(f), F.lit(0))))
+        return F.slice(let(from_front, padded), F.lit(1), F.greatest(width, F.lit(1)))
+
+    return F.when(width > 0, let(cells, aligned)).otherwise(cells)
 
 
 def extract_table_rows(pages: DataFrame, key: str, html: str = "html", dedupe: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 """Pages, workbooks and answers: small cases of what the queries' texts don't hold."""
 
+import cProfile
 import io
 import random
 import zipfile
@@ -229,3 +230,69 @@ def test_a_folder_of_workbooks_as_a_source(spark, tmp_path):
         spark.read.format("workbooks").load().count()
     (tmp_path / "none").mkdir()
     assert spark.read.format("workbooks").load(str(tmp_path / "none")).count() == 0
+
+
+def flat(root):
+    out, todo = [], [(root, 0)]
+    while todo:
+        part, depth = todo.pop()
+        if isinstance(part, str):
+            out.append((depth, part))
+        else:
+            out.append((depth, part.tag, part.attrs, part.number, part.classes, part.role, [n.number for n in part.walk()]))
+            todo += [(p, depth + 1) for p in part.parts[::-1]]
+    return out
+
+
+def test_plain_pages_have_the_trees_of_the_library():
+    rnd, plain = random.Random(4), 0
+    bits = ["<table class='a b'>", "</table>", "<tr>", "<td COLSPAN=2>", "</td>", "<thead>", "<p>", "<li>", "<ul>", "<br>", "<input disabled>", "</div>", '<div role="row" a:b.c=\'d e\'>', "<A href=http://x/>", "t &amp; u", "&lt", " ", "<script>a<b&amp;</script>", "<title>x&#32;</title>", "<iframe></iframe>"]
+    odd = ["<", "&", "<b/>", "<!--x-->", "<b a='&amp;'>", "<b a=b'c>", "<b a='x", "</ b>", "<title><b>", "<script></b>", "<b\x1ca=b>", "<é>"]
+    for k in range(3000):
+        html = "".join(rnd.choices(bits + (odd if k % 3 == 0 else []), k=rnd.randrange(25)))
+        library = page_tree._Builder()
+        library.feed(html)
+        library.close()
+        want, got = flat(library.tree.done()), page_tree._parse_plain(html)
+        assert flat(page_tree.parse(html)) == want, html
+        assert got is None or flat(got) == want, html
+        plain += got is not None
+        assert got is not None or k % 3 == 0, html
+    assert plain > 2000
+
+
+def calls(work):
+    watch = cProfile.Profile()
+    watch.runcall(work)
+    return sum(e.callcount for e in watch.getstats())
+
+
+def test_a_page_of_rows_takes_few_calls():
+    """A thousand rows of three cells: what reading them costs is told by calls, which don't depend on the machine."""
+    html = "<body><div class=ant-table-wrapper><table><thead><tr><th>a<th>b<th>c<tbody>" + "<tr class=ant-table-row><td>1</td><td>2</td><td><b>3</b></td></tr>" * 1000 + "</table></div>"
+    assert tables(html) == [("ant", ["a", "b", "c"], [["1", "2", "3"]] * 1000)]
+    assert calls(lambda: page_tree.parse(html)) < 120_000  # 309,000 through the library
+    assert calls(lambda: tables(html)) < 300_000  # 770,000 before
+
+
+def test_tables_are_read_once_to_swap_their_bodies(spark, sf):
+    from pagerows.plans.page_queries import swap_bodies
+
+    assert swap_bodies(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_bodies_by_headers_and_nearness(spark):
+    kinds = "k int, table_index int, headers array<string>, rows array<array<string>>, ancestors array<int>"
+    full, none = [["x"]], []
+    frame = spark.createDataFrame(
+        [
+            (1, 0, ["A", "B"], none, [3, 2, 1]), (1, 1, ["a", " b", "c"], full, [9, 8, 1]), (1, 2, ["B", "A"], full, [4, 2, 1]), (1, 3, ["A"], none, [7, 6, 1]),  # the nearer of two that fit
+            (2, 0, [f"h{i}" for i in range(10)], none, [1]), (2, 1, [f"h{i}" for i in range(9)], full, [2]), (2, 2, [f"h{i}" for i in range(8)], full * 5, [3]),  # 0.9 is enough
+            (6, 0, [f"h{i}" for i in range(10)], none, [1]), (6, 1, [f"h{i}" for i in range(9)], full, [2]), (6, 2, [f"h{i}" for i in range(8)], full, [1]),  # the nearer has too few
+            (3, 0, ["A", "B"], none, [2, 1]), (3, 1, ["A"], full, [3, 1]), (4, 0, [], none, [1]), (4, 1, ["q"], full, [2]), (5, 0, ["A"], none, [1]),  # none fits; no headers fit any
+            (None, 0, ["A"], none, [1]), (None, 1, ["A"], full, [1]),
+        ],
+        kinds,
+    )
+    got = {(r.k, r.table_index): r.body_index for r in page_tree.swap_bodies(frame, "k").collect()}
+    assert got == {(1, 0): 2, (1, 1): 1, (1, 2): 2, (1, 3): 1, (2, 0): 1, (2, 1): 1, (2, 2): 2, (3, 0): 0, (3, 1): 1, (4, 0): 1, (4, 1): 1, (5, 0): 0, (6, 0): 0, (6, 1): 1, (6, 2): 2, (None, 0): 0, (None, 1): 1}
