@@ -35,9 +35,11 @@ def normalize_text(c: Column) -> Column:
 
 
 def truncate_text(c: Column, limit: int) -> Column:
-    whole = normalize_text(c)
-    rest = F.length(whole) - limit
-    return F.when(rest > 0, F.concat(F.left(whole, F.lit(limit)), F.lit("\n\n[Truncated: "), rest.cast("string"), F.lit(" chars]"))).otherwise(whole)
+    def cut(whole: Column) -> Column:
+        rest = F.length(whole) - limit
+        return F.when(rest > 0, F.concat(F.left(whole, F.lit(limit)), F.lit("\n\n[Truncated: "), rest.cast("string"), F.lit(" chars]"))).otherwise(whole)
+
+    return let(normalize_text(c), cut)
 
 
 def one_line(c: Column, limit: int | None = None) -> Column:
