@@ -106,6 +106,27 @@ def assign_groups(contexts: DataFrame, session: str = "session") -> DataFrame:
     return joined.withColumn("group_id", group).drop("__table")
 
 
+def place_contexts(contexts: DataFrame, session: str = "session", parts: int | None = None) -> DataFrame:
+    """Rows and headers with their ``group_id`` (as ``assign_groups``) and its ``table_number`` (as ``number_tables``). Rows
+    are dealt once, by session, to ``parts`` partitions (the session's number if none is given), and sorted there; a header
+    counts twice then, for itself and for the rows that name it."""
+    c = F.col
+    named = lambda x: F.nullif(c(x), F.lit(""))
+    head = (c("kind") == "table-header") & named("table_id").isNotNull() & named("ref").isNotNull()
+    rows = contexts.where(c("kind").isin("table-header", "table-row"))
+    dealt = rows.repartition(session) if parts is None else rows.repartition(parts, session)
+    twice = dealt.withColumn("__named", F.explode(F.when(head, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    keyed = twice.withColumn("__ref", F.when(c("__named"), c("ref")).when(c("kind") == "table-row", c("header_ref")))
+    told = F.max_by("table_id", F.when(c("__named"), c("seq"))).over(Window.partitionBy(session, "__ref"))
+    own = keyed.withColumn("__table", told).where(~c("__named"))
+    group = F.coalesce(F.concat(F.lit("TG:"), F.coalesce(F.when(c("kind") == "table-row", c("__table")), named("table_id"))), F.concat(F.lit("TG:header:"), named("header_ref")))
+    same = Window.partitionBy(session, "group_id")
+    dated = own.withColumn("group_id", group).withColumns({"__added": F.min("created_at").over(same), "__oldest": F.max("seq").over(same)})
+    w = Window.partitionBy(session).orderBy(c("__added").asc_nulls_last(), F.desc("__oldest"), "group_id")
+    numbered = dated.withColumn("table_number", F.dense_rank().over(w))
+    return numbered.where(c("group_id").isNotNull()).drop("__named", "__ref", "__table", "__added", "__oldest")
+
+
 def number_tables(contexts: DataFrame, session: str = "session") -> DataFrame:
     """``(session, group_id, added_at, oldest, rows, table_number)``: tables by the time they were first added."""
     groups = contexts.groupBy(session, "group_id").agg(

@@ -41,26 +41,31 @@ def context_line(kind: Column, ref: Column, first_line: Column, last_line: Colum
     return F.concat(meta, F.lit("\n"), F.when(~headed & (kind == "table-row"), cells).otherwise(text))
 
 
-def context_block(contexts: DataFrame, compact: bool = False) -> DataFrame:
+def context_block(contexts: DataFrame, compact: bool = False, parts: int | None = None) -> DataFrame:
     """``(session, block)``. Contexts: (session, seq: newest first, kind, group_id and table_number of tables' ones, ref, text,
     title, url, first_line, last_line). Tables come newest (the greatest number) first, each under its header; snippets
-    follow."""
+    follow. Contexts are dealt once, by session, to ``parts`` partitions (the session's number if none is given)."""
     c = F.col
-    table = c("kind").isin("table-header", "table-row")
-    heads = contexts.where("kind = 'table-header'").groupBy("session", "group_id").agg(F.max_by("text", "seq").alias("header"), F.max("seq").alias("head_seq"))
-    placed = contexts.join(heads, ["session", "group_id"], "left")
+    known = contexts.where(c("kind").isNotNull())
+    dealt = known.repartition("session") if parts is None else known.repartition(parts, "session")
+    table, head = c("kind").isin("table-header", "table-row"), c("kind") == "table-header"
+    own = dealt.withColumns({"__table": table, "__group": F.when(table, c("group_id"))})
+    w = Window.partitionBy("session", "__table", "__group")
+    of_group = lambda x: F.when(c("__group").isNotNull(), x.over(w))
+    placed = own.withColumns({"header": of_group(F.max_by("text", F.when(head, c("seq")))), "__top": of_group(F.max(F.when(head, c("seq"))))})
     # of several headers of a table the last one stands for it
-    live = placed.where((c("kind") != "table-header") | (c("seq") == c("head_seq")))
+    live = placed.where(~head | (c("seq") == c("__top")))
     line = c("text") if compact else context_line(c("kind"), c("ref"), c("first_line"), c("last_line"), c("title"), c("url"), c("text"), c("header").isNotNull())
-    lines = live.withColumn("__line", line).withColumn("__o", F.struct((c("kind") != "table-header").alias("row"), "seq"))
+    lines = live.select("session", "__table", F.when(c("__table"), c("table_number")).alias("table_number"), "header", F.struct((~head).alias("row"), c("seq"), line.alias("line")).alias("__x"))
+    tables = lines.groupBy("session", "__table", "table_number", "header").agg(F.array_sort(F.collect_list("__x")).alias("__l"))
     label = F.concat(F.lit("[TABLE "), c("table_number").cast("string"), F.when(c("header").isNotNull(), F.concat(F.lit(" - Columns: "), c("header"), F.lit("]"))).otherwise(_NO_NAMES))
-    tables = joined(lines.where(table), ["session", "table_number", "header"], ["__o"], "__line", "\n\n", "__rows")
-    chunks = tables.withColumn("__chunk", F.concat(label, F.lit("\n"), "__rows")).withColumn("__down", -c("table_number"))
-    counted = tables.groupBy("session").agg(F.count("*").alias("n"))
-    first = joined(chunks, ["session"], ["__down"], "__chunk", BREAK, "__tables").join(counted, "session")
-    first = first.select("session", F.concat(F.lit(_TABLES[0]), c("n").cast("string"), F.lit(_TABLES[1]), "__tables").alias("a"))
-    second = joined(lines.where(~table), ["session"], ["__o"], "__line", BREAK, "__snippets").select("session", F.concat(F.lit(_SNIPPETS), "__snippets").alias("b"))
-    return first.join(second, "session", "full").select("session", F.concat_ws(BREAK, "a", "b").alias("block"))
+    shown = F.transform("__l", lambda x: x["line"])
+    text = F.when(c("__table"), F.concat(label, F.lit("\n"), F.array_join(shown, "\n\n"))).otherwise(F.array_join(shown, BREAK))
+    chunks = tables.select("session", "__table", F.struct((-c("table_number")).alias("down"), text.alias("chunk")).alias("__x"))
+    both = chunks.groupBy("session").agg(F.array_sort(F.collect_list(F.when(c("__table"), c("__x")))).alias("__t"), F.max(F.when(~c("__table"), c("__x.chunk"))).alias("__s"))
+    n = F.size("__t")
+    first = F.when(n > 0, F.concat(F.lit(_TABLES[0]), n.cast("string"), F.lit(_TABLES[1]), F.array_join(F.transform("__t", lambda x: x["chunk"]), BREAK)))
+    return both.select("session", F.concat_ws(BREAK, first, F.concat(F.lit(_SNIPPETS), "__s")).alias("block"))
 
 
 def source_sections(sources: DataFrame, rows: DataFrame, key: str, chars: Column, source: str = "source", order: str = "row_pos") -> DataFrame:

@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def growing_parts(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Partitions for a shuffle of whole tables: the session's number, or more where so many are read that sorts of a fixed
+    number would no longer fit their memory."""
+    read = sum(table(spark, sf_dir, name).rdd.getNumPartitions() for name in names)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * read)
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Narrow columns of a table for work that is bound by CPU: a table of fewer partitions than the session has cores (one
     row group, say) is dealt over all of them; a larger one stays as it is read."""
