@@ -61,7 +61,8 @@ def split_cells(text: Column) -> Column:
 
 def fingerprint_text(c: Column) -> Column:
     """As ``normalize_text``, but without zero-width characters and carriage returns at line ends."""
-    return normalize_text(F.regexp_replace(F.regexp_replace(_text(c), r"[\x{200B}-\x{200D}\x{FEFF}]", ""), "\r\n?", "\n"))
+    whole = normalize_text(F.regexp_replace(F.regexp_replace(_text(c), r"[\x{200B}-\x{200D}\x{FEFF}]", ""), "\r\n?", "\n"))
+    return F.when(_text(c).rlike("[^!-~]"), whole).otherwise(_text(c))  # ASCII without white space stays
 
 
 def row_fingerprint(cells: Column) -> Column:
@@ -118,9 +119,8 @@ def markdown_table_row(line: Column) -> Column:
 
 def strip_json_fence(text: Column) -> Column:
     """The inside of one fence around the whole text, else the trimmed text."""
-    trimmed = F.regexp_replace(_text(text), r"^\s+|(?<!\s)\s+$", "")
-    inside = F.regexp_extract(trimmed, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
-    return F.when(inside != "", inside).otherwise(trimmed)
+    inside = lambda t: F.regexp_extract(t, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
+    return let(F.regexp_replace(_text(text), r"^\s+|(?<!\s)\s+$", ""), lambda t: let(inside(t), lambda x: F.when(x != "", x).otherwise(t)))
 
 
 def delta_text(event: Column) -> Column:
@@ -154,7 +154,7 @@ def markdown_row(cells: Column) -> Column:
 def estimate_tokens(text: Column) -> Column:
     """One token for each non-ASCII character, and one for each four (begun) characters of an ASCII run."""
     ascii_runs = F.regexp_extract_all(text, F.lit(r"([\x00-\x7F]+)"), F.lit(1))
-    others = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
+    others = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
     return (others + F.aggregate(ascii_runs, F.lit(0), lambda a, r: a + F.ceil(F.length(r) / 4).cast("int"))).cast("long")
 
 

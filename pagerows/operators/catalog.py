@@ -50,11 +50,16 @@ def merge_names(old: DataFrame, new: DataFrame, key: str, name: str) -> DataFram
     return old.join(fresh, key, "full").select(key, F.when(F.col("__is"), F.col("__new")).otherwise(F.col(name)).alias(name))
 
 
+def results_of(answer: Column) -> Column:
+    """The results in an answer's JSON; null where it is no such JSON."""
+    return F.from_json(strip_json_fence(answer), RESULTS)["results"]
+
+
 def validate_results(expected: DataFrame, answers: DataFrame, batch: str, answer: str, fingerprint: str = "fingerprint", max_chars: int = 1000) -> DataFrame:
     """Expected (batch, fingerprint) against the results in the answers' JSON: ``status`` ok, blank, missing, unknown or
     duplicate (a fingerprint's later results), the trimmed ``conclusion`` of ok ones, whether it was ``truncated``, and
     ``needs_attention``. An answer that is no such JSON leaves its batch missing."""
-    listed = answers.select(batch, F.posexplode(F.from_json(strip_json_fence(F.col(answer)), RESULTS)["results"]).alias("__pos", "__r"))
+    listed = answers.select(batch, F.posexplode(results_of(F.col(answer))).alias("__pos", "__r"))
     flat = listed.select(batch, "__pos", F.col("__r.fingerprint").alias(fingerprint), F.trim("__r.conclusion").alias("__c"), F.col("__r.needsAttention").alias("__n"))
     numbered = flat.withColumn("__k", F.row_number().over(Window.partitionBy(batch, fingerprint).orderBy("__pos")))
     asked = expected.select(batch, fingerprint).distinct().withColumn("__asked", F.lit(True))

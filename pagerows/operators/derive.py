@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..shared import cut
-from .catalog import validate_results
+from .catalog import results_of
 from .folds import ordered_fold
 
-#: Most selected columns, most rows of a batch, rows of a preview, default output, method and version.
-MOST_COLUMNS, MOST_ROWS, PREVIEW_ROWS = 10, 20, 1000
+#: Most selected columns, most rows of a batch, rows of a preview, characters of a conclusion, default, method and version.
+MOST_COLUMNS, MOST_ROWS, PREVIEW_ROWS, MOST_CHARS = 10, 20, 1000, 1000
 DEFAULT_METHOD = "根据所选字段识别异常、风险、矛盾和值得关注的业务事项，并为每条数据生成简短明确的结论。"
 DEFAULT_VERSION = 1
 #: Fixed texts of a request.
@@ -105,7 +105,7 @@ def batch_budget(method: Column, window: Column, max_output: Column, max_chars:
 
 
 def row_cost(fingerprint: Column, content: Column) -> Column:
-    return tx.estimate_tokens(F.to_json(F.struct(fingerprint.alias("fingerprint"), content.alias("content")))) + 8
+    return tx.let(F.to_json(F.struct(fingerprint.alias("fingerprint"), content.alias("content"))), tx.estimate_tokens) + 8
 
 
 def derived_prompt(rows: Column, method: Column, max_chars: Column) -> Column:
@@ -141,19 +141,35 @@ def batches(pending: DataFrame, group: str, order: list, shards: int = 64) -> Da
 def score_rows(pending: DataFrame, scorer: Scorer, attempt: int, shards: int = 64) -> DataFrame:
     """``(analysis, fingerprint, status, conclusion, truncated, needs_attention)`` of pending contents (analysis,
     fingerprint, content, first, method, max_chars, budget, most). The scorer gets a row for each batch (batch, rows,
-    prompt, attempt) and returns (batch, answer). Its answers are written before they are used: it is asked once."""
-    placed = cut(batches(pending, "analysis", ["first", "fingerprint"], shards))
-    row = F.struct("first", "fingerprint", "content")
-    asked = placed.groupBy("batch", "analysis").agg(F.array_sort(F.collect_list(row)).alias("r"), F.first("method").alias("method"), F.first("max_chars").alias("max_chars"))
+    prompt, attempt) and returns (batch, answer). What its answers hold is written before it is used: it is asked once."""
+    return _scored(pending, scorer, attempt, shards).select("analysis", "fingerprint", "status", "conclusion", "truncated", "needs_attention")
+
+
+def _scored(pending: DataFrame, scorer: Scorer, attempt: int, shards: int) -> DataFrame:
+    """The same with the columns of ``pending``. Batches are written once and judged as wholes: a batch's contents and its
+    answer's results meet in one row, of ``most`` contents at most."""
+    c = F.col
+    placed = batches(pending, "analysis", ["first", "fingerprint"], shards)
+    row = F.struct("first", "fingerprint", "content", "max_chars")
+    once = [F.first(x).alias(x) for x in ("method", "max_chars", "budget", "most")]
+    asked = cut(placed.groupBy("batch", "analysis").agg(F.array_sort(F.collect_list(row)).alias("r"), *once))
     rows = F.transform("r", lambda x: F.struct(x["fingerprint"].alias("fingerprint"), x["content"].alias("content")))
-    asked = asked.select("batch", rows.alias("rows"), "method", "max_chars").withColumn("attempt", F.lit(attempt))
-    answers = cut(scorer(asked.withColumn("prompt", derived_prompt(F.col("rows"), F.col("method"), F.col("max_chars")))).select("batch", "answer"))
-    checked = validate_results(placed.select("batch", "fingerprint"), answers, "batch", "answer", max_chars=1000)
-    known = placed.select("batch", "fingerprint", "analysis", "max_chars").join(checked.where("status not in ('unknown', 'duplicate')"), ["batch", "fingerprint"])
-    most = F.col("max_chars")
-    return known.select(
-        "analysis", "fingerprint", "status", F.left("conclusion", most).alias("conclusion"), (F.col("truncated") | (F.length("conclusion") > most)).alias("truncated"), "needs_attention"
-    )
+    sent = asked.select("batch", rows.alias("rows"), "method", "max_chars").withColumn("attempt", F.lit(attempt))
+    scored = scorer(sent.withColumn("prompt", derived_prompt(c("rows"), c("method"), c("max_chars"))))
+    answers = cut(scored.select("batch", results_of(c("answer")).alias("__r"))).groupBy("batch").agg(F.flatten(F.collect_list("__r")).alias("results"))
+    both = asked.join(answers, "batch", "left")
+    names = F.transform("results", lambda r: r["fingerprint"])
+    # the first result with a content's fingerprint counts, as in ``validate_results``
+    found = tx.let(names, lambda n: F.transform("r", lambda x: F.struct(x.alias("x"), F.get("results", (F.array_position(n, x["fingerprint"]) - 1).cast("int")).alias("got"))))
+    each = both.select("analysis", "method", "budget", "most", F.explode(found).alias("__f")).select("analysis", "method", "budget", "most", "__f.x.*", "__f.got")
+    said = each.withColumn("__c", F.trim("got.conclusion"))
+    status = F.when(c("got.fingerprint").isNull(), "missing").when(F.coalesce("__c", F.lit("")) == "", "blank").otherwise("ok")
+    ok = c("status") == "ok"
+    judged = said.withColumn("status", status).withColumn("__held", F.when(ok, F.left("__c", F.lit(MOST_CHARS))))
+    cut_off = (ok & (F.length("__c") > MOST_CHARS)) | (F.length("__held") > c("max_chars"))
+    return judged.select(
+        *pending.columns, "status", F.left("__held", c("max_chars")).alias("conclusion"), cut_off.alias("truncated"), (ok & F.coalesce("got.needsAttention", F.lit(False))).alias("needs_attention")
+    )
 
 
 def retry_set(requested: DataFrame, resolved: DataFrame, keys: list[str], attempts: Column | None = None, most: int = 1) -> DataFrame:
@@ -162,13 +178,14 @@ def retry_set(requested: DataFrame, resolved: DataFrame, keys: list[str], attemp
     return left if attempts is None else left.where(attempts < most)
 
 
-def contents(definitions: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
+def contents(definitions: DataFrame, tables: DataFrame, rows: DataFrame, few: bool = True) -> DataFrame:
     """Rows (table, row_pos, cells) of each analysis on their table, with ``fingerprint``, ``content`` and ``missing`` (a
-    selected column isn't there; such rows have neither). Definitions: (analysis, table, selected, ...)."""
+    selected column isn't there; such rows have neither). Definitions: (analysis, table, selected, ...); where they are
+    ``few``, they go to all rows, so that rows of few tables aren't few tasks' work."""
     chosen = definitions.withColumn("__s", distinct_selections(F.col("selected"))).join(tables, "table")
     placed = chosen.withColumn("indexes", selected_indexes(F.col("__s"), F.col("headers")))
     placed = placed.withColumn("missing", (F.size("indexes") == 0) | F.exists("indexes", lambda i: i.isNull())).drop("selected")
-    each = rows.join(placed, "table")
+    each = rows.join(F.broadcast(placed) if few else placed, "table")
     values = F.transform("indexes", lambda i: F.coalesce(F.get("cells", i), F.lit("")))
     able = each.withColumn("values", F.when(~F.col("missing"), values))
     named = F.transform("__s", lambda s: s["header"])
@@ -176,7 +193,7 @@ def contents(definitions: DataFrame, tables: DataFrame, rows: DataFrame) -> Data
 
 
 def derive_column(
-    definitions: DataFrame, tables: DataFrame, rows: DataFrame, cache: DataFrame, scorer: Scorer, now: int, ttl_ms: int = 7_200_000, window: int = 64_000, max_output: int = 4096, shards: int = 64
+    definitions: DataFrame, tables: DataFrame, rows: DataFrame, cache: DataFrame, scorer: Scorer, now: int, ttl_ms: int = 7_200_000, window: int = 64_000, max_output: int = 4096, shards: int = 64, few: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """A conclusion beside each row, and the cache's new entries.
 
@@ -185,22 +202,23 @@ def derive_column(
     fails is tried once more. Rows come back with the derived cell put in, ``conclusion`` and ``status``: ``complete``,
     ``error`` (the scorer gave nothing valid) or ``missing-column``. Repeated rows stay; contents are joined by
     fingerprint, of which a frequent one is scored once."""
-    ready = contents(definitions, tables, rows)
+    ready = contents(definitions, tables, rows, few)
     budget, most = batch_budget(F.col("method"), F.lit(window), F.lit(max_output), F.col("max_chars"))
     described = effective_method(F.col("method"), F.lit(DEFAULT_VERSION))["description"]
-    unique = cut(
-        ready.where(~F.col("missing")).groupBy("analysis", "fingerprint")
-        .agg(F.min("row_pos").alias("first"), F.first("content").alias("content"), F.first("method").alias("method"), F.first("max_chars").alias("max_chars"))
-    )
+    unique = ready.where(~F.col("missing")).groupBy("analysis", "fingerprint").agg(F.min("row_pos").alias("first"), F.first("content").alias("content"))
+    asked = definitions.select("analysis", described.alias("method"), "max_chars", budget.alias("budget"), most.alias("most"))
     live = F.col("created_at").isNotNull() & (F.lit(now) - F.col("created_at") <= max(60_000, ttl_ms)) & (F.trim("conclusion") != "")
-    hits = unique.select("analysis", "fingerprint").join(cache.where(live).groupBy("analysis", "fingerprint").agg(F.max_by("conclusion", "created_at").alias("conclusion")), ["analysis", "fingerprint"])
-    pending = retry_set(unique, hits, ["analysis", "fingerprint"]).withColumn("budget", budget).withColumn("most", most).withColumn("method", described)
-    first = score_rows(pending, scorer, 0, shards)
+    hits = cache.where(live).groupBy("analysis", "fingerprint").agg(F.max_by("conclusion", "created_at").alias("conclusion"))
+    pending = retry_set(unique, hits, ["analysis", "fingerprint"]).join(F.broadcast(asked) if few else asked, "analysis")
+    first = _scored(pending, scorer, 0, shards)
     good = first.where("status = 'ok'")
-    again = score_rows(retry_set(pending, good, ["analysis", "fingerprint"]), scorer, 1, shards).where("status = 'ok'")
-    new = good.unionByName(again).select("analysis", "fingerprint", "conclusion", "needs_attention", F.lit(now).cast("long").alias("created_at"))
-    results = hits.unionByName(new.select("analysis", "fingerprint", "conclusion"))
-    joined = ready.join(results, ["analysis", "fingerprint"], "left")
+    again = _scored(first.where("status <> 'ok'").select(pending.columns), scorer, 1, shards).where("status = 'ok'")
+    fresh = good.unionByName(again)
+    new = fresh.select("analysis", "fingerprint", "conclusion", "needs_attention", F.lit(now).cast("long").alias("created_at"))
+    results = hits.unionByName(fresh.select("analysis", "fingerprint", "conclusion"))
+    # rows without a fingerprint meet nothing, and are dealt over all tasks
+    spread = ready.withColumn("__k", F.coalesce("fingerprint", F.concat(F.lit("-"), F.xxhash64("row_pos").cast("string"))))
+    joined = spread.join(results.withColumnRenamed("fingerprint", "__k"), ["analysis", "__k"], "left").drop("__k")
     at = tx.insert_index(F.col("indexes"), F.col("position"), F.col("position_index"))
     cell = F.coalesce("conclusion", F.lit(""))
     status = F.when(F.col("missing"), "missing-column").when(F.col("conclusion").isNotNull(), "complete").otherwise("error")

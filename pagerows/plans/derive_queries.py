@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import derive
-from .registry import register, table
+from .registry import register, spread_table, table
 
 _NOW = 1_000_000_000
 
@@ -18,12 +18,12 @@ def _selection(*columns: tuple[str, int]):
 
 def _orders(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each order priority is a table of orders; two analyses on each, one of which lacks a column of the table 5-LOW."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = F.col
     band = F.floor(c("o_totalprice") / 50_000).cast("string")
     day = F.dayofweek(c("o_orderdate")).cast("string")
     rows = orders.select(c("o_orderpriority").alias("table"), c("o_orderkey").alias("row_pos"), F.array(c("o_orderkey").cast("string"), "o_orderstatus", band, day).alias("cells"))
-    names = orders.select(c("o_orderpriority").alias("table")).distinct()
+    names = table(spark, sf_dir, "orders").select(c("o_orderpriority").alias("table")).distinct()
     heads = F.array(F.lit("Key"), F.lit("Status"), F.lit("Price  band"), F.when(c("table") == "5-LOW", "day").otherwise("STA TUS"))
     tables = names.select("table", heads.alias("headers"))
     kinds = F.array(
