@@ -296,3 +296,11 @@ def test_bodies_by_headers_and_nearness(spark):
     )
     got = {(r.k, r.table_index): r.body_index for r in page_tree.swap_bodies(frame, "k").collect()}
     assert got == {(1, 0): 2, (1, 1): 1, (1, 2): 2, (1, 3): 1, (2, 0): 1, (2, 1): 1, (2, 2): 2, (3, 0): 0, (3, 1): 1, (4, 0): 1, (4, 1): 1, (5, 0): 0, (6, 0): 0, (6, 1): 1, (6, 2): 2, (None, 0): 0, (None, 1): 1}
+
+
+def test_tables_are_searched_when_they_are_asked_for():
+    """Outlines need the cells of a page, not its tables."""
+    asked = []
+    page = page_tree.Page(page_tree.parse("<p>a<b>c"), adapters=(page_tree.Adapter("none", lambda n: bool(asked.append(n))),))
+    assert not asked
+    assert page.tables == page.tables == [] and len(asked) == 2
